@@ -443,4 +443,9 @@ def with_tables(sql: str) -> str:
 
     visit(sql)
     ctes = ",\n".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in needed)
-    return f"WITH {ctes}\n{sql}" if ctes else sql
+    if not ctes:
+        return sql
+    own = re.match(r"\s*WITH (RECURSIVE )?", sql)
+    if own:
+        return f"WITH {own.group(1) or ''}{ctes},\n{sql[own.end():]}"
+    return f"WITH {ctes}\n{sql}"

@@ -22,7 +22,9 @@ LOG_SOURCES = {"error": "recorder_nots", "click": "recorder_lp", "view": "phoeni
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Event times are stored without a zone and mean UTC.
+    return table.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else table
 
 
 def pick(values: list[str], n: Column) -> Column:
