@@ -71,7 +71,8 @@ def iso_prefix_date(c) -> Column:
 def age_in_days(date, as_of) -> Column:
     """Whole 24 h days since UTC midnight of the date, never negative; NULL stays NULL."""
     seconds = F.unix_seconds(as_of_col(as_of)) - F.unix_seconds(as_col(date).cast("timestamp"))
-    return F.greatest(F.lit(0).cast("bigint"), F.floor(seconds / 86400))
+    days = F.floor(seconds / 86400)
+    return F.when(days.isNotNull(), F.greatest(F.lit(0).cast("bigint"), days))
 
 
 def years_owned(sale_date, as_of) -> Column:
@@ -121,7 +122,8 @@ def relative_time(ts, as_of) -> Column:
 
 def days_left(ends_at, as_of) -> Column:
     micros = F.unix_micros(as_col(ends_at)) - F.unix_micros(as_of_col(as_of))
-    return F.greatest(F.lit(0).cast("bigint"), F.ceil(micros / 86_400_000_000))
+    days = F.ceil(micros / 86_400_000_000)
+    return F.when(days.isNotNull(), F.greatest(F.lit(0).cast("bigint"), days))
 
 
 def date_chunks(ranges, start, end, n: int):

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions import display as X
 from ..functions import text as T
+from ..session import cut_lineage
 from .merge import upsert
 from .report import _report_order, resolved_leads_only
 from .topk import first_rows
@@ -23,9 +23,14 @@ TIERS = ["zip", "city", "any"]
 
 
 def lead_pool(report: DataFrame, limit: int = POOL) -> DataFrame:
-    """The best `limit` report rows that have a parcel and an address, with their place `pos`."""
+    """The best `limit` report rows that have a parcel and an address, with their place `pos`.
+
+    The pool is read by every step of the matching, so its few rows are written down once.
+    """
     best = resolved_leads_only(report.orderBy(*_report_order()).limit(limit))
-    return best.withColumn("pos", F.row_number().over(Window.orderBy(*_report_order())))
+    return cut_lineage(
+        best.withColumn("pos", F.row_number().over(Window.orderBy(*_report_order())))
+    )
 
 
 def lead_priority(lender: Column) -> Column:

@@ -155,8 +155,9 @@ def variant_stats(events: DataFrame, prospects: DataFrame, campaign: int) -> Dat
     assigned = prospects.groupBy(F.col("subject_variant").alias("variant")).agg(
         F.count("*").alias("assigned")
     )
-    spark = events.sparkSession
-    variants = spark.createDataFrame([(v,) for v in K.VARIANTS], "variant string")
+    variants = events.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(v) for v in K.VARIANTS])).alias("variant")
+    )
     zero = F.lit(0).cast("bigint")
     rows = variants.join(assigned, "variant", "left").join(counts, "variant", "left").select(
         "variant", *[F.coalesce(F.col(c), zero).alias(c) for c in ["assigned", *stages]]

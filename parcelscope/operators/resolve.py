@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import names as N
 from ..functions import text as T
+from ..session import cut_lineage
 from .topk import first_rows
 
 CANDIDATES_SHOWN = 20
@@ -124,8 +125,12 @@ def name_lookups(signals: DataFrame, sources=K.NAME_SOURCES) -> DataFrame:
 
 
 def decide_names(names: DataFrame, index: DataFrame, properties: DataFrame) -> DataFrame:
-    """One decision per distinct owner name: see DECISION for the columns."""
-    idx = _tagged_index(index, properties)
+    """One decision per distinct owner name: see DECISION for the columns.
+
+    The names and the index are read several times below, so both are written down once.
+    """
+    names = cut_lineage(names)
+    idx = cut_lineage(_tagged_index(index, properties))
     looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
     hits = looked.join(_key_summary(idx), "key").withColumn(
         "mid_ok", F.coalesce(F.array_contains("mids", F.col("initial")), F.lit(False))
@@ -163,6 +168,7 @@ def decide_names(names: DataFrame, index: DataFrame, properties: DataFrame) -> D
             _smallest("m_home_apns", "x_m_apns").alias("m_home_apns"),
         )
     )
+    fixed = cut_lineage(fixed)
     short = (F.size("m_apns") < F.least(F.col("m"), F.lit(CANDIDATES_SHOWN))) | (
         F.size("m_home_apns") < F.least(F.col("m_home"), F.lit(CANDIDATES_SHOWN))
     )

@@ -25,7 +25,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or not hasattr(S, name):
             raise AttributeError(name)
-        return getattr(S, name)(self.spark, self.dir)
+        table = getattr(S, name)(self.spark, self.dir)
+        self.__dict__[name] = table
+        return table
 
     def raw(self, name: str) -> DataFrame:
         return S.read(self.spark, self.dir, name)

@@ -5,7 +5,7 @@ Every column is arithmetic on a source column, so the same table can be written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
@@ -27,42 +27,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else table
 
 
-def pick(values: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+def pick(values: list[str], n: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return f"element_at(array({quoted}), cast(({n}) % {len(values)} + 1 as int))"
 
 
-def div(c: Column, n: int) -> Column:
-    return F.floor(c / n)
+def letter(n: str) -> str:
+    return f"char(65 + ({n}) % 26)"
 
 
-def letter(n: Column) -> Column:
-    return F.char(F.lit(65) + n % 26)
+def surname(k: str) -> str:
+    return (f"concat({pick(SURNAMES, k)}, {letter(f'{k} div 13')}, {letter(f'{k} div 338')}, "
+            f"{letter(f'{k} div 8788')})")
 
 
-def surname(k: Column) -> Column:
-    return F.concat(
-        pick(SURNAMES, k), letter(div(k, 13)), letter(div(k, 338)), letter(div(k, 8788))
-    )
-
-
-def forename(k: Column) -> Column:
-    return pick(FORENAMES, div(k, 2))
+def forename(k: str) -> str:
+    return pick(FORENAMES, f"{k} div 2")
 
 
-def spouse(k: Column) -> Column:
-    return pick(FORENAMES, div(k, 11) + 3)
+def spouse(k: str) -> str:
+    return pick(FORENAMES, f"{k} div 11 + 3")
 
 
-def middle(k: Column) -> Column:
-    return letter(div(k, 3))
+def middle(k: str) -> str:
+    return letter(f"{k} div 3")
 
 
-def fill(template: Column, k: Column, ln: Column, fn: Column) -> Column:
+def fill(template: str, k: str, ln: str, fn: str) -> str:
     """Put names into a template: l surname, n next surname, f forename, s spouse, m initial."""
     out = template
-    for mark, value in (("l", ln), ("n", surname(k + 1)), ("f", fn), ("s", spouse(k)),
+    for mark, value in (("l", ln), ("n", surname(f"({k} + 1)")), ("f", fn), ("s", spouse(k)),
                         ("m", middle(k))):
-        out = F.replace(out, F.lit(mark), value)
+        out = f"replace({out}, '{mark}', {value})"
     return out
 
 
@@ -70,268 +66,210 @@ OWNER_FORMS = ["l f m", "l f/s", "l f m/n s", "l HOLDINGS LLC", "l f & s", "l FA
                "UNKNOWN", "l f JR", "THE l BANK, N.A."]
 
 
-def owner_form(k: Column) -> Column:
+def owner_form(k: str) -> str:
     """Every third owner is a SMITH JOHN with some initial; the others vary in form."""
-    form = div(k, 3) % 9
-    return (
-        F.when(k % 18 == 0, "SMITH JOHN m/MARY").when(k % 3 == 0, "SMITH JOHN m")
-        .when((form == 6) & (k % 2 == 1), F.lit(None)).otherwise(pick(OWNER_FORMS, form))
-    )
+    form = f"{k} div 3 % 9"
+    return f"""case when {k} % 18 = 0 then 'SMITH JOHN m/MARY' when {k} % 3 = 0 then 'SMITH JOHN m'
+      when {form} = 6 and {k} % 2 = 1 then null else {pick(OWNER_FORMS, form)} end"""
 
 
-def owner_name(k: Column) -> Column:
+def owner_name(k: str) -> str:
     return fill(owner_form(k), k, surname(k), forename(k))
 
 
-def house(k: Column) -> Column:
+def house(k: str) -> str:
     """Street line; every tenth parcel shares the line of the one before it."""
-    j = k - F.when(k % 10 == 3, 1).otherwise(0)
-    return F.concat_ws(
-        " ", (j + 100).cast("string"), pick(DIRECTIONS, j), pick(STREETS, div(j, 4)), pick(TYPES, j)
-    )
+    j = f"({k} - if({k} % 10 = 3, 1, 0))"
+    return (f"concat_ws(' ', {j} + 100, {pick(DIRECTIONS, j)}, {pick(STREETS, f'{j} div 4')}, "
+            f"{pick(TYPES, j)})")
 
 
-def apn(k: Column) -> Column:
-    return F.lpad(k.cast("string"), 10, "0")
-
-
-def date_plus(base: str, days: Column) -> Column:
-    return F.date_add(F.lit(base).cast("date"), days.cast("int"))
+def apn(k: str) -> str:
+    return f"lpad(cast({k} as string), 10, '0')"
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parcel per customer."""
-    k = F.col("c_custkey")
-    situs = F.when(k % 17 != 0, house(k))
-    city = F.when(k % 23 != 0, pick(CITIES, F.col("c_nationkey")))
-    return read(spark, sf_dir, "customer").select(
-        apn(k).alias("apn"),
-        F.when(k % 6 == 5, F.concat_ws(" ", situs, (k % 50).cast("string"), (k % 50).cast("string")))
-        .otherwise(situs).alias("situs_address"),
-        city.alias("situs_city"),
-        (F.lit(85000) + k % 300).cast("string").alias("situs_zip"),
-        owner_name(k).alias("owner_name"),
-        F.when(k % 13 != 0, F.concat(house(k + k % 2), F.lit(", "), pick(CITIES, k),
-                                     F.lit(", AZ, "), (F.lit(85000) + k % 300).cast("string")))
-        .alias("mailing_address"),
-        F.when(k % 29 != 0, k % 5 != 0).alias("absentee"),
-        F.when(k % 4 == 0, "COMMERCIAL").otherwise("RESIDENTIAL").alias("building_type"),
-        F.when(k % 19 != 0, date_plus("1994-01-01", (k * 37) % 10900)).alias("last_sale_date"),
-        F.when(k % 7 != 0, (k * 911) % 900000 + 1000.0).alias("last_sale_price"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") * 100).alias("assessed_value"),
+    k = "c_custkey"
+    situs = f"if({k} % 17 != 0, {house(k)}, null)"
+    return read(spark, sf_dir, "customer").selectExpr(
+        f"{apn(k)} as apn",
+        f"if({k} % 6 = 5, concat_ws(' ', {situs}, {k} % 50, {k} % 50), {situs}) as situs_address",
+        f"if({k} % 23 != 0, {pick(CITIES, 'c_nationkey')}, null) as situs_city",
+        f"cast(85000 + {k} % 300 as string) as situs_zip",
+        f"{owner_name(k)} as owner_name",
+        f"if({k} % 13 != 0, concat({house(f'({k} + {k} % 2)')}, ', ', {pick(CITIES, k)}, ', AZ, ', "
+        f"85000 + {k} % 300), null) as mailing_address",
+        f"if({k} % 29 != 0, {k} % 5 != 0, null) as absentee",
+        f"if({k} % 4 = 0, 'COMMERCIAL', 'RESIDENTIAL') as building_type",
+        f"if({k} % 19 != 0, date_add(date'1994-01-01', cast(({k} * 37) % 10900 as int)), null) "
+        "as last_sale_date",
+        f"if({k} % 7 != 0, cast(({k} * 911) % 900000 + 1000 as double), null) as last_sale_price",
+        "if(c_acctbal > 0, c_acctbal * 100, null) as assessed_value",
     )
 
 
-def _event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
+K_PROP = "cast(get_json_object(props, '$.k') as int)"
 
 
-def parcel_of_event() -> Column:
-    """The parcel an event is about: one busy parcel, the others spread over all customers."""
-    e = F.col("event_id")
-    return F.when(e % 6 == 1, F.lit(7).cast("bigint")).otherwise(F.col("user_id") * 10 + e % 10)
+def _event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id as e", "user_id as u", "event_type as kind", "ts", "value", "props",
+        f"{K_PROP} as k",
+        # One busy parcel, the others spread over all customers.
+        "if(event_id % 6 = 1, 7L, user_id * 10 + event_id % 10) as parcel",
+    )
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signal per event; a third has no parcel number yet."""
-    e, k, kind = F.col("event_id"), F.col("k"), F.col("event_type")
-    u = parcel_of_event()
-    even = e % 2 == 0
-    signal_type = (
-        F.when(kind == "error", "trustee_sale")
-        .when(kind == "click", F.when(e % 5 == 0, "mechanics_lien").when(e % 5 == 1, "lien")
-              .otherwise("lis_pendens"))
-        .when(kind == "view", "code_violation")
-        .when(kind == "purchase", "tax_delinquent")
-        .otherwise(F.when(even, "probate").otherwise("divorce"))
-    )
-    source = (
-        F.when(kind == "error", "recorder_nots")
-        .when(kind == "click", F.when(e % 5 == 0, "recorder_ml").when(e % 5 == 1, "recorder_nl")
-              .otherwise("recorder_lp"))
-        .when(kind == "view", pick(["code_glendale", "code_tempe", "phoenix_code", "code_county"], e))
-        .when(kind == "purchase", "treasurer_delinquent")
-        .otherwise(F.when(even, "court_probate").otherwise("court_divorce"))
-    )
-    named = kind.isin("error", "click", "signup") & (e % 29 != 0)
-    form = (
-        F.when(e % 5 == 0, "f m l").when(e % 5 == 1, owner_form(u)).when(e % 5 == 2, "l, f m.")
-        .when(e % 5 == 3, "l f AND s l").when(u % 4 == 0, "SMITH JOHN & SMITH MARY")
-        .otherwise("l HOLDINGS LLC")
-    )
-    owner = F.initcap(fill(
-        form, u, F.when(u % 3 == 0, "SMITH").otherwise(surname(u)),
-        F.when(u % 3 == 0, "JOHN").otherwise(forename(u)),
-    ))
-    tail = F.when(e % 4 == 0, " GLENDALE").when(e % 4 == 1, ", TEMPE, AZ, 85283").otherwise("")
-    return _event_columns(spark, sf_dir).select(
-        signal_type.alias("signal_type"), source.alias("source"),
-        e.cast("string").alias("external_id"),
-        F.when(e % 3 != 0, apn(u)).alias("apn"),
-        F.when(e % 31 != 0, F.concat(F.lit("https://records.example/"), source, F.lit("/"),
-                                     F.floor(e / 4))).alias("source_url"),
-        F.when(k % 13 != 0, F.date_sub(F.to_date("ts"), k % 40)).alias("event_date"),
-        F.when(even, "open").otherwise("closed").alias("status"),
-        F.when(named, owner).alias("owner_name"),
-        F.when(kind == "view", F.concat(house(u), tail)).alias("situs_address"),
-        F.col("props").alias("raw"),
-        F.lit(None).cast("string").alias("match_confidence"),
-        F.lit(False).alias("resolved"),
-        F.lit(None).cast(
-            "struct<method:string,count:bigint,candidates:array<string>>"
-        ).alias("resolution"),
-        F.to_date("ts").alias("observed_date"),
-        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
+    p = "parcel"
+    source = f"""case kind when 'error' then 'recorder_nots'
+      when 'click' then case e % 5 when 0 then 'recorder_ml' when 1 then 'recorder_nl' else 'recorder_lp' end
+      when 'view' then {pick(["code_glendale", "code_tempe", "phoenix_code", "code_county"], 'e')}
+      when 'purchase' then 'treasurer_delinquent'
+      else if(e % 2 = 0, 'court_probate', 'court_divorce') end"""
+    form = f"""case e % 5 when 0 then 'f m l' when 1 then {owner_form(p)} when 2 then 'l, f m.'
+      when 3 then 'l f AND s l'
+      else if({p} % 4 = 0, 'SMITH JOHN & SMITH MARY', 'l HOLDINGS LLC') end"""
+    owner = fill(form, p, f"if({p} % 3 = 0, 'SMITH', {surname(p)})",
+                 f"if({p} % 3 = 0, 'JOHN', {forename(p)})")
+    return _event_columns(spark, sf_dir).selectExpr(
+        """case kind when 'error' then 'trustee_sale'
+          when 'click' then case e % 5 when 0 then 'mechanics_lien' when 1 then 'lien' else 'lis_pendens' end
+          when 'view' then 'code_violation' when 'purchase' then 'tax_delinquent'
+          else if(e % 2 = 0, 'probate', 'divorce') end as signal_type""",
+        f"{source} as source",
+        "cast(e as string) as external_id",
+        f"if(e % 3 != 0, {apn(p)}, null) as apn",
+        f"if(e % 31 != 0, concat('https://records.example/', {source}, '/', e div 4), null) as source_url",
+        "if(k % 13 != 0, date_sub(to_date(ts), k % 40), null) as event_date",
+        "if(e % 2 = 0, 'open', 'closed') as status",
+        f"if(kind in ('error', 'click', 'signup') and e % 29 != 0, initcap({owner}), null) as owner_name",
+        f"if(kind = 'view', concat({house(p)}, case e % 4 when 0 then ' GLENDALE' "
+        "when 1 then ', TEMPE, AZ, 85283' else '' end), null) as situs_address",
+        "props as raw", "cast(null as string) as match_confidence", "false as resolved",
+        "cast(null as struct<method:string,count:bigint,candidates:array<string>>) as resolution",
+        "to_date(ts) as observed_date", "ts as created_at", "ts as updated_at",
     )
 
 
 def scrape_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per day and source; the rows found are that day's events of the source."""
-    source = F.lit(None).cast("string")
-    for kind, name in LOG_SOURCES.items():
-        source = F.when(F.col("event_type") == kind, name).otherwise(source)
+    arms = " ".join(f"when '{kind}' then '{name}'" for kind, name in LOG_SOURCES.items())
     daily = read(spark, sf_dir, "events").groupBy(
-        F.to_date("ts").alias("day"), source.alias("source")
-    ).agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("event_id") % 7 == 0).alias("n7"))
-    d = F.dayofmonth("day")
-    mark = (d + F.length("source")) % 11
-    start = F.col("day").cast("timestamp") + F.expr("interval 13 hours 23 minutes")
-    return daily.select(
-        F.concat_ws("/", "day", "source").alias("id"), "source", start.alias("started_at"),
-        (start + F.expr("interval 40 minutes")).alias("finished_at"),
-        F.when(mark == 5, 0).otherwise(F.col("n")).cast("int").alias("rows_found"),
-        F.col("n7").cast("int").alias("rows_new"),
-        F.when(mark == 3, "warn").when(mark == 7, "error").otherwise("ok").alias("status"),
-        F.when(mark == 7, "timeout").when(mark == 9, "busy-stop").alias("error"),
-        F.col("day").alias("source_max_date"),
+        F.to_date("ts").alias("day"), F.expr(f"case event_type {arms} end").alias("source")
+    ).agg(F.count("*").cast("int").alias("n"), F.count_if(F.expr("event_id % 7 = 0")).alias("n7"))
+    return daily.selectExpr(
+        "*", "(dayofmonth(day) + length(source)) % 11 as mark",
+        "cast(day as timestamp) + interval 13 hours 23 minutes as started_at",
+    ).selectExpr(
+        "concat_ws('/', day, source) as id", "source", "started_at",
+        "started_at + interval 40 minutes as finished_at",
+        "if(mark = 5, 0, n) as rows_found", "cast(n7 as int) as rows_new",
+        "case mark when 3 then 'warn' when 7 then 'error' else 'ok' end as status",
+        "case mark when 7 then 'timeout' when 9 then 'busy-stop' end as error",
+        "day as source_max_date",
     )
 
 
 def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prospect per supplier."""
-    s, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    tail = pick([" LLC", " – Homes", ", Inc.", " (West)", " Group", "s"], s)
-    local = F.when(s % 6 == 0, "info").when(s % 6 == 1, "Sales+west").otherwise(
-        F.concat(F.lower(forename(s)), F.lit("."), F.lower(surname(s))))
-    domain = F.concat(F.lit("firm"), s.cast("string"), F.lit(".example"))
-    return read(spark, sf_dir, "supplier").select(
-        s.alias("id"),
-        F.when(s % 41 != 0, (s * 37) % 1009 + 1).cast("int").alias("rank"),
-        F.concat(F.initcap(surname(s)), tail).alias("company"),
-        F.when(s % 9 != 0, F.concat_ws(" ", F.initcap(forename(s)), F.initcap(surname(s))))
-        .alias("contact_name"),
-        pick(["lender", "flipper", "wholesaler", "community_leader", "lender"], nation).alias("seg0"),
-        F.when(s % 8 != 0, F.concat(local, F.lit("@"), F.when(s % 7 == 0, F.lit("forms.example"))
-                                    .otherwise(domain))).alias("email"),
-        F.concat(F.lit("555-"), F.lpad(s.cast("string"), 4, "0")).alias("phone"),
-        F.when(s % 11 == 0, F.lit("")).when(s % 2 == 0, F.concat(F.lit("https://www."), domain,
-                                                                 F.lit("/about"))).otherwise(domain)
-        .alias("url"),
-        F.when(s % 3 == 0, F.concat(F.lit("Office: "), house(s), F.lit(", "),
-                                    F.initcap(pick(CITIES, s)), F.lit(", AZ "),
-                                    (F.lit(85000) + s % 300).cast("string")))
-        .when(s % 3 == 1, "HQ: 1 High St, Columbus, OH 43220").alias("notes"),
-        pick(["new", "new", "new", "sent", "replied", "stop", "trial"], s).alias("status"),
-        F.when(s % 4 == 0, F.concat((F.lit(85000) + s % 300).cast("string"), F.lit(" , "),
-                                    (F.lit(85000) + (s + 1) % 300).cast("string"))).alias("zips"),
-        F.when(s % 5 < 2, F.concat_ws(",", F.initcap(pick(CITIES, s)), pick(CITIES, s + 2)))
-        .alias("cities"),
-        F.when(s % 2 == 0, pick(["A", "B", "C", "D"], div(s, 2))).alias("subject_variant"),
-        F.when(s % 10 == 0, F.concat(F.lit("code"), F.lpad(s.cast("string"), 4, "0")))
-        .alias("link_code"),
-    ).withColumn("segment", F.when(F.col("id") % 13 != 0, F.col("seg0"))).drop("seg0")
+    s = "s_suppkey"
+    domain = f"concat('firm', {s}, '.example')"
+    zip_ = lambda k: f"cast(85000 + ({k}) % 300 as string)"
+    return read(spark, sf_dir, "supplier").selectExpr(
+        f"{s} as id",
+        f"if({s} % 41 != 0, cast(({s} * 37) % 1009 + 1 as int), null) as rank",
+        f"""concat(initcap({surname(s)}),
+          {pick([" LLC", " – Homes", ", Inc.", " (West)", " Group", "s"], s)}) as company""",
+        f"if({s} % 9 != 0, initcap(concat({forename(s)}, ' ', {surname(s)})), null) as contact_name",
+        f"""if({s} % 13 != 0, {pick(["lender", "flipper", "wholesaler", "community_leader", "lender"],
+                                    's_nationkey')}, null) as segment""",
+        f"""if({s} % 8 != 0, concat(case {s} % 6 when 0 then 'info' when 1 then 'Sales+west'
+          else lower(concat({forename(s)}, '.', {surname(s)})) end, '@',
+          if({s} % 7 = 0, 'forms.example', {domain})), null) as email""",
+        f"concat('555-', lpad(cast({s} as string), 4, '0')) as phone",
+        f"""case when {s} % 11 = 0 then '' when {s} % 2 = 0 then concat('https://www.', {domain}, '/about')
+          else {domain} end as url""",
+        f"""case {s} % 3 when 0 then concat('Office: ', {house(s)}, ', ', initcap({pick(CITIES, s)}),
+          ', AZ ', {zip_(s)}) when 1 then 'HQ: 1 High St, Columbus, OH 43220' end as notes""",
+        f"{pick(['new', 'new', 'new', 'sent', 'replied', 'stop', 'trial'], s)} as status",
+        f"if({s} % 4 = 0, concat({zip_(s)}, ' , ', {zip_(f'{s} + 1')}), null) as zips",
+        f"if({s} % 5 < 2, concat_ws(',', initcap({pick(CITIES, s)}), {pick(CITIES, f'{s} + 2')}), null)"
+        " as cities",
+        f"if({s} % 2 = 0, {pick(['A', 'B', 'C', 'D'], f'{s} div 2')}, null) as subject_variant",
+        f"if({s} % 10 = 0, concat('code', lpad(cast({s} as string), 4, '0')), null) as link_code",
+    )
 
 
 def outreach_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
-    event = (
-        F.when(kind == "signup", "sent").when(kind == "view", "opened")
-        .when(kind == "click", "clicked")
-        .when(kind == "purchase", pick(["replied", "trial", "paid"], div(e, 5)))
-        .otherwise(F.when(e % 9 == 0, "stop").when(e % 9 < 3, "bounced").otherwise("sent"))
-    )
-    meta = F.when(k % 9 == 0, "not json").otherwise(
-        F.concat(F.lit('{"userAgent":"UA '), k, F.lit('","bot":'),
-                 F.when(k % 4 == 0, "true").otherwise("false"), F.lit("}")))
-    return _event_columns(spark, sf_dir).select(
-        e.alias("id"), F.when(e % 37 != 0, u).alias("prospect_id"), (e % 2 + 1).alias("campaign_id"),
-        F.when(u % 5 < 4, pick(["A", "B", "C", "D"], u)).alias("variant"), event.alias("event"),
-        F.when(kind == "click", meta).alias("meta"), F.col("ts").alias("created_at"),
+    return _event_columns(spark, sf_dir).selectExpr(
+        "e as id", "if(e % 37 != 0, u, null) as prospect_id", "e % 2 + 1 as campaign_id",
+        f"if(u % 5 < 4, {pick(['A', 'B', 'C', 'D'], 'u')}, null) as variant",
+        f"""case kind when 'signup' then 'sent' when 'view' then 'opened' when 'click' then 'clicked'
+          when 'purchase' then {pick(["replied", "trial", "paid"], 'e div 5')}
+          else case when e % 9 = 0 then 'stop' when e % 9 < 3 then 'bounced' else 'sent' end
+          end as event""",
+        """if(kind = 'click', if(k % 9 = 0, 'not json', concat('{"userAgent":"UA ', k, '","bot":',
+          if(k % 4 = 0, 'true', 'false'), '}')), null) as meta""",
+        "ts as created_at",
     )
 
 
 def raw_page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
-    event = (
-        F.when(kind == "purchase", "engaged_time")
-        .when(kind == "click", pick(["row_expand", "export_click", "cta_click"], k))
-        .when(kind == "error", F.when(e % 2 == 0, "   ").otherwise("pageview"))
-        .otherwise(" pageview ")
-    )
-    path = pick(["/report", "/report?window=7d", "/admin/x", "/", "/pricing", "/dossier"], div(e, 3))
-    return _event_columns(spark, sf_dir).select(
-        e.alias("id"), F.concat(F.lit("v"), u).alias("vid"),
-        F.when(e % 7 != 0, u).alias("prospect_id"),
-        F.concat_ws("-", F.concat(F.lit("s"), u), F.to_date("ts").cast("string")).alias("session_id"),
-        F.when(e % 19 != 0, path).alias("path"), event.alias("event"),
-        F.col("props").alias("meta"),
-        F.when(kind == "purchase", F.col("value") * 1000).alias("ms"),
-        F.col("ts").alias("created_at"),
+    paths = ["/report", "/report?window=7d", "/admin/x", "/", "/pricing", "/dossier"]
+    return _event_columns(spark, sf_dir).selectExpr(
+        "e as id", "concat('v', u) as vid", "if(e % 7 != 0, u, null) as prospect_id",
+        "concat('s', u, '-', to_date(ts)) as session_id",
+        f"if(e % 19 != 0, {pick(paths, 'e div 3')}, null) as path",
+        f"""case kind when 'purchase' then 'engaged_time'
+          when 'click' then {pick(["row_expand", "export_click", "cta_click"], 'k')}
+          when 'error' then if(e % 2 = 0, '   ', 'pageview') else ' pageview ' end as event""",
+        "props as meta", "if(kind = 'purchase', value * 1000, null) as ms", "ts as created_at",
     )
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id")
-    return read(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(
-        e.alias("id"), F.when(e % 3 != 0, u).alias("prospect_id"),
-        F.concat(F.lit("v"), u).alias("vid"), F.col("ts").alias("started_at"),
+    return _event_columns(spark, sf_dir).where("kind = 'purchase'").selectExpr(
+        "e as id", "if(e % 3 != 0, u, null) as prospect_id", "concat('v', u) as vid",
+        "ts as started_at",
     )
 
 
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, kind = F.col("event_id"), F.col("event_type")
-    raw = pick(["active", "trialing", "past_due", "incomplete", "canceled", "unpaid",
-                "incomplete_expired", "paused"], div(e, 5))
-    return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("customer_id"),
-        F.when((kind == "purchase") & (e % 4 == 0), "checkout.session.completed")
-        .when(kind == "signup", "customer.subscription.updated")
-        .when((kind == "error") & (e % 3 == 0), "invoice.payment_failed")
-        .when((kind == "click") & (e % 6 == 0), "customer.subscription.deleted")
-        .otherwise("charge.updated").alias("type"),
-        F.when(kind == "signup", raw).alias("raw_status"), F.col("ts"), e.alias("id"),
+    states = ["active", "trialing", "past_due", "incomplete", "canceled", "unpaid",
+              "incomplete_expired", "paused"]
+    return _event_columns(spark, sf_dir).selectExpr(
+        "u as customer_id",
+        """case when kind = 'purchase' and e % 4 = 0 then 'checkout.session.completed'
+          when kind = 'signup' then 'customer.subscription.updated'
+          when kind = 'error' and e % 3 = 0 then 'invoice.payment_failed'
+          when kind = 'click' and e % 6 = 0 then 'customer.subscription.deleted'
+          else 'charge.updated' end as type""",
+        f"if(kind = 'signup', {pick(states, 'e div 5')}, null) as raw_status", "ts", "e as id",
     )
 
 
 def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id")
-    email = (
-        F.when(e % 6 == 0, F.concat(F.lit(" User"), u, F.lit("@Mail.example ")))
-        .when(e % 6 == 1, F.concat(F.lit("user"), u))
-        .otherwise(F.concat(F.lit("user"), u, F.lit("@mail.example")))
-    )
-    return read(spark, sf_dir, "events").where(F.col("event_type") == "signup").select(
-        e.alias("id"), email.alias("email"),
-        pick(["wholesaler", "lender", "attorney", "other"], e).alias("segment"),
-        F.concat(F.lit("src"), e).alias("source"),
-        F.when(e % 5 == 0, "Acme").otherwise("").alias("company"),
+    return _event_columns(spark, sf_dir).where("kind = 'signup'").selectExpr(
+        "e as id",
+        """case e % 6 when 0 then concat(' User', u, '@Mail.example ') when 1 then concat('user', u)
+          else concat('user', u, '@mail.example') end as email""",
+        f"{pick(['wholesaler', 'lender', 'attorney', 'other'], 'e')} as segment",
+        "concat('src', e) as source", "if(e % 5 = 0, 'Acme', '') as company",
     )
 
 
 def lead_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pairs: some parcels saved, some hidden."""
-    k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").where(k % 5 < 2).select(
-        apn(k).alias("apn"), F.when(k % 5 == 0, "saved").otherwise("hidden").alias("action")
+    return read(spark, sf_dir, "customer").where("c_custkey % 5 < 2").selectExpr(
+        f"{apn('c_custkey')} as apn", "if(c_custkey % 5 = 0, 'saved', 'hidden') as action"
     )
 
 
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    return read(spark, sf_dir, "events").where(F.col("event_type") == "click").select(
-        apn(parcel_of_event()).alias("apn"),
-        F.when(e % 3 == 0, "hidden").otherwise("saved").alias("action"),
-        (e % 4 != 0).alias("on"), e.alias("seq"),
+    return _event_columns(spark, sf_dir).where("kind = 'click'").selectExpr(
+        f"{apn('parcel')} as apn", "if(e % 3 = 0, 'hidden', 'saved') as action", "e % 4 != 0 as on",
+        "e as seq",
     )

@@ -16,20 +16,25 @@ FEATURE_PAGE = "features array<struct<attributes: map<string,string>>>"
 
 
 def explode_features(pages: DataFrame) -> DataFrame:
-    """One row per feature of pages that hold a `features` array."""
-    return pages.select(F.explode("features").alias("f")).select("f.attributes")
+    """One attribute map per feature of JSON pages (column `value`) with a `features` array."""
+    parsed = pages.select(F.from_json("value", FEATURE_PAGE).alias("page"))
+    return parsed.select(F.explode("page.features").alias("f")).select("f.attributes")
+
+
+def explode_rows(pages: DataFrame) -> DataFrame:
+    """One attribute map per object of JSON pages (column `value`) that are arrays."""
+    rows = F.from_json("value", "array<map<string,string>>")
+    return pages.select(F.explode(rows).alias("attributes"))
 
 
 def scan_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature-collection pages as one attribute map per feature."""
-    return explode_features(spark.read.schema(FEATURE_PAGE).json(path, multiLine=True))
+    """Feature-collection pages of a folder as one attribute map per feature."""
+    return explode_features(spark.read.text(path, wholetext=True))
 
 
 def scan_socrata(spark: SparkSession, path: str) -> DataFrame:
-    """Pages that are arrays of row objects, as one attribute map per row."""
-    text = spark.read.text(path, wholetext=True)
-    rows = F.from_json("value", "array<map<string,string>>")
-    return text.select(F.explode(rows).alias("attributes"))
+    """Pages of row objects of a folder as one attribute map per row."""
+    return explode_rows(spark.read.text(path, wholetext=True))
 
 
 def scan_html(spark: SparkSession, path: str, id_pattern: str = r"([^/]+?)(\.html?)?$") -> DataFrame:
