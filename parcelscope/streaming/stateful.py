@@ -1,140 +1,119 @@
-"""Event rules with state: each visitor's or prospect's state lives in the state store."""
+"""Event rules with state: each visitor's or prospect's state lives in the state store.
+
+State expires by event time: once the watermark has passed the time from which it can no longer
+change a verdict. (A processing-time timeout would also keep an available-now run from ending.)
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-def use_rocksdb(spark) -> None:
-    """Stateful processors need the RocksDB provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+MICROS = 1_000_000
 
 
-def _concat(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key in this micro-batch, in event order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable")
+    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
 
 
-class RateLimit(StatefulProcessor):
-    """Keeps a visitor's hit times of the last window; rejected hits count too."""
+def _expire_at(state: GroupState, us: int) -> None:
+    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs() + 1))
 
-    def __init__(self, n: int, secs: int):
-        self.n, self.width = n, secs * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "us array<bigint>")
+def _rate_limit_step(n: int, secs: int) -> Callable:
+    """State: hit times of the last window; rejected hits count too."""
+    width = secs * MICROS
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _concat(rows, "us", "id")
-        recent = list(self.recent.get()[0]) if self.recent.exists() else []
-        hits = []
+    def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = _in_order(rows)
+        recent = list(state.get[0]) if state.exists else []
+        limited = []
         for us in batch["us"]:
-            recent = [t for t in recent if t > us - self.width]
-            recent.append(int(us))
-            hits.append(len(recent))
+            recent = [t for t in recent if t > us - width] + [int(us)]
+            limited.append(len(recent) > n)
         # More than n + 1 times never change the verdict, so the state stays bounded.
-        self.recent.update((recent[-(self.n + 1):],))
-        out = batch[["id"]].copy()
-        out.insert(0, "vid", key[0])
-        out["limited"] = [h > self.n for h in hits]
-        yield out
-
-    def close(self) -> None:
-        pass
-
+        state.update((recent[-(n + 1):],))
+        _expire_at(state, recent[-1] + width)
+        yield pd.DataFrame({"vid": key[0], "id": batch["id"], "limited": limited})
 
-class DedupeOpens(StatefulProcessor):
-    """Keeps an open when it comes at least `hours` after the last one kept."""
+    return step
 
-    def __init__(self, hours: int):
-        self.gap = hours * 3600 * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=self.gap // 1000 * 24)
+def _dedupe_step(hours: int) -> Callable:
+    """State: time of the last open kept."""
+    gap = hours * 3600 * MICROS
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _concat(rows, "us", "id")
-        last = self.last.get()[0] if self.last.exists() else None
+    def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = _in_order(rows)
+        last = state.get[0] if state.exists else None
         kept = []
         for us in batch["us"]:
-            keep = last is None or us - last >= self.gap
+            keep = last is None or us - last >= gap
             last = int(us) if keep else last
             kept.append(keep)
-        self.last.update((last,))
-        out = batch.loc[kept, ["id"]].copy()
-        out.insert(0, "campaign_id", key[1])
-        out.insert(0, "prospect_id", key[0])
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-class StatusFold(StatefulProcessor):
-    """The running status of a prospect; one row per micro-batch that changes it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _concat(rows, "us", "id")
-        before = self.status.get()[0] if self.status.exists() else "new"
-        status = before
-        for event in batch["event"]:
-            if event == "stop":
-                status = "stop"
-            elif event == "replied" and status not in ("trial", "paid", "stop"):
-                status = "replied"
-            elif event in ("sent", "trial") and status == "new":
-                status = event
-        self.status.update((status,))
-        changed = status != before or before == "new"
-        yield pd.DataFrame(
-            {"prospect_id": [key[0]], "status": [status]} if changed else {"prospect_id": [], "status": []}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def _apply(keyed, processor: StatefulProcessor, schema: str | StructType, mode: str) -> DataFrame:
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="ProcessingTime"
-    )
-
-
-def rate_limit_stream(events: DataFrame, n: int = 120, secs: int = 60) -> DataFrame:
+        state.update((last,))
+        _expire_at(state, last + gap)
+        out = batch.loc[kept, ["id"]]
+        yield pd.DataFrame({"prospect_id": key[0], "campaign_id": key[1], "id": out["id"]})
+
+    return step
+
+
+def _status_step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the status so far. One row per micro-batch with events of the prospect."""
+    status = state.get[0] if state.exists else "new"
+    for event in _in_order(rows)["event"]:
+        if event == "stop":
+            status = "stop"
+        elif event == "replied" and status not in ("trial", "paid", "stop"):
+            status = "replied"
+        elif event in ("sent", "trial") and status == "new":
+            status = event
+    state.update((status,))
+    yield pd.DataFrame({"prospect_id": [key[0]], "status": [status]})
+
+
+def rate_limit_stream(
+    events: DataFrame, n: int = 120, secs: int = 60, late: str = "1 hour"
+) -> DataFrame:
     """(vid, id, limited) of a stream of page events."""
-    rows = events.select("vid", "id", F.unix_micros("created_at").alias("us"))
-    return _apply(
-        rows.groupBy("vid"), RateLimit(n, secs), "vid string, id bigint, limited boolean", "Append"
+    rows = events.withWatermark("created_at", late).select(
+        "vid", "id", "created_at", F.unix_micros("created_at").alias("us")
+    )
+    return rows.groupBy("vid").applyInPandasWithState(
+        _rate_limit_step(n, secs), "vid string, id bigint, limited boolean", "us array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def dedupe_opens_stream(events: DataFrame, hours: int = 1) -> DataFrame:
+def dedupe_opens_stream(events: DataFrame, hours: int = 1, late: str = "1 hour") -> DataFrame:
     """(prospect_id, campaign_id, id) of the opens that are kept."""
-    opened = events.where(F.col("event") == "opened").select(
-        "prospect_id", "campaign_id", "id", F.unix_micros("created_at").alias("us")
+    opened = events.withWatermark("created_at", late).where(F.col("event") == "opened").select(
+        "prospect_id", "campaign_id", "id", "created_at", F.unix_micros("created_at").alias("us")
     )
-    return _apply(
-        opened.groupBy("prospect_id", "campaign_id"), DedupeOpens(hours),
-        "prospect_id bigint, campaign_id bigint, id bigint", "Append",
+    return opened.groupBy("prospect_id", "campaign_id").applyInPandasWithState(
+        _dedupe_step(hours), "prospect_id bigint, campaign_id bigint, id bigint", "us bigint",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def prospect_status_stream(events: DataFrame) -> DataFrame:
-    """(prospect_id, status) whenever a prospect's status may have changed."""
+    """(prospect_id, status) whenever a prospect has new events."""
     rows = events.where(F.col("prospect_id").isNotNull()).select(
         "prospect_id", "id", "event", F.unix_micros("created_at").alias("us")
     )
-    return _apply(
-        rows.groupBy("prospect_id"), StatusFold(), "prospect_id bigint, status string", "Update"
+    return rows.groupBy("prospect_id").applyInPandasWithState(
+        _status_step, "prospect_id bigint, status string", "status string", "update",
+        GroupStateTimeout.NoTimeout,
     )

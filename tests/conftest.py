@@ -19,8 +19,6 @@ def spark(tmp_path_factory):
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "4",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
     })
