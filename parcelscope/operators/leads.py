@@ -73,7 +73,7 @@ def lead_signals_attach(leads: DataFrame, signals: DataFrame) -> DataFrame:
     """
     listed = leads.select("apn", "score")
     rows = signals.select("apn", "signal_type", "source", "external_id", "event_date", "observed_date")
-    return rows.join(F.broadcast(listed), "apn").orderBy(
+    return rows.join(listed, "apn").orderBy(
         F.col("score").desc(), "apn", F.col("event_date").desc_nulls_last(), "source", "external_id"
     )
 
@@ -120,10 +120,8 @@ def summary_top_cities(scores: DataFrame, properties: DataFrame, n: int = 8) ->
 
 def signal_share(by_signal: DataFrame) -> DataFrame:
     """Each type's share of all. The input is one row per signal type."""
-    total = by_signal.agg(F.sum("n").alias("total"))
-    return by_signal.crossJoin(F.broadcast(total)).select(  # one-row side
-        "signal_type", "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    total = by_signal.agg(F.sum("n")).scalar()
+    return by_signal.select("signal_type", "n", (F.col("n") / total).alias("share"))
 
 
 def city_centroid_fallback(leads: DataFrame, jitter: float = 0.04) -> DataFrame:

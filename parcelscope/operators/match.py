@@ -42,9 +42,13 @@ def lead_priority(lender: Column) -> Column:
     return F.when(lender, first).otherwise(0)
 
 
-def lead_rank(pool: DataFrame) -> DataFrame:
-    """Two rows per lead: its rank `rk` for lenders and for everyone else."""
-    both = pool.withColumn("lender", F.explode(F.array(F.lit(True), F.lit(False))))
+def lead_rank(pool: DataFrame, limit: int = POOL) -> DataFrame:
+    """Two rows per lead: its rank `rk` for lenders and for everyone else.
+
+    `pos` numbers the pool, so keeping places up to `limit` proves the size of everything built
+    on it, which is what the broadcasts below rely on.
+    """
+    both = pool.where(F.col("pos") <= limit).withColumn("lender", F.explode(F.array(F.lit(True), F.lit(False))))
     order = [
         lead_priority(F.col("lender")), F.coalesce("stacked_types", F.lit(0)).desc(),
         F.col("score").desc_nulls_last(), F.col("event_date").desc_nulls_last(), F.col("pos"),
@@ -147,7 +151,7 @@ def match_leads(
             F.lit(0).alias("one"),
         )
     )
-    bounded = lead_rank(leads.where(F.col("pos") <= pool)).select(
+    bounded = lead_rank(leads, pool).select(
         "pos", "rk", "lender",
         X.lead_key("apn", "owner_name", "signal_type", "situs_address").alias("lead_key"),
         F.nullif("situs_zip", F.lit("")).alias("zip"),
@@ -164,7 +168,7 @@ def match_leads(
 def match_rows(matches: DataFrame, leads: DataFrame, match_date) -> DataFrame:
     """Matches as stored: lead columns, pitch line, 0/1 absentee flag."""
     types = F.coalesce("signal_types", "signal_type")
-    shaped = leads.select(
+    shaped = leads.where(F.col("pos") <= POOL).select(
         "pos", "apn",
         X.build_pitch_line(
             types, "situs_address", "situs_city", "situs_zip", "years_owned", "absentee"
@@ -200,7 +204,6 @@ def upsert_prospect_matches(existing: DataFrame, rows: DataFrame) -> DataFrame:
 
 def prospect_match_latest(rows: DataFrame) -> DataFrame:
     """Matches of the newest match date, packed per prospect by rank (at most two each)."""
-    newest = rows.agg(F.max("match_date").alias("match_date"))
-    today = rows.join(F.broadcast(newest), "match_date")
+    today = rows.where(F.col("match_date") == rows.agg(F.max("match_date")).scalar())
     packed = F.sort_array(F.collect_list(F.struct("rank", "pitch_line", "match_tier")))
     return today.groupBy("prospect_id", "match_date").agg(packed.alias("matches"))

@@ -71,9 +71,8 @@ def mark_run_warn(runs: DataFrame, drops: DataFrame, day) -> DataFrame:
 
 def pipeline_day_join(runs: DataFrame) -> DataFrame:
     """Runs of the Phoenix day of the newest run."""
-    newest = runs.agg(D.phoenix_date(F.max("started_at")).alias("day"))
-    dated = runs.withColumn("day", D.phoenix_date("started_at"))
-    return dated.join(F.broadcast(newest), "day")  # one-row side
+    newest = runs.agg(D.phoenix_date(F.max("started_at"))).scalar()
+    return runs.withColumn("day", D.phoenix_date("started_at")).where(F.col("day") == newest)
 
 
 def pipeline_day_status(runs: DataFrame) -> DataFrame:

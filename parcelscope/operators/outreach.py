@@ -138,8 +138,8 @@ def _stage_counts(names=K.FUNNEL_EVENTS) -> list[Column]:
 def campaign_funnel(events: DataFrame, prospects: DataFrame, campaign: int) -> DataFrame:
     """One row: assigned prospects and distinct prospects per stage."""
     people = _people_per_event(events.where(F.col("campaign_id") == campaign))
-    assigned = prospects.agg(F.count("subject_variant").alias("assigned"))
-    return assigned.crossJoin(people.agg(*_stage_counts()))  # one row each
+    assigned = prospects.agg(F.count("subject_variant")).scalar()
+    return people.agg(*_stage_counts()).withColumn("assigned", assigned)
 
 
 def pct(n: Column, base: Column) -> Column:
@@ -176,14 +176,14 @@ def outreach_health(events: DataFrame, as_of) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     sent = F.col("event") == "sent"
-    before = facts.where(sent & (F.col("day") < today)).agg(F.max("day").alias("prev_day"))
+    before = facts.where(sent & (F.col("day") < today)).agg(F.max("day")).scalar()
     # A previous send day starts at Phoenix midnight, so comparing Phoenix days is exact.
     since = F.coalesce(F.col("day") >= F.col("prev_day"), F.lit(False))
     trouble = lambda e: F.coalesce(
         F.sum(F.when((F.col("event") == e) & since, F.col("n"))), F.lit(0)
     )
     who = lambda cond: F.count_distinct(F.when(cond, F.col("prospect_id")))
-    return facts.crossJoin(F.broadcast(before)).agg(  # one-row side
+    return facts.withColumn("prev_day", before).agg(
         F.count_distinct(F.when(sent, F.col("day"))).alias("send_days"),
         who(sent & (F.col("day") == today)).alias("sent_today"),
         F.first("prev_day").alias("prev_send_day"),
@@ -282,13 +282,13 @@ def next_batch(
     """The next prospects to write to, with their subject line. Nothing is sent."""
     cands = with_candidate_columns(prospects, matches, events, campaign)
     chosen = select_batch(cands, n).where(F.coalesce("link_code", F.lit("")) != "")
-    latest = latest_campaign(campaigns).select(F.col("id").alias("campaign_id"))
-    facts = F.broadcast(latest.crossJoin(numbers.select("n7")))  # one row each
-    return chosen.crossJoin(facts).select(  # one-row side
-        F.col("id").alias("prospect_id"), "campaign_id",
+    n7 = numbers.select(F.col("n7").cast("string")).scalar()
+    return chosen.withColumn("n7", n7).select(
+        F.col("id").alias("prospect_id"),
+        campaigns.agg(F.max("id")).scalar().alias("campaign_id"),
         F.col("subject_variant").alias("variant"), F.col("email").alias("to"),
         F.col("contact_name").alias("to_name"),
-        X.subject_for("subject_variant", "company", F.col("n7").cast("string")).alias("subject"),
+        X.subject_for("subject_variant", "company", "n7").alias("subject"),
     )
 
 
@@ -304,8 +304,8 @@ def send_sheet(
         F.col("prospect_id").alias("id"), "match_date",
         F.slice("matches", 1, 2).alias("matches"),
     )
-    facts = F.broadcast(numbers.select(F.col("n7").cast("string").alias("n7")))
-    return rows.join(both, "id", "left").crossJoin(facts).select(  # one-row side
+    n7 = numbers.select(F.col("n7").cast("string")).scalar()
+    return rows.join(both, "id", "left").withColumn("n7", n7).select(
         "id", "rank", "company", "contact_name", "segment", "email", "phone", "url", "status",
         F.col("subject_variant").alias("variant"), X.first_name("contact_name").alias("first_name"),
         *[
@@ -316,17 +316,26 @@ def send_sheet(
     )
 
 
-def send_sheet_order(sheet: DataFrame) -> DataFrame:
-    """Segments by their best rank, flagged inboxes last in a segment, then rank."""
+SHEET_KEYS = ["segment_rank", "segment_first", "flagged"]
+
+
+def send_sheet_keys(sheet: DataFrame) -> DataFrame:
+    """Adds what the sheet is sorted by: its segment's best prospect, and flagged or not."""
     key = F.coalesce("segment", F.lit(""))
     best = sheet.groupBy(key.alias("__k")).agg(F.min(F.struct("rank", "id")).alias("__best"))
+    return sheet.join(best, key == F.col("__k")).select(
+        *sheet.columns, F.col("__best.rank").alias("segment_rank"),
+        F.col("__best.id").alias("segment_first"),
+        F.col("inbox_flag").isNotNull().alias("flagged"),
+    )
+
+
+def send_sheet_order(sheet: DataFrame) -> DataFrame:
+    """Segments by their best rank, flagged inboxes last in a segment, then rank."""
     return (
-        sheet.join(best, key == F.col("__k"))
-        .orderBy(
-            "__best", F.col("inbox_flag").isNotNull().cast("int"), F.col("rank").asc_nulls_last(),
-            "id",
-        )
-        .drop("__k", "__best")
+        send_sheet_keys(sheet)
+        .orderBy(*SHEET_KEYS, F.col("rank").asc_nulls_last(), "id")
+        .drop(*SHEET_KEYS)
     )
 
 

@@ -273,9 +273,7 @@ def report_totals(counts: DataFrame) -> DataFrame:
 def report_numbers(signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of):
     """One row: n24, n7, stacked, trustee sales after ten years of ownership (both over 7 days)."""
     limit = 5000
-    day = web_report(signals, properties, scores, as_of, 24, limit).agg(
-        F.count("*").alias("n24")
-    )
+    day = web_report(signals, properties, scores, as_of, 24, limit).agg(F.count("*"))
     week_rows = web_report(signals, properties, scores, as_of, 168, limit, filed_hours=14 * 24)
     trustee = X.has_signal_type("signal_types", "trustee_sale")
     week = week_rows.agg(
@@ -283,7 +281,7 @@ def report_numbers(signals: DataFrame, properties: DataFrame, scores: DataFrame,
         F.count_if(F.col("stacked_types") >= 2).alias("stacked"),
         F.count_if(trustee & (F.coalesce("years_owned", F.lit(0)) >= 10)).alias("long_trustee"),
     )
-    return day.crossJoin(week)  # one row each
+    return week.withColumn("n24", day.scalar())
 
 
 def hot_stacks(signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of) -> DataFrame:

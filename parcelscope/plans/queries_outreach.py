@@ -461,19 +461,15 @@ def _(t: Tables):
 
 
 @query("send_sheet_order", f"""
-  SELECT id, row_number() OVER (ORDER BY br NULLS FIRST, bi, f, rank NULLS LAST, id) AS place FROM (
-    SELECT p.id, p.rank, ({_FLAG} IS NOT NULL)::INT AS f,
-      first_value(rank) OVER w AS br, first_value(id) OVER w AS bi
-    FROM prospects p WHERE status <> 'stop'
-    WINDOW w AS (PARTITION BY coalesce(segment, '') ORDER BY rank NULLS FIRST, id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")
+  SELECT p.id, p.rank, {_FLAG} IS NOT NULL AS flagged,
+    first_value(rank) OVER w AS segment_rank, first_value(id) OVER w AS segment_first
+  FROM prospects p WHERE status <> 'stop'
+  WINDOW w AS (PARTITION BY coalesce(segment, '') ORDER BY rank NULLS FIRST, id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def _(t: Tables):
     sheet = t.prospects.where(F.col("status") != "stop").select(
         "id", "rank", "segment", X.classify_inbox("email", "url").alias("inbox_flag"))
-    ordered = O.send_sheet_order(sheet)
-    # place in the sheet: only prospects, so a plain ordered numbering by partition offset
-    return ordered.select("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)).toDF(
-        "id bigint, place bigint")
+    return O.send_sheet_keys(sheet).select("id", "rank", *O.SHEET_KEYS)
 
 
 # --- engagement --------------------------------------------------------------------------------------

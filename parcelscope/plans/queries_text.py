@@ -11,9 +11,11 @@ from ..functions import text as T
 from ..operators import match as H
 from ..operators import monitor as N
 from ..operators import report as R
+from ..operators import score as SC
 from ..sources import feeds, sinks
 from ..sources import parcel_roll as P
 from ..session import cut_lineage
+from ..streaming import ingest
 from . import sample_tables as S
 from .oracle_tables import (
     AS_OF, FILED_14D, REPORT_ORDER, TODAY, case_of, entity_owner, house, lst, norm_address,
@@ -161,6 +163,17 @@ def _(t: Tables):
     return P.parse_parcel_lines(roll_lines(t))[0]
 
 
+_ROLL_COLUMNS = {
+    "compose_mailing_address": "mailing_address", "compose_situs_address": "situs_address",
+    "parse_legal_class": "legal_class", "parse_sale_date": "last_sale_date",
+    "year_built": "year_built", "numeric_or_null": "assessed_value",
+}
+for _name, _column in _ROLL_COLUMNS.items():
+    query(_name, f"SELECT apn, {_column} FROM ({_ROLL})")(
+        lambda t, c=_column: P.parse_parcel_lines(roll_lines(t))[0].select("apn", c)
+    )
+
+
 @query("quarantine_rows", f"""
   SELECT 'too few cells' AS reason, count(*) AS n FROM customer WHERE {_K} % 50 = 0
   UNION ALL SELECT 'no parcel', count(*) FROM customer WHERE {_K} % 50 = 1""")
@@ -428,6 +441,57 @@ def _(t: Tables):
     )
 
 
+@query("decay_weight", f"""
+  SELECT o_orderkey, d AS age_days, CASE WHEN d > 730 THEN 0 ELSE round(50 * pow(0.5, d / 120.0), 6) END AS weight,
+    d <= 730 AND 50 * pow(0.5, d / 120.0) >= 12.5 AS live
+  FROM (SELECT o_orderkey, greatest(0, date_diff('day', o_orderdate::DATE, DATE '1999-06-01')) AS d FROM orders)""")
+def _(t: Tables):
+    aged = t.raw("orders").select(
+        "o_orderkey", D.age_in_days(F.to_date("o_orderdate"), "1999-06-01 00:00:00").alias("age_days"))
+    weight = SC.decay_weight(F.lit(50), "age_days", F.lit(120))
+    return aged.select("o_orderkey", "age_days", F.round(weight, 6).alias("weight"),
+                       SC.is_live(weight, F.lit(50)).alias("live"))
+
+
+def _short_company(x: str) -> str:
+    cut = f"trim(regexp_replace({x}, '( – | - | \\(|,).*$', ''))"
+    return f"trim(regexp_replace({cut}, '(?i)[,\\s]+({'|'.join(K.COMPANY_SUFFIXES)})\\.?$', ''))"
+
+
+@query("short_company_name", f"""
+  SELECT id, {_short_company('company')} AS short,
+    coalesce(split_part(contact_name, ' ', 1), 'there') AS first FROM prospects""")
+def _(t: Tables):
+    return t.prospects.select("id", X.short_company_name("company").alias("short"),
+                              X.first_name("contact_name").alias("first"))
+
+
+_ENTRIES = f"""
+  SELECT * FROM signals WHERE apn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY apn, signal_type
+    ORDER BY event_date DESC NULLS LAST, created_at DESC, source, external_id) = 1"""
+
+
+@query("newest_external_id", f"""
+  SELECT apn, coalesce(arg_max(external_id, rn) FILTER (signal_type IN ('trustee_sale', 'lis_pendens', 'mechanics_lien', 'lien')), '') AS doc,
+    coalesce(string_agg(source_url, '|' ORDER BY rn DESC) FILTER (first_url), '') AS urls
+  FROM (SELECT *, source_url IS NOT NULL AND row_number() OVER (PARTITION BY apn, source_url ORDER BY rn DESC) = 1 AS first_url
+    FROM (SELECT *, -row_number() OVER (PARTITION BY apn
+      ORDER BY event_date DESC NULLS LAST, created_at DESC, source, external_id) AS rn FROM ({_ENTRIES})) WHERE rn >= -6)
+  GROUP BY apn""")
+def _(t: Tables):
+    rows = R.provenance_top6(R.latest_signal_per_type(t.signals))
+    return rows.select("apn", X.newest_external_id("signals", K.RECORDER_TYPES).alias("doc"),
+                       X.source_urls_joined("signals").alias("urls"))
+
+
+@query("incremental_signals", """
+  SELECT source, external_id, created_at FROM signals WHERE created_at > TIMESTAMP '2024-01-28 12:00:00'""")
+def _(t: Tables):
+    return ingest.new_since(t.signals, "2024-01-28 12:00:00").select(
+        "source", "external_id", "created_at")
+
+
 @query("email_domain", """
   SELECT id, CASE WHEN email IS NULL THEN 'unknown' ELSE lower(string_split(email, '@')[-1]) END AS domain
   FROM prospects""")
