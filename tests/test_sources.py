@@ -7,44 +7,77 @@ from parcelscope.sources import feeds, sinks
 from parcelscope.sources import parcel_roll as P
 
 
-def test_parcel_roll_sample(spark, fixtures, tmp_path):
-    text = (fixtures / "assessor_sample.csv").read_text()
-    (tmp_path / "Secured_Master_BK100.txt").write_text(text.replace("\n", "\r\n") + "\r\nshort|row\r\n\r\n")
+def roll_line(**cells):
+    line = [""] * P.CELL_COUNT
+    for name, value in cells.items():
+        line[P.CELLS[name]] = value
+    return "|".join(line)
+
+
+ROLL = [
+    roll_line(parcel="101-02-001c", owner_name=" GASWORKS COMPANY ", mail_line1="PO BOX 4372", mail_city="HOUSTON",
+              mail_state="TX", mail_zip="77210", property_type="COMMERCIAL", deed_date="01072009",
+              total_value="99400", land_class="100% 1.3", living_area="0"),
+    roll_line(parcel="20221084", owner_name="DOE JANE", mail_line1="5 W OAK WY", mail_city="MESA",
+              situs_line="5 OAK WAY 12", situs_suite="12", situs_city="MESA", situs_zip="85201",
+              property_type="RESIDENTIAL", sale_date="3 2019", sale_price="250000", construction_year="1987",
+              living_area="1450", total_value="0", land_class="55% 2.R; 45% 1.12", deed_date="02312005"),
+    roll_line(parcel="20221085", owner_name="ROE RICK", mail_line1="9 ELM ST", mail_city="TEMPE",
+              situs_line="7 ELM ST", situs_city="TEMPE", construction_year="87"),
+    roll_line(parcel=" - ", owner_name="NO PARCEL"),
+    "short|row", "", "   ",
+]
+
+
+def test_parcel_roll(spark, tmp_path):
+    (tmp_path / "Secured_Master_BK100.txt").write_text("\r\n".join(ROLL) + "\r\n")
     (tmp_path / "notes.txt").write_text("ignored")
     rows, bad = P.scan_parcel_master(spark, str(tmp_path))
-    got = rows.collect()
-    assert len(got) == 51
-    first = next(r for r in got if r["apn"] == "10101001C")
-    assert first["owner_name"] == "EL PASO NATURAL GAS COMPANY"
-    assert first["mailing_address"] == "PO BOX 4372, HOUSTON, TX, 77210"
-    assert (first["legal_class"], first["assessed_value"]) == ("1.3", 99400)
-    assert first["living_sqft"] is None and str(first["last_sale_date"]) == "2009-01-07"
-    kinds = {r["building_type"]: r["n"] for r in rows.groupBy("building_type").agg(F.count("*").alias("n")).collect()}
-    assert kinds == {"RESIDENTIAL": 38, "COMMERCIAL": 12, "AG": 1}
-    assert any(r["absentee"] for r in got)
-    assert [tuple(r) for r in P.quarantine_rows(bad).collect()] == [("too few cells", 1)]
-
-
-def scan(spark, fixtures, tmp_path, name):
-    (tmp_path / name).write_text((fixtures / name).read_text())
-    return feeds.scan_features(spark, str(tmp_path / name))
-
-
-def test_feature_feeds(spark, fixtures, tmp_path):
-    tax = feeds.map_tax_delinquent(scan(spark, fixtures, tmp_path, "treasurer_sample.json")).collect()
-    assert len({r["apn"] for r in tax}) == 25
-    assert {(r["signal_type"], r["status"]) for r in tax} == {("tax_delinquent", "open")}
-    county = feeds.map_code_county(scan(spark, fixtures, tmp_path, "code_county_sample.json")).collect()
-    assert len({r["external_id"] for r in county}) == 25
-    assert "20221084" in {r["apn"] for r in county}
-    assert all(r["event_date"] for r in county if json.loads(r["raw"]).get("Opened"))
-    scottsdale = feeds.map_code_scottsdale(scan(spark, fixtures, tmp_path, "code_scottsdale_sample.json"))
-    assert scottsdale.select("external_id").distinct().count() == 25
-    tempe = feeds.map_code_tempe(scan(spark, fixtures, tmp_path, "code_tempe_sample.json"))
-    assert tempe.count() == 25
-    merged = last_per_key(tempe.withColumn("seq", F.monotonically_increasing_id()),
-                          ["source", "external_id"], "seq")
-    assert merged.count() == 23  # several violations of one case are one signal
+    got = {r["apn"]: r for r in rows.collect()}
+    assert sorted(got) == ["10102001C", "20221084", "20221085"]
+    gas, jane, rick = (got[k] for k in ("10102001C", "20221084", "20221085"))
+    assert gas["owner_name"] == "GASWORKS COMPANY" and gas["owner_name_norm"] == "GASWORKS COMPANY"
+    assert gas["mailing_address"] == "PO BOX 4372, HOUSTON, TX, 77210" and gas["situs_address"] is None
+    assert (gas["legal_class"], gas["assessed_value"], gas["living_sqft"]) == ("1.3", 99400, None)
+    assert (str(gas["last_sale_date"]), gas["absentee"]) == ("2009-01-07", False)
+    assert (jane["situs_address"], jane["legal_class"], jane["year_built"]) == ("5 OAK WAY 12", "2.R", 1987)
+    assert (str(jane["last_sale_date"]), jane["last_sale_price"], jane["assessed_value"]) == ("2019-03-01", 250000, None)
+    assert rick["absentee"] and rick["year_built"] is None and rick["last_sale_date"] is None
+    assert {tuple(r) for r in P.quarantine_rows(bad).collect()} == {("too few cells", 1), ("no parcel", 1)}
+
+
+def features(spark, tmp_path, *rows):
+    (tmp_path / "page.json").write_text(json.dumps(
+        {"fields": [], "features": [{"attributes": r} for r in rows], "exceededTransferLimit": True}))
+    return feeds.scan_features(spark, str(tmp_path))
+
+
+def test_tax_and_county_feeds(spark, tmp_path):
+    rows = features(
+        spark, tmp_path,
+        {"OBJECTID": 1, "APN": "202-21-084", "PropertyFullStreetAddress": "5 W OAK WAY", "Shape__Area": 1.5},
+        {"OBJECTID": 2, "PARCELNUM": "9-9", "SITE_ADDR": "1 ELM"}, {"OBJECTID": 3},
+        {"OBJECTID": 4, "CodeCaseNumber": "V1", "Opened": 1704067200000, "Status": "Open", "Address": "7 FIR"})
+    tax = {r["apn"]: r for r in feeds.map_tax_delinquent(rows).collect()}
+    assert sorted(tax) == ["20221084", "99"] and tax["20221084"]["status"] == "open"
+    assert tax["99"]["situs_address"] == "1 ELM" and json.loads(tax["20221084"]["raw"])["Shape__Area"] == "1.5"
+    county = {r["external_id"]: r for r in feeds.map_code_county(rows).collect()}
+    assert sorted(county) == ["1", "2", "3", "V1"]
+    assert str(county["V1"]["event_date"]) == "2024-01-01" and county["1"]["apn"] == "20221084"
+
+
+def test_case_feeds(spark, tmp_path):
+    rows = features(
+        spark, tmp_path,
+        {"OBJECTID": 1, "CaseNo": "C1", "CaseStatus": "Open", "CaseOpenDate": 0},
+        {"OBJECTID": 2, "CaseNo": "C1", "CaseStatus": "Closed"}, {"OBJECTID": 3, "Id": "{g}"},
+        {"ViolationID": 7, "StreetNumber": 0, "StreetDirection": "N", "StreetName": "HAYDEN", "ParcelCode": "1-2"})
+    tempe = feeds.map_code_tempe(rows).withColumn("seq", F.get_json_object("raw", "$.OBJECTID").cast("int"))
+    merged = {r["external_id"]: r for r in last_per_key(tempe, ["source", "external_id"], "seq").collect()}
+    assert {k: r["status"] for k, r in merged.items()} == {"C1": "Closed", "{g}": None}  # one signal per case
+    scottsdale = feeds.map_code_scottsdale(rows).collect()
+    assert [(r["external_id"], r["apn"], r["situs_address"]) for r in scottsdale] == [("7", "12", "N HAYDEN")]
+    assert feeds.missing_ids(rows, "CaseNo", "Id", "OBJECTID").count() == 1
 
 
 def test_row_feed_drops_missing_ids(spark, tmp_path):
@@ -56,15 +89,28 @@ def test_row_feed_drops_missing_ids(spark, tmp_path):
         ("P1", "12", "2026-01-02"), ("R2", None, "None")]
 
 
-def test_code_case_pages(spark, fixtures, tmp_path):
-    (tmp_path / "PEF2026-18550.html").write_text((fixtures / "phoenix_detail.html").read_text())
-    (tmp_path / "PEF2026-1.html").write_text((fixtures / "phoenix_missing.html").read_text())
-    got = feeds.extract_code_case_html(feeds.scan_html(spark, str(tmp_path))).collect()
-    assert len(got) == 1
-    r = got[0]
-    assert (r["external_id"], r["status"], r["owner_name"], str(r["event_date"])) == (
-        "PEF2026-18550", "CLOSED COMPLIANCE", "DOE JOHN Q", "2026-06-09")
-    assert r["situs_address"] == "2501 E MONTEROSA ST PHOENIX 85016-5665"
+def case_page(heading, **fields):
+    rows = "".join(
+        f'''<div class="row">
+        <div class="col-md-3"><p><strong>{label}:</strong></p></div>
+        <div class="col-md-9">
+            <p> {value} </p>
+        </div></div>''' for label, value in fields.items())
+    return f"<html><h1>{heading}</h1>{rows}</html>"
+
+
+def test_code_case_pages(spark, tmp_path):
+    fields = {"Address": "2501 E FIR ST PHOENIX 85016", "Case Status": "CLOSED &amp; PAID",
+              "Responsible Party": "DOE JOHN Q", "Case Opened": "6/09/2026", "Inspector": "X"}
+    (tmp_path / "PEF2026-18550.html").write_text(case_page("Case Details - PEF2026-18550", **fields))
+    (tmp_path / "PEF2026-2.html").write_text(case_page("Case Details - PEF2026-2", Address="", **{"Case Opened": "soon"}))
+    (tmp_path / "PEF2026-1.html").write_text(case_page("Runtime Error"))
+    got = {r["external_id"]: r for r in feeds.extract_code_case_html(feeds.scan_html(spark, str(tmp_path))).collect()}
+    assert sorted(got) == ["PEF2026-18550", "PEF2026-2"]
+    r = got["PEF2026-18550"]
+    assert (r["status"], r["owner_name"], str(r["event_date"])) == ("CLOSED & PAID", "DOE JOHN Q", "2026-06-09")
+    assert r["situs_address"] == "2501 E FIR ST PHOENIX 85016"
+    assert got["PEF2026-2"]["situs_address"] is None and got["PEF2026-2"]["event_date"] is None
 
 
 RECENT = """<span id="ctl00_ContentPlaceHolder1_lblRecNum">2026 0123</span>
