@@ -1,4 +1,8 @@
-"""Owner names to match keys (LAST|FIRST, both word orders for signals, =ENTITY)."""
+"""Owner names to match keys (LAST|FIRST, both word orders for signals, =ENTITY).
+
+Functions normalise the name first. Jobs that need several of them normalise once into a column and
+pass normalized=True.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,12 @@ def name_normalize(c) -> Column:
     return squeeze(F.regexp_replace(joined, r"""[.,'"()\-]+""", " "))
 
 
-def is_entity_name(c) -> Column:
-    name = name_normalize(c)
+def _name(c, normalized: bool) -> Column:
+    return as_col(c) if normalized else name_normalize(c)
+
+
+def is_entity_name(c, normalized: bool = False) -> Column:
+    name = _name(c, normalized)
     return (name == "") | name.rlike(any_word(K.NAME_ENTITY_PATTERNS))
 
 
@@ -29,9 +37,9 @@ def person_tokens(part: Column) -> Column:
     )
 
 
-def _parts(c) -> Column:
-    """One struct per person part of the name: its full words and its initials."""
-    pieces = F.filter(F.split(name_normalize(c), r"\s*[/&]\s*"), lambda p: p != "")
+def _parts(name: Column) -> Column:
+    """One struct per person part of a normalised name: its full words and its initials."""
+    pieces = F.filter(F.split(name, r"\s*[/&]\s*"), lambda p: p != "")
     tokens = F.transform(pieces, person_tokens)
     return F.transform(
         tokens,
@@ -42,8 +50,9 @@ def _parts(c) -> Column:
     )
 
 
-def persons_from_owner(c) -> Column:
+def persons_from_owner(c, normalized: bool = False) -> Column:
     """Persons of a parcel owner name; a lone first name takes the surname before it."""
+    name = _name(c, normalized)
 
     def add_part(acc, part):
         full, initials = part["full"], part["initials"]
@@ -65,8 +74,8 @@ def persons_from_owner(c) -> Column:
     start = F.struct(
         F.lit(None).cast("string").alias("last"), F.array().cast(PERSONS_TYPE).alias("persons")
     )
-    persons = F.aggregate(_parts(c), start, add_part, lambda acc: acc["persons"])
-    return F.when(is_entity_name(c), F.array().cast(PERSONS_TYPE)).otherwise(persons)
+    persons = F.aggregate(_parts(name), start, add_part, lambda acc: acc["persons"])
+    return F.when(is_entity_name(name, True), F.array().cast(PERSONS_TYPE)).otherwise(persons)
 
 
 def _key(last: Column, first: Column) -> Column:
@@ -79,27 +88,29 @@ def property_keys(c) -> Column:
     )
 
 
-def _usable_parts(c) -> Column:
-    return F.filter(_parts(c), lambda p: F.size(p["full"]) >= 2)
+def _usable_parts(name: Column) -> Column:
+    return F.filter(_parts(name), lambda p: F.size(p["full"]) >= 2)
 
 
-def signal_keys(c) -> Column:
+def signal_keys(c, normalized: bool = False) -> Column:
     """Keys for a name whose word order is unknown: LAST FIRST and FIRST LAST readings."""
+    name = _name(c, normalized)
     per_part = F.transform(
-        _usable_parts(c),
+        _usable_parts(name),
         lambda p: F.array(
             _key(F.get(p["full"], F.lit(0)), F.get(p["full"], F.lit(1))),
             _key(F.element_at(p["full"], -1), F.get(p["full"], F.lit(0))),
         ),
     )
     keys = F.array_distinct(F.flatten(per_part))
-    return F.when(is_entity_name(c), F.array().cast("array<string>")).otherwise(keys)
+    return F.when(is_entity_name(name, True), F.array().cast("array<string>")).otherwise(keys)
 
 
-def signal_middles(c) -> Column:
+def signal_middles(c, normalized: bool = False) -> Column:
     """Words of the name that may be a middle name or a middle initial."""
+    name = _name(c, normalized)
     per_part = F.transform(
-        _usable_parts(c),
+        _usable_parts(name),
         lambda p: F.concat(
             F.when(
                 F.size(p["full"]) >= 3,
@@ -109,16 +120,16 @@ def signal_middles(c) -> Column:
         ),
     )
     middles = F.array_distinct(F.flatten(per_part))
-    return F.when(is_entity_name(c), F.array().cast("array<string>")).otherwise(middles)
+    return F.when(is_entity_name(name, True), F.array().cast("array<string>")).otherwise(middles)
 
 
-def entity_key(c) -> Column:
-    name = squeeze(F.regexp_replace(name_normalize(c), r"\bTHE\b", ""))
+def entity_key(c, normalized: bool = False) -> Column:
+    name = squeeze(F.regexp_replace(_name(c, normalized), r"\bTHE\b", ""))
     return F.when(F.length(name) >= 4, F.concat(F.lit("="), name))
 
 
-def lookup_keys(c) -> Column:
+def lookup_keys(c, normalized: bool = False) -> Column:
     """All keys a signal's owner name is looked up under, in order of preference."""
-    key = entity_key(c)
-    entity = F.when(key.isNull(), F.array().cast("array<string>")).otherwise(F.array(key))
-    return F.when(is_entity_name(c), entity).otherwise(signal_keys(c))
+    name = _name(c, normalized)
+    entity = F.array_compact(F.array(entity_key(name, True)))
+    return F.when(is_entity_name(name, True), entity).otherwise(signal_keys(name, True))

@@ -24,19 +24,22 @@ DECISION = "apn string, confidence string, method string, n_candidates bigint, c
 
 def build_name_index(properties: DataFrame) -> DataFrame:
     """(key, apn, middle): one row per key of a parcel; its first person with the key wins."""
-    named = properties.where(F.col("owner_name").isNotNull())
+    named = properties.where(F.col("owner_name").isNotNull()).select(
+        "apn", N.name_normalize("owner_name").alias("norm")
+    )
     persons = F.transform(
-        N.persons_from_owner("owner_name"),
+        N.persons_from_owner("norm", normalized=True),
         lambda p: F.struct(
             F.concat(p["last"], F.lit("|"), p["first"]).alias("key"), p["middle"].alias("middle")
         ),
     )
     entity = F.array(
         F.struct(
-            N.entity_key("owner_name").alias("key"), F.lit(None).cast("string").alias("middle")
+            N.entity_key("norm", normalized=True).alias("key"),
+            F.lit(None).cast("string").alias("middle"),
         )
     )
-    entries = F.when(N.is_entity_name("owner_name"), entity).otherwise(persons)
+    entries = F.when(N.is_entity_name("norm", normalized=True), entity).otherwise(persons)
     exploded = named.select("apn", F.posexplode(entries).alias("pos", "e")).select(
         F.col("e.key").alias("key"), "apn", F.col("e.middle").alias("middle"), "pos"
     )
@@ -117,10 +120,11 @@ def name_lookups(signals: DataFrame, sources=K.NAME_SOURCES) -> DataFrame:
     """Distinct owner names that still need a parcel, with their keys and initials."""
     open_names = signals.where(
         F.col("apn").isNull() & F.col("owner_name").isNotNull() & F.col("source").isin(list(sources))
-    ).select("owner_name").distinct()
-    middles = F.array_distinct(F.transform(N.signal_middles("owner_name"), _initial))
+    ).select("owner_name").distinct().withColumn("norm", N.name_normalize("owner_name"))
+    middles = F.transform(N.signal_middles("norm", normalized=True), _initial)
     return open_names.select(
-        "owner_name", N.lookup_keys("owner_name").alias("keys"), middles.alias("mids")
+        "owner_name", N.lookup_keys("norm", normalized=True).alias("keys"),
+        F.array_distinct(middles).alias("mids"),
     )
 
 
