@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import as_col, csv_list, split_words
+from .text import as_col, csv_list, split_words, strip
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -139,7 +139,7 @@ _TRUST_OR_ESTATE = r"(?i)\b(TRUST|TRUSTEES?)\b|\bESTATE OF\b"
 
 def split_owner_name(name, is_entity) -> Column:
     """struct(first, last): LAST FIRST before a slash; trusts and companies whole in last."""
-    raw = F.trim(F.coalesce(as_col(name), F.lit("")))
+    raw = strip(F.coalesce(as_col(name), F.lit("")))
     tokens = split_words(F.substring_index(raw, "/", 1))
     whole = (
         F.coalesce(as_col(is_entity), F.lit(False))
@@ -158,7 +158,7 @@ def mailing_fields(absentee, mailing_address, situs_address, situs_city, situs_z
     """struct(street, city, state, zip); an owner-occupied parcel copies its situs."""
     home = F.coalesce(~as_col(absentee), F.lit(False))
     parts = F.transform(
-        F.split(F.coalesce(as_col(mailing_address), F.lit("")), ","), lambda t: F.trim(t)
+        F.split(F.coalesce(as_col(mailing_address), F.lit("")), ","), lambda t: strip(t)
     )
 
     def pick(situs, i):
@@ -189,7 +189,7 @@ def source_urls_joined(signals) -> Column:
 
 def owner_initials(c) -> Column:
     """'SMITH JOHN A' as 'S. J. A.'."""
-    tokens = split_words(F.trim(as_col(c)))
+    tokens = split_words(as_col(c))
     marks = F.transform(tokens, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lit(".")))
     return F.when(F.size(tokens) == 0, as_col(c)).otherwise(F.array_join(marks, " "))
 
@@ -234,8 +234,8 @@ _COMPANY_SUFFIX = rf"(?i)[,\s]+({'|'.join(K.COMPANY_SUFFIXES)})\.?$"
 
 def short_company_name(c) -> Column:
     """Company name up to its first separator, without a legal suffix."""
-    head = F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), f"(?s){_COMPANY_CUT}", ""))
-    return F.trim(F.regexp_replace(head, _COMPANY_SUFFIX, ""))
+    head = strip(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), f"(?s){_COMPANY_CUT}", ""))
+    return strip(F.regexp_replace(head, _COMPANY_SUFFIX, ""))
 
 
 def subject_for(variant, company, n7) -> Column:
@@ -260,7 +260,7 @@ def first_name(c) -> Column:
 
 def is_bot_user_agent(c) -> Column:
     ua = F.coalesce(as_col(c), F.lit(""))
-    return (F.trim(ua) == "") | ua.rlike(f"(?i){'|'.join(K.BOT_PATTERNS)}")
+    return (strip(ua) == "") | ua.rlike(f"(?i){'|'.join(K.BOT_PATTERNS)}")
 
 
 def is_role_inbox(email) -> Column:

@@ -22,8 +22,13 @@ def any_word(patterns, flags: str = "") -> str:
     return rf"{flags}\b({'|'.join(patterns)})\b"
 
 
+def strip(c) -> Column:
+    """Without blanks, tabs, line breaks and no-break spaces at the ends."""
+    return F.trim(as_col(c), F.lit(" \t\n\r\f\x0b\xa0"))
+
+
 def blank_to_null(c) -> Column:
-    return F.nullif(F.trim(as_col(c)), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def _upper(c) -> Column:
@@ -56,7 +61,7 @@ _CITY_TAIL = " (" + "|".join(sorted(K.CITIES, key=len, reverse=True)) + ")$"
 
 def street_only(c) -> Column:
     """Street line without one trailing city name, normalised."""
-    return normalize_address(F.regexp_replace(F.trim(_upper(c)), _CITY_TAIL, ""))
+    return normalize_address(F.regexp_replace(strip(_upper(c)), _CITY_TAIL, ""))
 
 
 def sorted_name_key(c) -> Column:
@@ -110,8 +115,8 @@ def compose_mailing_address(line1, line2, city, state, zip_code) -> Column:
 
 def compose_situs_address(line, suite) -> Column:
     """Append the suite unless the line already ends with it."""
-    street = F.trim(F.coalesce(as_col(line), F.lit("")))
-    unit = F.trim(F.coalesce(as_col(suite), F.lit("")))
+    street = strip(F.coalesce(as_col(line), F.lit("")))
+    unit = strip(F.coalesce(as_col(suite), F.lit("")))
     last = F.coalesce(F.try_element_at(split_words(street), F.lit(-1)), F.lit(""))
     add = (unit != "") & (F.upper(last) != F.upper(unit))
     return F.nullif(F.when(add, F.concat(street, F.lit(" "), unit)).otherwise(street), F.lit(""))
@@ -123,16 +128,16 @@ def parse_legal_class(c) -> Column:
 
 def numeric_or_null(c) -> Column:
     """Number, with blank, junk and zero as NULL."""
-    return F.nullif(F.trim(as_col(c)).try_cast("double"), F.lit(0.0))
+    return F.nullif(strip(c).try_cast("double"), F.lit(0.0))
 
 
 def year_built(c) -> Column:
-    year = F.trim(as_col(c))
+    year = strip(c)
     return F.when(year.rlike(r"^\d{4}$"), year.try_cast("int"))
 
 
 def csv_list(c, lower: bool = False) -> Column:
-    items = F.transform(F.split(F.coalesce(as_col(c), F.lit("")), ","), lambda t: F.trim(t))
+    items = F.transform(F.split(F.coalesce(as_col(c), F.lit("")), ","), lambda t: strip(t))
     if lower:
         items = F.transform(items, F.lower)
     return F.filter(items, lambda t: t != "")

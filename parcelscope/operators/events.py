@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..session import cut_lineage
 
 MICROS = 1_000_000
@@ -20,7 +21,7 @@ MICROS = 1_000_000
 def clean_page_events(raw: DataFrame) -> DataFrame:
     """Usable page events with bounded text. Stateless, for batch and stream."""
     path = F.substring(F.coalesce("path", F.lit("/")), 1, 300)
-    event = F.substring(F.trim(F.coalesce("event", F.lit(""))), 1, 60)
+    event = F.substring(strip(F.coalesce("event", F.lit(""))), 1, 60)
     ms = F.col("ms").cast("double")
     finite = ~F.isnan(ms) & (F.abs(ms) < float("inf"))
     cleaned = raw.withColumns(

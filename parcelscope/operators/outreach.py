@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import dates as D
 from ..functions import display as X
+from ..functions.text import strip
 from .topk import first_rows, numbered_rows
 
 
@@ -107,7 +108,7 @@ def trial_clicks_named(clicks: DataFrame, prospects: DataFrame) -> DataFrame:
 
 def access_requests_dedupe(requests: DataFrame) -> DataFrame:
     """First valid request of each e-mail; a filled trap field `company` marks a bot."""
-    email = F.lower(F.trim(F.coalesce("email", F.lit(""))))
+    email = F.lower(strip(F.coalesce("email", F.lit(""))))
     valid = requests.withColumn("email", email).where(
         (F.coalesce("company", F.lit("")) == "")
         & F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$")

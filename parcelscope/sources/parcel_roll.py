@@ -24,7 +24,7 @@ def parse_parcel_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Both sides are projections of the same scan; blank lines belong to neither.
     """
     cells = F.split(F.regexp_replace("value", r"\r$", ""), r"\|", -1)
-    split = lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn(
+    split = lines.where(T.strip("value") != "").withColumn(
         "cells", cells
     )
     apn = T.normalize_apn(F.get("cells", F.lit(CELLS["parcel"])))
@@ -32,7 +32,7 @@ def parse_parcel_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     tagged = split.withColumn("reason", reason)
     bad = tagged.where(F.col("reason").isNotNull()).select("value", "reason")
     named = tagged.where(F.col("reason").isNull()).select(
-        *[F.trim(F.get("cells", F.lit(i))).alias(name) for name, i in CELLS.items()]
+        *[T.strip(F.get("cells", F.lit(i))).alias(name) for name, i in CELLS.items()]
     )
     return _property_rows(named), bad
 

@@ -66,7 +66,7 @@ def test_parcel_cells(spark):
     assert got == ["12 OAK ST 7", "12 OAK ST 7", "12 OAK ST", None]
     assert table(spark, T.parse_legal_class, ["100% 1.3", "55% 2.R; 45% 1.12", ""]) == [
         "1.3", "2.R", None]
-    assert table(spark, T.numeric_or_null, ["0", "12", "x", " 7 ", ""]) == [None, 12, None, 7, None]
+    assert table(spark, T.numeric_or_null, ["0", "12", "x", " 7\t", ""]) == [None, 12, None, 7, None]
     assert table(spark, T.year_built, ["1999", "19", "99999", ""]) == [1999, None, None, None]
 
 
@@ -136,8 +136,11 @@ def test_labels(spark):
     assert table(spark, X.title_case, ["4412 W GLENROSA AVE", "ACME LLC/SMITH-JONES", "O'NEIL & CO"]) == [
         "4412 W Glenrosa Ave", "Acme LLC/Smith-Jones", "O'Neil & Co"]
     assert table(spark, X.format_situs_address, [
-        "1024 E FRYE RD 1100 1100", "5 W MAIN ST", "RURAL ROUTE 5", "7 AVE ST 9 B", "A A A"]) == [
-        "1024 E FRYE RD #1100", "5 W MAIN ST", "RURAL ROUTE 5", "7 AVE ST #9 B", "A"]
+        "1024 E FRYE RD 1100 1100", "5 W MAIN ST", "RURAL ROUTE 5", "7 AVE ST 9 B", "A A A", " ", None]) == [
+        "1024 E FRYE RD #1100", "5 W MAIN ST", "RURAL ROUTE 5", "7 AVE ST #9 B", "A", "", None]
+    assert table(spark, X.title_case, ["", " a ", None]) == ["", " A ", None]
+    assert table(spark, lambda c: X.list_sentence(T.csv_list(c)), ["", "a", "a,b", "a, b,c"]) == [
+        "", "a", "a and b", "a, b and c"]
     assert table(spark, X.owner_initials, ["SMITH JOHN A", " x "]) == ["S. J. A.", "X."]
     assert table(spark, X.short_company_name, [
         "Great Flips – Phoenix Wholesale Houses", "A & A Funding Corp", "Acme, Inc.", None]) == [
