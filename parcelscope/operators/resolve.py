@@ -1,8 +1,8 @@
 """Signals to parcels: by parcel number, by owner-name key, by street address.
 
 Name resolution never pairs the signals and the parcels of a hot key. Distinct owner names meet a
-summary of each key (one row per middle initial, with counts and a bounded sample), so a key that
-holds a third of all parcels costs a name a few dozen rows. A parcel can be reached through several
+summary of each key, and of each key and middle initial (counts and a bounded sample), so a key that
+holds a third of all parcels costs a name one row. A parcel can be reached through several
 keys of one name (a couple, say); those cases are found through the pairs of keys they share and
 corrected. The few names whose bounded sample cannot decide are looked up in full.
 """
@@ -61,25 +61,15 @@ def _initial(c) -> Column:
     return F.nullif(F.substring(c, 1, 1), F.lit(""))
 
 
-def _key_summary(index: DataFrame) -> DataFrame:
-    """Per (key, initial): parcels, owner-occupied parcels, and a bounded sample of each."""
-    keys = ["key", "initial"]
+def _summary(index: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: parcels, owner-occupied parcels, and a bounded sample of each."""
     counts = index.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if("home").cast("bigint").alias("n_home")
+        F.count("*").alias("c"), F.count_if("home").cast("bigint").alias("c_home")
     )
-    shown = _bounded_sample(index, keys, "apn", "apns")
-    homes = _bounded_sample(index.where("home"), keys, "apn", "home_apns")
-    k2 = lambda d, p: d.select(
-        F.col("key").alias(f"{p}key"), F.col("initial").alias(f"{p}initial"),
-        *[c for c in d.columns if c not in keys],
-    )
-    on = lambda p: (F.col("key") == F.col(f"{p}key")) & F.col("initial").eqNullSafe(
-        F.col(f"{p}initial")
-    )
-    return (
-        counts.join(k2(shown, "s_"), on("s_"), "left")
-        .join(k2(homes, "h_"), on("h_"), "left")
-        .select("key", "initial", "n", "n_home", "apns", "home_apns")
+    shown = _bounded_sample(index, keys, "apn", "sample")
+    homes = _bounded_sample(index.where("home"), keys, "apn", "home_sample")
+    return counts.join(shown, keys).join(homes, keys, "left").withColumn(
+        "home_sample", F.coalesce("home_sample", F.array().cast("array<string>"))
     )
 
 
@@ -136,25 +126,27 @@ def decide_names(names: DataFrame, index: DataFrame, properties: DataFrame) -> D
     names = cut_lineage(names)
     idx = cut_lineage(_tagged_index(index, properties))
     looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
-    hits = looked.join(_key_summary(idx), "key").withColumn(
-        "mid_ok", F.coalesce(F.array_contains("mids", F.col("initial")), F.lit(False))
+    # Once per key for all candidates, once per key and initial for those that agree on it.
+    every = looked.join(_summary(idx, ["key"]), "key")
+    agreeing = looked.select("owner_name", "key", F.explode("mids").alias("initial")).join(
+        _summary(idx.where(F.col("initial").isNotNull()), ["key", "initial"]), ["key", "initial"]
+    )
+    measures = ["c", "c_home", "sample", "home_sample"]
+    hits = every.select("owner_name", F.lit(False).alias("agrees"), *measures).unionByName(
+        agreeing.select("owner_name", F.lit(True).alias("agrees"), *measures)
+    )
+    total = lambda c, agrees: F.sum(
+        F.when(F.col("agrees") == agrees, F.col(c)).otherwise(0)
+    )
+    # Each list joins one bounded sample per key of the name.
+    listed = lambda c, agrees: F.flatten(
+        F.collect_list(F.when(F.col("agrees") == agrees, F.col(c)))
     )
-    empty = F.array().cast("array<string>")
     rows = hits.groupBy("owner_name").agg(
-        F.sum("n").alias("n"),
-        F.sum("n_home").alias("n_home"),
-        F.sum(F.when(F.col("mid_ok"), F.col("n")).otherwise(0)).alias("m"),
-        F.sum(F.when(F.col("mid_ok"), F.col("n_home")).otherwise(0)).alias("m_home"),
-        F.flatten(F.collect_list("apns")).alias("apns"),
-        F.flatten(F.collect_list(F.coalesce("home_apns", empty))).alias("home_apns"),
-        F.flatten(
-            F.collect_list(F.when(F.col("mid_ok"), F.col("apns")).otherwise(empty))
-        ).alias("m_apns"),
-        F.flatten(
-            F.collect_list(
-                F.when(F.col("mid_ok"), F.coalesce("home_apns", empty)).otherwise(empty)
-            )
-        ).alias("m_home_apns"),
+        total("c", False).alias("n"), total("c_home", False).alias("n_home"),
+        total("c", True).alias("m"), total("c_home", True).alias("m_home"),
+        listed("sample", False).alias("apns"), listed("home_sample", False).alias("home_apns"),
+        listed("sample", True).alias("m_apns"), listed("home_sample", True).alias("m_home_apns"),
     )
     zero = F.lit(0).cast("bigint")
     fixed = (
