@@ -11,8 +11,8 @@ from ..operators import events as E
 from ..operators import match as H
 from ..operators import monitor as N
 from ..operators import outreach as O
-from . import sample_tables as S
-from .oracle_tables import AS_OF, PHX_TODAY, case_of, lst, q
+from ..operators import report as R
+from .oracle_tables import AS_OF, PHX_TODAY, case_of, lst, q, report_sql
 from .registry import Tables, query
 
 # --- matching ------------------------------------------------------------------------------------
@@ -418,6 +418,14 @@ def _short(company: str) -> str:
     return f"trim(regexp_replace({cut}, '(?i)[,\\s]+(LLC|L\\.L\\.C\\.|Inc|Incorporated|Corp|Corporation|Co|Company|Group)\\.?$', ''))"
 
 
+_N7 = f"""(SELECT least(count(*), 5000) FROM (
+    {report_sql(168, f"event_date >= ({AS_OF} - INTERVAL 336 HOUR)::DATE")}))::VARCHAR"""
+
+
+def _numbers(t: Tables):
+    return R.report_numbers(t.signals, t.properties, t.scores, t.as_of)
+
+
 def _subject(variant: str, n7: str) -> str:
     s = _short("company")
     return f"""CASE {variant} WHEN 'A' THEN 'who filed in maricopa this morning?'
@@ -429,11 +437,11 @@ def _subject(variant: str, n7: str) -> str:
 
 @query("next_batch", f"""
   SELECT id AS prospect_id, (SELECT max(event_id % 2 + 1) FROM events) AS campaign_id, subject_variant AS variant,
-    email AS "to", contact_name AS to_name, {_subject('subject_variant', "'321'")} AS subject
+    email AS "to", contact_name AS to_name, {_subject('subject_variant', _N7)} AS subject
   FROM ({_BATCH}) WHERE link_code IS NOT NULL""")
 def _(t: Tables):
     top2, pool = _top2(t)
-    numbers = t.raw("region").agg(F.lit(321).alias("n7"))
+    numbers = _numbers(t)
     campaigns = t.outreach_events.select(F.col("campaign_id").alias("id")).distinct()
     return O.next_batch(
         t.prospects, H.match_rows(top2, pool, "2024-01-30"), _some_sent(t), campaigns, numbers, 2, 15
@@ -443,7 +451,7 @@ def _(t: Tables):
 @query("send_sheet", f"""
   SELECT id, rank, company, segment, status, subject_variant AS variant,
     coalesce(nullif(split_part(trim(coalesce(contact_name, '')), ' ', 1), ''), 'there') AS first_name,
-    {', '.join(f"{_subject(q(v), q('321'))} AS subject_{v.lower()}" for v in K.VARIANTS)},
+    {', '.join(f"{_subject(q(v), _N7)} AS subject_{v.lower()}" for v in K.VARIANTS)},
     m.match_date, coalesce(m.matches, '') AS matches, {_FLAG} AS inbox_flag
   FROM prospects LEFT JOIN (
     SELECT prospect_id, DATE '2024-01-30' AS match_date, string_agg(tier, ',' ORDER BY rank) AS matches
@@ -452,7 +460,7 @@ def _(t: Tables):
 def _(t: Tables):
     top2, pool = _top2(t)
     latest = H.prospect_match_latest(H.match_rows(top2, pool, "2024-01-30"))
-    numbers = t.raw("region").agg(F.lit(321).alias("n7"))
+    numbers = _numbers(t)
     sheet = O.send_sheet_order(O.send_sheet(t.prospects, latest, numbers))
     tiers = F.array_join(F.transform("matches", lambda m: m["match_tier"]), ",")
     return sheet.withColumn("matches", F.coalesce(tiers, F.lit(""))).drop(

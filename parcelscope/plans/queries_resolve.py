@@ -8,7 +8,6 @@ from ..functions import names as N
 from ..functions import text as T
 from ..operators import merge as M
 from ..operators import resolve as V
-from . import sample_tables as S
 from .oracle_tables import (
     AS_OF, TODAY, entity_key, is_entity_name, name_norm, norm_address, norm_owner, words_of,
 )
