@@ -167,34 +167,39 @@ def _first(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
-def labelled_field(html: Column, label: str) -> Column:
-    """Text of the value cell in the same row as a bold label; NULL without the label."""
-    cell = _first(
+def labelled_cell(html: Column, label: str) -> Column:
+    """The value cell in the same row as a bold label; blank without the label."""
+    return F.regexp_extract(
         html,
         rf'(?s)<strong>\s*{label}\s*</strong>(?:(?!<strong>).)*?'
         rf'class="[^"]*\bcol-md-9\b[^"]*"[^>]*>(.*?)</div>',
+        1,
     )
-    return html_text(F.coalesce(_first(cell, r"(?s)<p[^>]*>(.*?)</p>"), cell))
+
+
+def cell_text(cell: str) -> Column:
+    """Text of a cell's first paragraph, or of the whole cell; NULL when blank."""
+    inner = F.regexp_extract(cell, r"(?s)<p[^>]*>(.*?)</p>", 1)
+    return F.nullif(html_text(F.when(inner != "", inner).otherwise(F.col(cell))), F.lit(""))
 
 
 def extract_code_case_html(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """City code-case pages; a page whose heading lacks its case number is no case."""
     html, case = F.col("html"), F.col(id_col)
-    fields = pages.where(F.contains(html, F.concat(F.lit("Case Details - "), case))).select(
+    labels = {"address": "Address:", "case_status": "Case Status:", "opened": "Case Opened:",
+              "party": "Responsible Party:"}
+    cells = pages.where(F.contains(html, F.concat(F.lit("Case Details - "), case))).select(
         case.alias("case_id"),
-        labelled_field(html, "Address:").alias("address"),
-        labelled_field(html, "Case Status:").alias("case_status"),
-        labelled_field(html, "Case Opened:").alias("opened"),
-        labelled_field(html, "Responsible Party:").alias("party"),
+        *[labelled_cell(html, label).alias(name) for name, label in labels.items()],
     )
+    fields = cells.select("case_id", *[cell_text(name).alias(name) for name in labels])
     whole_date = F.when(F.col("opened").rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.col("opened"))
     return _record(
         fields, "phoenix_code", "code_violation",
         external_id=F.col("case_id"),
         source_url=F.concat(F.lit(K.SOURCE_URLS["phoenix_code"]), F.url_encode("case_id")),
         event_date=D.parse_us_date(whole_date),
-        status=F.nullif("case_status", F.lit("")), owner_name=F.nullif("party", F.lit("")),
-        situs_address=F.nullif("address", F.lit("")),
+        status=F.col("case_status"), owner_name=F.col("party"), situs_address=F.col("address"),
         raw=F.to_json(F.struct("case_id", "address", "case_status", "opened", "party")),
     )
 
