@@ -36,3 +36,11 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM b"""
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, max(page_id) AS first FROM p WHERE octet_length(b) >= 1000 GROUP BY digest)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g USING (digest)"""

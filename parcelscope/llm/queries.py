@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger
+from . import decontaminate, rule_ledger, token_files, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +37,17 @@ def op8_quality_rules(table):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rule_ledger.apply_policy(rows, "base-1")).alias("base_failed"),
         rule_ledger.apply_policy(rows, "corpus-1").alias("kept"), "failed_bits")
+
+
+@query
+def op2_warc(table):
+    index, folder = warc_bundles.archive(table("pages"))
+    return warc_bundles.inventory(index, folder)
+
+
+@query
+def op7_token_files(table):
+    import public_tokenizers
+
+    read = token_files.tokenize_to_files(table("documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
