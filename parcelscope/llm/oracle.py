@@ -44,3 +44,15 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, digest AS payload_dige
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN g USING (digest)"""
+
+ORACLE["op3_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+again AS (SELECT r, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(generate_series(i, i + 12)) AS p FROM again) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_select(w, list_sort(list_filter(
+    generate_series(1, len(w)), lambda x: NOT list_contains(ps, x)))) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)"""

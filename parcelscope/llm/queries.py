@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger, token_files, warc_bundles
+from . import decontaminate, rule_ledger, substring_dedup, token_files, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,3 +51,9 @@ def op7_token_files(table):
 
     read = token_files.tokenize_to_files(table("documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_substring_dedup(table):
+    kept = substring_dedup.deduplicated(table("documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
