@@ -56,3 +56,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_remo
   sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_select(w, list_sort(list_filter(
     generate_series(1, len(w)), lambda x: NOT list_contains(ps, x)))) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)"""
+
+
+def _mixing(sweeps: int = 12, alpha: float = 0.7, rate: float = 0.5) -> str:
+    steps, last = [], "c0"
+    for i in range(sweeps):
+        for m in ("source", "lang", "topic"):
+            name = f"c{i + 1}{m[0]}"
+            steps.append(f"{name} AS (SELECT * REPLACE (w * want_{m} / sum(w) OVER (PARTITION BY {m}) AS w) FROM {last})")
+            last = name
+    wants = ", ".join(f"t_{m} / sum(t_{m} / n_{m}) OVER () AS want_{m}" for m in ("source", "lang", "topic"))
+    sums = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {m})::DOUBLE, {alpha}) AS t_{m}, count(*) OVER (PARTITION BY {m}) AS n_{m}"
+                     for m in ("source", "lang", "topic"))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+    len(regexp_extract_all(coalesce(text, ''), chr(10))) AS breaks FROM documents),
+t AS (SELECT *, CASE WHEN n_tokens < 80 THEN 'notes' WHEN breaks * 12 >= n_tokens THEN 'lists'
+    WHEN n_tokens < 1500 THEN 'articles' ELSE 'long' END AS topic FROM d),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL HAVING sum(n_tokens) > 0),
+s AS (SELECT *, {sums} FROM cells),
+c0 AS (SELECT source, lang, topic, tokens, {wants}, tokens / sum(tokens) OVER () AS w FROM s),
+{", ".join(steps)},
+plan AS (SELECT source, lang, topic, w, {rate} * w * sum(tokens) OVER () / tokens AS e FROM {last})
+SELECT doc_id, t.source AS source, t.lang AS lang, t.topic AS topic, n_tokens, round(coalesce(w, 0), 9) AS weight,
+  round(coalesce(e, 0), 9) AS expected,
+  (floor(coalesce(e, 0)) + CASE WHEN ('0x' || substr(md5('1:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0
+    < coalesce(e, 0) - floor(coalesce(e, 0)) THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM t LEFT JOIN plan USING (source, lang, topic)"""
+
+
+ORACLE["op6_mixing"] = _mixing()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger, substring_dedup, token_files, warc_bundles
+from . import decontaminate, raking, rule_ledger, substring_dedup, token_files, vector_packing, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,3 +57,17 @@ def op7_token_files(table):
 def op3_substring_dedup(table):
     kept = substring_dedup.deduplicated(table("documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_mixing(table):
+    mix = raking.mixed(table("documents"))
+    return mix.select(F.col("doc.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens",
+                      F.round("weight", 9).alias("weight"), F.round("expected", 9).alias("expected"), "copies")
+
+
+@query
+def op10_sharding(table):
+    placed = vector_packing.pack(table("documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
