@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, raking, rule_ledger, substring_dedup, token_files, vector_packing, warc_bundles
+from . import decontaminate, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,3 +71,11 @@ def op10_sharding(table):
     placed = vector_packing.pack(table("documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_toxicity(table):
+    docs = table("documents")
+    scored = toxicity_fm.score(docs, toxicity_fm.train(docs, table("labels")))
+    return scored.select("doc_id", toxicity_fm.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
