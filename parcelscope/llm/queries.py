@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles
+from . import decontaminate, ngram_join, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,3 +79,8 @@ def op4_toxicity(table):
     scored = toxicity_fm.score(docs, toxicity_fm.train(docs, table("labels")))
     return scored.select("doc_id", toxicity_fm.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_ngram_join(table):
+    return ngram_join.linked(table("documents"))
