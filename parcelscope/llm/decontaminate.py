@@ -229,7 +229,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, text_col: str
     spark = docs.sparkSession
     blocks = list(blocks_of(benchmark, item_id, item_text, block_bytes))
     if len(blocks) > 1:
-        raise ValueError("a benchmark of several blocks: use contamination() and join its verdicts")
+        key = F.struct(F.lit(0).alias("z"), F.xxhash64(docs[text_col].cast("string")).alias("h"), F.octet_length(docs[text_col].cast("string")).alias("n"))
+        texts = docs.select(key.alias("key"), docs[text_col].alias("text"))
+        found = contamination(texts, benchmark, "key", "text", item_id, item_text, block_bytes)
+        bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("key").distinct()
+        return docs.join(bad, key == bad["key"], "left_anti")
     sent = spark.sparkContext.broadcast(blocks[0])
 
     def run(batches):

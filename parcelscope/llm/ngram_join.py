@@ -254,6 +254,11 @@ def _texts(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, t
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
+    return _linked(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, copy, n_shingles, label, component_id) of every row; label is null without a set."""
     members = written(_members(docs, id_col, text_col), "members")
     clash = members.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b")
     if not clash.isEmpty():
@@ -276,7 +281,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts = written(texts.unionByName(_texts(docs, members, more, id_col, text_col)), "texts")
         found = _verify(rest, texts).filter("100 * both >= 80 * either")
         labels = components(edges.unionByName(found))
-    return _named(members, labels).withColumnRenamed("id", id_col)
+    return _named(members, labels)
 
 
 def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
@@ -300,13 +305,23 @@ def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
     least = members.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = written(least.join(named, "label").select("node", "component_id"), "components")
+    by_node = written(least.join(named, "label").select("node", "label", "component_id"), "components")
     out = members.join(by_node, "node", "left")
-    return out.select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", "copy", "n_shingles", "label", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the one whose id names it), with its own columns. Rows that
-    repeat an id and a text are folded."""
-    kept = linked(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row of each component, the one with its least id (of rows that share it, one text's), and
+    all rows without a set; with the columns of docs."""
+    found = written(_linked(docs, id_col, text_col), "linked")
+    first = (found.filter("label is not null").filter(F.col("id").eqNullSafe(F.col("component_id")))
+             .groupBy("label").agg(F.min(F.struct("id", "copy")).alias("r")).select("r.id", "r.copy", F.lit(True).alias("one")))
+    alone = found.filter("label is null").select("id", "copy", F.lit(False).alias("one")).distinct()
+    kept = written(first.unionByName(alone), "kept").select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "one")
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    rows = docs.select(own, docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("copy"))
+    same = (rows["copy"] == kept["_copy"]) & rows["id"].eqNullSafe(kept["_id"])
+    taken = rows.join(kept, same).select("doc", "id", "copy", "one")
+    nth = F.row_number().over(Window.partitionBy("copy", "id").orderBy("one"))
+    return taken.withColumn("nth", nth).filter("nth = 1 or not one").select("doc.*")
