@@ -116,3 +116,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         total += s
     if len(sizes) > begin:
         yield batch.slice(begin)
+
+
+def packed(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes with one space between words, first byte of each word, byte after each word)."""
+    size = len(words.data) - 8
+    inside = np.zeros(size + 1, dtype=np.int8)
+    inside[words.start] += 1
+    np.add.at(inside, words.end, -1)
+    inside = np.cumsum(inside)[:size] > 0
+    keep = inside.copy()
+    after = words.end[words.end < size]
+    keep[after] = True
+    at = np.cumsum(keep) - 1
+    return np.where(inside, words.data[:size], 32)[keep].tobytes(), at[words.start], at[words.end - 1] + 1
