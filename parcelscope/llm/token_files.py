@@ -13,9 +13,9 @@ File: b"RVB1", the documents' blocks (control bytes, then data bytes), an Arrow
 its own name; the manifest lists those that count.
 
 Encoding works on the words between ASCII white space, each different word once. That equals
-encoding the whole text only if the tokenizer drops white space and joins nothing across it;
-`check_splits` verifies that on the spot for a sample of awkward strings, and the tests for
-whole texts.
+encoding the whole text only if the tokenizer drops white space and joins nothing across it, lowers
+case, and cuts between a letter and a full stop; `check_splits` verifies that for awkward strings
+before any work, and the tests for whole texts.
 
 Defined cases: a null or empty text has the end id only; documents without an id come first; equal
 ids keep all their rows, ordered by their ids' bytes; an empty table makes no file.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import open_store, shared_folder, text_of, written
-from .wordhash import pieces
+from .wordhash import LOWER, pieces
 
 MAGIC = b"RVB1"
 KNOWN_WORDS = 200_000  # bound of a task's memory of encoded words
@@ -56,23 +56,49 @@ def check_splits(path: str) -> None:
         whole = t.encode(s, add_special_tokens=False).ids
         parts = [i for w in s.encode().split() for i in t.encode(w.decode(), add_special_tokens=False).ids]
         if whole != parts:
-            raise ValueError(f"{path}: white space matters to this tokenizer")
+            raise ValueError(f"{path}: this tokenizer can't be applied word by word")
+
+
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+_STOP = np.array([b in b".," for b in range(256)])
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with a space where an ASCII letter meets a full stop or comma (the tokenizer cuts
+    there too), and in lower case unless a special token may be written in them. It only makes
+    words repeat more often."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lower = not pc.any(pc.match_substring(texts, "<|")).as_py()
+    n = len(texts)
+    _, off, buf = texts.buffers()
+    if not n or buf is None:
+        return texts
+    off = np.frombuffer(off, np.int64)[texts.offset:texts.offset + n + 1]
+    data = np.frombuffer(buf, np.uint8)[off[0]:off[-1]]
+    data = LOWER[data] if lower else data
+    off = off - off[0]
+    letter, stop = _LETTER[data], _STOP[data]
+    cut = np.flatnonzero((letter[:-1] & stop[1:]) | (stop[:-1] & letter[1:])) + 1
+    off = off + np.searchsorted(cut, off, side="left")
+    data = np.insert(data, cut, 32)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data))
 
 
 class Encoder:
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end_id, self.known = tokenizer(path), end_id, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a unit, if marked
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each text closed by the end id; number of ids of each)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(spaced(texts))
         words = split.flatten()
         full = pc.greater(pc.binary_length(words), 0)
         upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         rows = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
         coded = words.filter(full).dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
         ids_of = self._ids(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
         flat = np.fromiter(itertools.chain.from_iterable(ids_of), np.uint32, int(sizes.sum()))
@@ -84,41 +110,62 @@ class Encoder:
         ends = stop[rows]
         return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, words
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = e.ids
+    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
         known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KNOWN_WORDS:
+            known = self.known = {}
+            new = words
+        plain = [w for w in new if w.isalpha()]
+        known.update(self._plain(plain))
+        rest = [w for w in new if w not in known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = e.ids
         return [known[w] for w in words]
 
+    def _plain(self, words: list[str]) -> dict[str, list[int]]:
+        """Words of letters only, encoded as one text; nothing if they are not one unit each."""
+        if not words:
+            return {}
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.closes[np.array(ids, dtype=np.int64)]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return {}
+        ends = ends.tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+
+def id_bytes(path: str, end_id: int) -> int:
+    """Two bytes are enough for the ids of a small vocabulary."""
+    return 2 if max(tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of every row; ids are little-endian unsigned 32-bit integers."""
+    """(id, ids) of every row; ids are little-endian unsigned integers of `id_bytes` bytes."""
     check_splits(tokenizer_path)
+    kind = f"<u{id_bytes(tokenizer_path, end_id)}"
     rows = text_of(docs, id_col, text_col)
 
     def run(batches):
         encode = Encoder(tokenizer_path, end_id)
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 6 << 20):
                 ids, n = encode(part.column("text"))
-                raw, stop = ids.astype("<u4").tobytes(), 4 * np.concatenate([[0], np.cumsum(n)])
+                raw, stop = ids.astype(kind).tobytes(), int(kind[2]) * np.concatenate([[0], np.cumsum(n)])
                 blobs = [raw[a:b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(blobs, pa.binary())], names=["id", "ids"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids binary")
 
 
-def ranks(tokens: DataFrame) -> np.ndarray:
+def ranks(tokens: DataFrame, width: int) -> np.ndarray:
     """The ids from frequent to rare (ties: smaller first). Counted in each task, then summed by id."""
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in pieces(batch, "ids"):
-                n = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"))
+                n = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{width}"))
                 if len(n) > len(total):
                     n, total = total, n
                 total[:len(n)] += n
@@ -182,7 +229,7 @@ class _Writer:
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
-def write_files(tokens: DataFrame, order: np.ndarray, folder: str, file_bytes: int = 64 << 20) -> DataFrame:
+def write_files(tokens: DataFrame, width: int, order: np.ndarray, folder: str, file_bytes: int = 64 << 20) -> DataFrame:
     """Write all rows of tokens (id, ids) in ascending id; returns the manifest, one row per file."""
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -198,7 +245,7 @@ def write_files(tokens: DataFrame, order: np.ndarray, folder: str, file_bytes: i
             for key, ids in zip(keys.to_pylist(), batch.column("ids").to_pylist()):
                 if writer is None:
                     writer = _Writer(folder, part, seq, keys.type)
-                writer.add(key, sent.value[np.frombuffer(ids, "<u4")])
+                writer.add(key, sent.value[np.frombuffer(ids, f"<u{width}")])
                 if writer.at >= file_bytes:
                     done.append(writer.close())
                     writer, seq = None, seq + 1
@@ -254,7 +301,8 @@ def _read_file(f, start: int, order: np.ndarray, block: int):
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write, and read back: (id, start, n_tokens, ids) as the files have them."""
     tokens = written(encoded(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
-    order = ranks(tokens)
+    width = id_bytes(tokenizer_path, end_id)
+    order = ranks(tokens, width)
     folder = shared_folder(docs.sparkSession, "token-files")
-    manifest = write_files(tokens, order, folder)
+    manifest = write_files(tokens, width, order, folder)
     return read_files(manifest, order, folder, dict(tokens.dtypes)["id"]).withColumnRenamed("id", id_col)
