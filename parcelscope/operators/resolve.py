@@ -1,10 +1,10 @@
 """Signals to parcels: by parcel number, by owner-name key, by street address.
 
-Name resolution never pairs the signals and the parcels of a hot key. Distinct owner names meet a
-summary of each key, and of each key and middle initial (counts and a bounded sample), so a key that
-holds a third of all parcels costs a name one row. A parcel can be reached through several
-keys of one name (a couple, say); those cases are found through the pairs of keys they share and
-corrected. The few names whose bounded sample cannot decide are looked up in full.
+Name resolution never pairs the signals and the parcels of a hot key. Parcels are folded twice: per
+key and middle initial, and per key map (all keys of a parcel with their initials). Names whose keys
+never meet in one parcel add up the folds of their keys, so a key that holds a third of all parcels
+costs such a name one row. Names whose keys do meet (a couple, say) read the folds of the key maps,
+in which every parcel occurs once. Up to 20 candidates are shown; no decision depends on them.
 """
 
 from __future__ import annotations
@@ -61,43 +61,21 @@ def _initial(c) -> Column:
     return F.nullif(F.substring(c, 1, 1), F.lit(""))
 
 
-def _summary(index: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: parcels, owner-occupied parcels, and a bounded sample of each."""
-    counts = index.groupBy(*keys).agg(
-        F.count("*").alias("c"), F.count_if("home").cast("bigint").alias("c_home")
-    )
-    shown = _bounded_sample(index, keys, "apn", "sample")
-    homes = _bounded_sample(index.where("home"), keys, "apn", "home_sample")
-    return counts.join(shown, keys).join(homes, keys, "left").withColumn(
-        "home_sample", F.coalesce("home_sample", F.array().cast("array<string>"))
-    )
+def _folded() -> list[Column]:
+    """Aggregates of parcels: how many, how many owner-occupied, and the first of each."""
+    home = F.when(F.col("home"), F.col("apn"))
+    return [
+        F.count("*").alias("c"), F.count(home).alias("c_home"),
+        F.min("apn").alias("first"), F.min(home).alias("first_home"),
+    ]
 
 
-def _shared_pairs(index: DataFrame) -> DataFrame:
-    """Parcels with several keys, one row per pair of keys, equal key sets folded together.
-
-    `keys` maps each key of the parcel to its initial; n, n_home and the samples cover all parcels
-    with exactly that map.
-    """
+def _key_maps(index: DataFrame) -> DataFrame:
+    """Parcels folded by their key map: `keys` is an array of (key, initial)."""
     per_parcel = index.groupBy("apn", "home").agg(
         F.sort_array(F.collect_list(F.struct("key", "initial"))).alias("keys")
-    ).where(F.size("keys") > 1)
-    group = per_parcel.withColumn("sig", F.to_json("keys"))
-    counts = group.groupBy("sig").agg(
-        F.count("*").alias("n"), F.count_if("home").cast("bigint").alias("n_home"),
-        F.first("keys").alias("keys"),
-    )
-    shown = _bounded_sample(group, ["sig"], "apn", "apns")
-    homes = _bounded_sample(group.where("home"), ["sig"], "apn", "home_apns")
-    folded = counts.join(shown, "sig").join(homes, "sig", "left")
-    left = folded.select("*", F.posexplode("keys").alias("i", "a"))
-    pairs = left.select(
-        "*", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b")
-    )
-    return pairs.select(
-        F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"),
-        "sig", "keys", "n", "n_home", "apns", "home_apns",
     )
+    return per_parcel.withColumn("map", F.to_json("keys"))
 
 
 def _tagged_index(index: DataFrame, properties: DataFrame) -> DataFrame:
@@ -121,116 +99,92 @@ def name_lookups(signals: DataFrame, sources=K.NAME_SOURCES) -> DataFrame:
 def decide_names(names: DataFrame, index: DataFrame, properties: DataFrame) -> DataFrame:
     """One decision per distinct owner name: see DECISION for the columns.
 
-    The names and the index are read several times below, so both are written down once.
+    The names and the tagged index are read several times below, so both are written once.
     """
-    names = cut_lineage(names)
-    idx = cut_lineage(_tagged_index(index, properties))
-    looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
-    # Once per key for all candidates, once per key and initial for those that agree on it.
-    every = looked.join(_summary(idx, ["key"]), "key")
-    agreeing = looked.select("owner_name", "key", F.explode("mids").alias("initial")).join(
-        _summary(idx.where(F.col("initial").isNotNull()), ["key", "initial"]), ["key", "initial"]
-    )
-    measures = ["c", "c_home", "sample", "home_sample"]
-    hits = every.select("owner_name", F.lit(False).alias("agrees"), *measures).unionByName(
-        agreeing.select("owner_name", F.lit(True).alias("agrees"), *measures)
-    )
-    total = lambda c, agrees: F.sum(
-        F.when(F.col("agrees") == agrees, F.col(c)).otherwise(0)
-    )
-    # Each list joins one bounded sample per key of the name.
-    listed = lambda c, agrees: F.flatten(
-        F.collect_list(F.when(F.col("agrees") == agrees, F.col(c)))
-    )
-    rows = hits.groupBy("owner_name").agg(
-        total("c", False).alias("n"), total("c_home", False).alias("n_home"),
-        total("c", True).alias("m"), total("c_home", True).alias("m_home"),
-        listed("sample", False).alias("apns"), listed("home_sample", False).alias("home_apns"),
-        listed("sample", True).alias("m_apns"), listed("home_sample", True).alias("m_home_apns"),
-    )
+    names = cut_lineage(names, "names")
+    idx = cut_lineage(_tagged_index(index, properties), "name-index")
+    maps = cut_lineage(_key_maps(idx), "key-maps")
+    meeting = _meeting(names, maps)
+    apart = names.join(meeting, "owner_name", "left_anti")
+    together = names.join(meeting, "owner_name", "left_semi")
+    counts = _add_keys(apart, idx).unionByName(_add_maps(together, maps))
+    shown = _shown_by_keys(apart, idx).unionByName(_shown_by_maps(together, maps))
     zero = F.lit(0).cast("bigint")
-    fixed = (
-        names.join(rows, "owner_name", "left")
-        .join(_overlap_corrections(names, idx), "owner_name", "left")
-        .select(
-            "owner_name", "keys", "mids",
-            *[
-                (F.coalesce(F.col(c), zero) - F.coalesce(F.col(f"x_{c}"), zero)).alias(c)
-                for c in ("n", "n_home", "m", "m_home")
-            ],
-            _smallest("apns").alias("apns"),
-            _smallest("home_apns").alias("home_apns"),
-            _smallest("m_apns", "x_m_apns").alias("m_apns"),
-            _smallest("m_home_apns", "x_m_apns").alias("m_home_apns"),
-        )
-    )
-    fixed = cut_lineage(fixed)
-    short = (F.size("m_apns") < F.least(F.col("m"), F.lit(CANDIDATES_SHOWN))) | (
-        F.size("m_home_apns") < F.least(F.col("m_home"), F.lit(CANDIDATES_SHOWN))
-    )
-    decided = _classify(fixed.where(~short))
-    return decided.unionByName(_decide_in_full(fixed.where(short).select("owner_name", "keys", "mids"), idx))
+    both = names.select("owner_name").join(counts, "owner_name", "left").join(shown, "owner_name", "left")
+    return _classify(both.withColumns({c: F.coalesce(c, zero) for c in ("n", "n_home", "m", "m_home")}))
 
 
-def _smallest(name: str, without: str | None = None) -> Column:
-    empty = F.array().cast("array<string>")
-    values = F.array_distinct(F.coalesce(F.col(name), empty))
-    if without:
-        values = F.array_except(values, F.coalesce(F.col(without), empty))
-    return F.slice(F.sort_array(values), 1, CANDIDATES_SHOWN)
+def _meeting(names: DataFrame, maps: DataFrame) -> DataFrame:
+    """Owner names with two keys that some parcel has together."""
+    pairs = maps.where(F.size("keys") > 1).select(F.explode("keys.key").alias("a"), "keys").select(
+        "a", F.explode("keys.key").alias("b")
+    ).where("a < b").distinct()
+    several = names.where(F.size("keys") > 1).select("owner_name", F.explode("keys").alias("a"), "keys").select(
+        "owner_name", "a", F.explode("keys").alias("b")
+    ).where("a < b")
+    return several.join(pairs, ["a", "b"]).select("owner_name").distinct()
 
 
-def _overlap_corrections(names: DataFrame, idx: DataFrame) -> DataFrame:
-    """What the sums over single keys count too often, per owner name.
+def _totals() -> list[Column]:
+    """Sums of folds, all and those that agree (`ok`) on a middle initial."""
+    ok = lambda c: F.when(F.col("ok"), F.col(c))
+    return [
+        F.sum("c").alias("n"), F.sum("c_home").alias("n_home"),
+        F.coalesce(F.sum(ok("c")), F.lit(0)).alias("m"),
+        F.coalesce(F.sum(ok("c_home")), F.lit(0)).alias("m_home"),
+        F.min("first").alias("first"), F.min("first_home").alias("first_home"),
+        F.min(ok("first")).alias("m_first"), F.min(ok("first_home")).alias("m_first_home"),
+    ]
 
-    A parcel reached through several keys counts once, and the last of those keys gives its initial.
-    """
-    several = names.where(F.size("keys") > 1).select(
-        "owner_name", "keys", "mids", F.explode("keys").alias("key_a")
-    )
-    pairs = several.select(
-        "*", F.explode("keys").alias("key_b")
-    ).where(F.col("key_a") < F.col("key_b")).select(
-        "owner_name", F.col("keys").alias("name_keys"), "mids", "key_a", "key_b"
-    )
-    met = pairs.join(_shared_pairs(idx), ["key_a", "key_b"])
-    reached = F.filter("keys", lambda k: F.array_contains("name_keys", k["key"]))
-    # A parcel that shares three keys shows up for three pairs; keep the first pair only.
-    once = met.withColumn("reached", reached).where(
-        (F.col("key_a") == F.col("reached")[0]["key"])
-        & (F.col("key_b") == F.col("reached")[1]["key"])
-    )
-    ok = lambda k: F.coalesce(
-        F.array_contains(F.col("mids"), k["initial"]), F.lit(False)
-    )
-    ordered = F.array_sort(
-        F.transform(
-            "reached",
-            lambda k: F.struct(
-                F.array_position(F.col("name_keys"), k["key"]).alias("pos"), ok(k).alias("ok")
-            ),
-        )
-    )
-    scored = once.withColumn("ordered", ordered).select(
-        "owner_name", "n", "n_home", "apns",
-        (F.size("reached") - 1).alias("extra"),
-        F.size(F.filter("ordered", lambda k: k["ok"])).alias("hits"),
-        F.element_at("ordered", -1)["ok"].alias("last_ok"),
-    )
-    m_extra = F.col("hits") - F.col("last_ok").cast("int")
-    dropped = (F.col("hits") > 0) & ~F.col("last_ok")
-    empty = F.array().cast("array<string>")
-    return scored.groupBy("owner_name").agg(
-        F.sum(F.col("extra") * F.col("n")).alias("x_n"),
-        F.sum(F.col("extra") * F.col("n_home")).alias("x_n_home"),
-        F.sum(m_extra * F.col("n")).alias("x_m"),
-        F.sum(m_extra * F.col("n_home")).alias("x_m_home"),
-        F.flatten(F.collect_list(F.when(dropped, F.col("apns")).otherwise(empty))).alias("x_m_apns"),
-    )
+
+def _agrees(initial: str) -> Column:
+    return F.coalesce(F.array_contains("mids", F.col(initial)), F.lit(False))
+
+
+def _add_keys(names: DataFrame, idx: DataFrame) -> DataFrame:
+    """Totals of names that reach every parcel through one key; a key has as many rows as initials."""
+    per_key = idx.groupBy("key", "initial").agg(*_folded())
+    looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
+    return looked.join(per_key, "key").withColumn("ok", _agrees("initial")).groupBy("owner_name").agg(*_totals())
+
+
+def _reached(names: DataFrame, maps: DataFrame) -> DataFrame:
+    """(owner_name, map, ok): key maps that a name reaches; its last key there gives the initial."""
+    keys = maps.select("map", "keys").dropDuplicates(["map"]).select("map", F.explode("keys").alias("k")).select(
+        "map", F.col("k.key").alias("key"), F.col("k.initial").alias("initial"))
+    looked = names.select("owner_name", "mids", F.posexplode("keys").alias("pos", "key"))
+    return looked.join(keys, "key").withColumn("ok", _agrees("initial")).groupBy("owner_name", "map").agg(
+        F.max_by("ok", "pos").alias("ok"))
+
+
+def _add_maps(names: DataFrame, maps: DataFrame) -> DataFrame:
+    """Totals of names whose keys meet: every parcel is in one key map, so nothing counts twice."""
+    per_map = maps.groupBy("map").agg(*_folded())
+    return _reached(names, maps).join(per_map, "map").groupBy("owner_name").agg(*_totals())
+
+
+def _first_shown(every: DataFrame) -> DataFrame:
+    """(owner_name, apns, m_apns) from (owner_name, apn, ok): the first few of all, and of those that agree."""
+    name = ["owner_name"]
+    return _bounded_sample(every, name, "apn", "apns").join(
+        _bounded_sample(every.where("ok"), name, "apn", "m_apns"), "owner_name", "left")
+
+
+def _shown_by_keys(names: DataFrame, idx: DataFrame) -> DataFrame:
+    few = _bounded_sample(idx, ["key", "initial"], "apn", "apns")
+    looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
+    every = looked.join(few, "key").select("owner_name", _agrees("initial").alias("ok"), F.explode("apns").alias("apn"))
+    return _first_shown(every)
+
+
+def _shown_by_maps(names: DataFrame, maps: DataFrame) -> DataFrame:
+    few = _bounded_sample(maps, ["map"], "apn", "apns")
+    every = _reached(names, maps).join(few, "map").select("owner_name", "ok", F.explode("apns").alias("apn"))
+    return _first_shown(every)
 
 
 def _classify(c: DataFrame) -> DataFrame:
-    """Counts and samples to a decision.
+    """Totals to a decision.
 
     One candidate is taken. Of several, those that agree on a middle initial are preferred; then
     the only owner-occupied one; otherwise the name stays ambiguous.
@@ -238,13 +192,10 @@ def _classify(c: DataFrame) -> DataFrame:
     n, m = F.col("n"), F.col("m")
     narrowed = (n > 1) & (m > 1)
     homes = F.when(narrowed, F.col("m_home")).otherwise(F.col("n_home"))
-    home_apn = F.when(narrowed, F.get("m_home_apns", F.lit(0))).otherwise(
-        F.get("home_apns", F.lit(0))
-    )
     apn = (
-        F.when(n == 1, F.get("apns", F.lit(0)))
-        .when((n > 1) & (m == 1), F.get("m_apns", F.lit(0)))
-        .when((n > 1) & (homes == 1), home_apn)
+        F.when(n == 1, F.col("first"))
+        .when((n > 1) & (m == 1), F.col("m_first"))
+        .when((n > 1) & (homes == 1), F.when(narrowed, F.col("m_first_home")).otherwise(F.col("first_home")))
     )
     confidence = (
         F.when(n == 0, "none")
@@ -253,41 +204,13 @@ def _classify(c: DataFrame) -> DataFrame:
         .when(homes == 1, "likely")
         .otherwise("ambiguous")
     )
+    shown = F.when(narrowed, F.col("m_apns")).otherwise(F.col("apns"))
     return c.select(
         "owner_name", apn.alias("apn"), confidence.alias("confidence"),
         F.lit("keys").alias("method"),
         F.when(narrowed, m).otherwise(n).alias("n_candidates"),
-        F.when(narrowed, F.col("m_apns")).otherwise(F.col("apns")).alias("candidates"),
-    )
-
-
-def _decide_in_full(names: DataFrame, idx: DataFrame) -> DataFrame:
-    """The plain join for the few names the samples cannot decide, aggregated without lists."""
-    looked = names.select("owner_name", "mids", F.posexplode("keys").alias("pos", "key"))
-    per_parcel = (
-        looked.join(idx, "key")
-        .groupBy("owner_name", "apn")
-        .agg(
-            F.max(F.struct("pos", F.array_contains("mids", F.col("initial")).alias("ok"))).alias("l"),
-            F.first("home").alias("home"),
-        )
-        .withColumn("ok", F.coalesce("l.ok", F.lit(False)))
-    )
-    counts = per_parcel.groupBy("owner_name").agg(
-        F.count("*").alias("n"), F.count_if("home").alias("n_home"), F.count_if("ok").alias("m"),
-        F.count_if(F.col("ok") & F.col("home")).alias("m_home"),
+        F.coalesce(shown, F.array().cast("array<string>")).alias("candidates"),
     )
-    samples = {
-        "apns": F.lit(True), "home_apns": F.col("home"), "m_apns": F.col("ok"),
-        "m_home_apns": F.col("ok") & F.col("home"),
-    }
-    out = names.select("owner_name").join(counts, "owner_name")
-    for name, condition in samples.items():
-        out = out.join(
-            _bounded_sample(per_parcel.where(condition), ["owner_name"], "apn", name),
-            "owner_name", "left",
-        )
-    return _classify(out)
 
 
 def resolve_by_name(
@@ -322,16 +245,20 @@ def resolve_by_address(
     todo = signals.where(
         ~F.coalesce("resolved", F.lit(False)) & F.col("apn").isNull()
         & F.col("situs_address").isNotNull() & F.col("source").isin(list(sources))
-    ).select("source", "external_id", key.alias("street")).withColumn(
-        "street", F.when(F.length("street") >= 4, F.col("street"))
-    )
+    ).select("source", "external_id", key.alias("street"))
+    known = F.coalesce(F.length("street") >= 4, F.lit(False))
     parcels = properties.select(
         T.normalize_address("situs_address").alias("street"), "apn"
     ).where(F.length("street") >= 4)
     folded = parcels.groupBy("street").agg(F.count("*").alias("n")).join(
         _bounded_sample(parcels, ["street"], "apn", "apns"), "street"
     )
-    matched = classify_candidates(todo.join(folded, "street", "left"))
+    # Streets too short to look up are left out of the join, which would send them to one task.
+    met = todo.where(known).join(folded, "street", "left")
+    blank = todo.where(~known).withColumns(
+        {"n": F.lit(0).cast("bigint"), "apns": F.array().cast("array<string>")}
+    )
+    matched = classify_candidates(met.unionByName(blank))
     return matched.select(
         "source", "external_id", "apn", "confidence", F.lit("address").alias("method"),
         "n_candidates", "candidates",

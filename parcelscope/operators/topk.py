@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def first_rows(df: DataFrame, keys: list, order: list[Column], n: int = 1, rank: str | None = None):
     """The first n rows of every group.
@@ -18,41 +20,28 @@ def first_rows(df: DataFrame, keys: list, order: list[Column], n: int = 1, rank:
     return out if rank else out.drop(name)
 
 
-def numbered_rows(df: DataFrame, group: str, position: str, tie: str, name: str = "rn",
-                  slices: int = 64) -> DataFrame:
-    """row_number() within `group` by (position, tie), with large groups cut into slices.
+def numbered_rows(df: DataFrame, group: str, position: str, tie: str, name: str = "rn") -> DataFrame:
+    """row_number() within `group` by (position, tie), rows without a position first.
 
-    The slice edges are approximate quantiles of `position`; rows are numbered inside a slice and
-    shifted by the row counts of the slices before it, so no task sorts a whole group and the
-    numbering is still exact.
+    Rows are dealt by ranges of (group, position, tie), numbered inside a range, and shifted by the
+    counts of the ranges before. Ties and missing positions are spread by `tie` like any other
+    rows, and the number of ranges follows the session's partitions.
     """
-    shares = [F.lit((i + 1) / slices) for i in range(slices - 1)]
-    edges = df.groupBy(F.col(group).alias("__g")).agg(
-        F.percentile_approx(position, F.array(*shares), F.lit(1000)).alias("__edges")
-    )
-    sliced = df.join(edges, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn(
-        "__slice",
-        F.coalesce(
-            F.size(F.filter("__edges", lambda e: e < F.col(position))), F.lit(0)
-        ) + F.when(F.col(position).isNull(), slices).otherwise(0),
-    ).drop("__edges", "__g")
-    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    order = [F.col(position).asc_nulls_first(), F.col(tie).asc()]
+    ranged = df.repartitionByRange(F.col(group).asc_nulls_first(), *order)
+    # Written, so that the range of a row is the same wherever it is read below.
+    ranged = cut_lineage(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        sliced.groupBy(group, "__slice").agg(F.count("*").alias("__n"))
+        ranged.groupBy(group, "__range").agg(F.count("*").alias("__n"))
         .withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .select(F.col(group).alias("__g"), F.col("__slice").alias("__s"), "__shift")
-    )
-    inside = Window.partitionBy(group, "__slice").orderBy(
-        F.col(position).asc_nulls_last(), F.col(tie).asc()
+        .select(F.col(group).alias("__g"), F.col("__range").alias("__r"), "__shift")
     )
-    numbered = sliced.withColumn("__rn", F.row_number().over(inside))
+    inside = Window.partitionBy(group, "__range").orderBy(*order)
+    numbered = ranged.withColumn("__rn", F.row_number().over(inside))
+    same = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r"))
     return (
-        numbered.join(
-            shifts,
-            F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s")),
-        )
+        numbered.join(shifts, same)
         .withColumn(name, F.col("__rn") + F.col("__shift"))
-        .drop("__g", "__s", "__rn", "__shift", "__slice")
+        .drop("__g", "__r", "__rn", "__shift", "__range")
     )

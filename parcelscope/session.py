@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,24 +23,22 @@ def get_spark(app_name: str = "parcelscope", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir"
-    )
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, which every executor reaches; a scratch folder only where that is
+    unset and all of the session runs in this process."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not (sc.master or "").startswith("local"):
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix=f"parcelscope-{os.getpid()}-")
-    sc.setCheckpointDir(configured)
+        configured = tempfile.mkdtemp(prefix="parcelscope-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder, so that a lost executor cannot lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: it runs once, a lost executor cannot lose it, and
+    readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

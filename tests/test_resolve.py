@@ -111,6 +111,29 @@ def test_random_names(spark, seed):
           list({name() for _ in range(60)}))
 
 
+def test_home_among_many_couples_is_not_a_candidate_that_agrees(spark):
+    # 25 parcels end on a key without an agreeing initial; only the 25th is owner-occupied. The
+    # parcels that agree are 30 and 31, and 30 is owner-occupied.
+    couples = [parcel(i, "SMITH JOHN A & JOHN SMITH B", absentee=i != 25) for i in range(1, 26)]
+    check(spark, [*couples, parcel(30, "JOHN SMITH A", False), parcel(31, "JOHN SMITH A")],
+          ["SMITH JOHN A", "JOHN SMITH A", "SMITH JOHN B", "SMITH JOHN"])
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_random_names_with_large_key_maps(spark, seed):
+    rnd = random.Random(seed)
+    owners = ["SMITH JOHN A & JOHN SMITH B", "SMITH JOHN A/MARY", "JOHN SMITH A", "SMITH JOHN", "SMITH JOHN B",
+              "SMITH MARY C/JOHN A", "JOHN SMITH/SMITH JOHN A"]
+    rows = []
+    for owner in rnd.sample(owners, 4):
+        size = rnd.choice([1, 2, 26, 40])
+        homes = rnd.sample(range(size), min(size, rnd.choice([0, 1, 1, 2])))
+        base = len(rows)
+        rows += [parcel(base + i, owner, i not in homes) for i in range(size)]
+    rnd.shuffle(rows)
+    check(spark, rows, [*owners, "SMITH JOHN A & SMITH MARY", "MARY SMITH C", "SMITH JOHN Q", "JOHN SMITH B"])
+
+
 def test_address_pass(spark):
     parcels = spark.createDataFrame([
         ("1", None, "5932 W Pasadena Ave.", True), ("2", None, "9405 W GLENDALE AVE", True),
