@@ -127,8 +127,10 @@ def parse_legal_class(c) -> Column:
 
 
 def numeric_or_null(c) -> Column:
-    """Number, with blank, junk and zero as NULL."""
-    return F.nullif(strip(c).try_cast("double"), F.lit(0.0))
+    """Number, with blank, junk and zero as NULL. Only digits, sign, point and exponent make a number."""
+    text = strip(c)
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), F.nullif(number, F.lit(0.0)))
 
 
 def year_built(c) -> Column:

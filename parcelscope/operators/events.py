@@ -7,13 +7,11 @@ over its time line.
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -89,110 +87,37 @@ def click_after_send_asof(events: DataFrame, secs: int = 5) -> DataFrame:
 OPEN_KEY = ["prospect_id", "campaign_id"]
 
 
-def dedupe_opens(events: DataFrame, hours: int = 1, max_group: int = 10_000) -> DataFrame:
-    """'opened' events kept: the first, then each one at least `hours` after the last kept.
+def dedupe_opens(events: DataFrame, hours: int = 1) -> DataFrame:
+    """'opened' events kept: the first of a group, then each one at least `hours` after the last kept.
 
-    Groups up to max_group distinct times are folded as one sorted array. Larger ones go through
-    _kept_by_pointers, which splits a group over its time line. Both keep the same events.
+    What is kept depends on what was kept before, so the times of a group are read in order. A task
+    streams its groups sorted by time and remembers one time; a group of any length needs no array.
+    An event at least `hours` after the one before it is always kept, so groups are first cut there,
+    and the parts of a long group are read by different tasks.
     """
     gap = hours * 3600 * MICROS
-    opened = events.where(F.col("event") == "opened")
-    times = opened.groupBy(
+    times = events.where(F.col("event") == "opened").groupBy(
         *OPEN_KEY, F.unix_micros("created_at").alias("us")
     ).agg(F.min("id").alias("id"))
-    sizes = times.groupBy(*OPEN_KEY).agg(F.count("*").alias("__n"))
-    hot = sizes.where(F.col("__n") > max_group).select(*OPEN_KEY)
-    keys_equal = _null_safe(times, hot)
-    if hot.isEmpty():
-        kept = _kept_by_fold(times, gap)
-    else:
-        small = times.join(hot.alias("hot"), keys_equal, "left_anti")
-        large = times.join(hot.alias("hot"), keys_equal, "left_semi")
-        kept = _kept_by_fold(small, gap).unionByName(_kept_by_pointers(large, gap))
-    return events.join(kept.select("id"), "id", "left_semi")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys=OPEN_KEY) -> Column:
-    conditions = [left[k].eqNullSafe(right[k]) for k in keys]
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
-def _kept_by_fold(times: DataFrame, gap: int) -> DataFrame:
-    entry = F.struct("us", "id")
-    empty = F.array().cast("array<struct<us:bigint,id:bigint>>")
-    kept = F.aggregate(
-        F.sort_array(F.collect_list(entry)), empty,
-        lambda acc, e: F.when(
-            (F.size(acc) == 0) | (e["us"] - F.element_at(acc, -1)["us"] >= gap),
-            F.concat(acc, F.array(e)),
-        ).otherwise(acc),
-    )
-    return times.groupBy(*OPEN_KEY).agg(kept.alias("kept")).select(
-        *OPEN_KEY, F.explode("kept").alias("e")
-    ).select(*OPEN_KEY, "e.us", "e.id")
-
-
-def _kept_by_pointers(times: DataFrame, gap: int) -> DataFrame:
-    """Follow 'next event at least gap later' from the first event, doubling the step each round."""
-    points = cut_lineage(
-        _next_pointers(times.withColumn("k", F.to_json(F.struct(*OPEN_KEY))), gap)
-    )
-    span = points.agg((F.max("us") - F.min("us")).alias("s")).first()["s"] or 0
-    rounds = max(1, math.ceil(math.log2(span / gap + 2)))
-    jumps = points.select("k", "us", "nxt")
-    reached = points.groupBy("k").agg(F.min("us").alias("us"))
-    for _ in range(rounds):
-        step = reached.join(jumps, ["k", "us"]).where(F.col("nxt").isNotNull()).select(
-            "k", F.col("nxt").alias("us")
-        )
-        reached = cut_lineage(reached.unionByName(step).distinct())
-        ahead = jumps.select("k", F.col("us").alias("nxt"), F.col("nxt").alias("nxt2"))
-        jumps = cut_lineage(
-            jumps.where(F.col("nxt").isNotNull()).join(ahead, ["k", "nxt"])
-            .select("k", "us", F.col("nxt2").alias("nxt"))
-        )
-    return points.join(reached, ["k", "us"], "left_semi").select(*OPEN_KEY, "us", "id")
-
-
-def _next_pointers(times: DataFrame, gap: int) -> DataFrame:
-    """Adds nxt: the time of the group's first event at least gap after this one.
-
-    It lies in the next bucket at the same or a later offset, or else is the first event of a
-    bucket after that.
-    """
-    rows = times.withColumn("bucket", F.floor(F.col("us") / gap))
-    probes = rows.select(
-        "k", (F.col("bucket") + 1).alias("bucket"), (F.col("us") + gap).alias("at"),
-        F.col("us").alias("probe"), F.lit(None).cast("bigint").alias("hit"),
-    )
-    targets = rows.select(
-        "k", "bucket", F.col("us").alias("at"), F.lit(None).cast("bigint").alias("probe"),
-        F.col("us").alias("hit"),
-    )
-    # Latest first and events before probes at the same time, so the running last() is the answer.
-    later = Window.partitionBy("k", "bucket").orderBy(
-        F.col("at").desc(), F.col("hit").isNull().cast("int")
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = (
-        probes.unionByName(targets)
-        .withColumn("near", F.last("hit", ignorenulls=True).over(later))
-        .where(F.col("probe").isNotNull())
-        .select("k", F.col("probe").alias("us"), "near")
-    )
-    after = Window.partitionBy("k").orderBy("bucket").rangeBetween(2, Window.unboundedFollowing)
-    far = (
-        rows.groupBy("k", "bucket").agg(F.min("us").alias("first"))
-        .withColumn("far", F.min("first").over(after))
-        .select("k", "bucket", "far")
-    )
-    return (
-        rows.join(near, ["k", "us"], "left").join(far, ["k", "bucket"])
-        .withColumn("nxt", F.coalesce("near", "far"))
-        .drop("near", "far", "bucket")
-    )
+    order = Window.partitionBy(*OPEN_KEY).orderBy("us")
+    starts = F.when(F.coalesce(F.col("us") - F.lag("us").over(order) >= gap, F.lit(True)), F.col("us"))
+    runs = times.withColumn("run", F.max(starts).over(order))
+    key = [*OPEN_KEY, "run"]
+
+    def keep(batches):
+        held, last = None, 0
+        for rows in batches:
+            out = []
+            columns = (rows[c].tolist() for c in (*key, "us", "id"))
+            for *group, us, event in zip(*columns):
+                if group != held or us - last >= gap:
+                    held, last = group, us
+                    out.append(event)
+            yield pd.DataFrame({"id": pd.Series(out, dtype="int64")})
+
+    whole = runs.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in OPEN_KEY})
+    kept = whole.repartition(*key).sortWithinPartitions(*key, "us").mapInPandas(keep, "id bigint")
+    return events.join(kept, "id", "left_semi")
 
 
 def prospect_status_fold(events: DataFrame, prospects: DataFrame | None = None) -> DataFrame:

@@ -42,13 +42,16 @@ def lead_priority(lender: Column) -> Column:
     return F.when(lender, first).otherwise(0)
 
 
-def lead_rank(pool: DataFrame, limit: int = POOL) -> DataFrame:
-    """Two rows per lead: its rank `rk` for lenders and for everyone else.
+def bounded(leads: DataFrame, pool: int) -> DataFrame:
+    """The leads, failing on a place beyond the pool: `pos` numbers them, so this proves that there are
+    at most `pool`, which is what the broadcasts below rely on. Nothing is dropped."""
+    beyond = F.raise_error(F.concat(F.lit(f"more leads than the pool of {pool}: place "), F.col("pos").cast("string")))
+    return leads.withColumn("pos", F.when(F.col("pos") <= pool, F.col("pos")).otherwise(beyond.cast("int")))
 
-    `pos` numbers the pool, so keeping places up to `limit` proves the size of everything built
-    on it, which is what the broadcasts below rely on.
-    """
-    both = pool.where(F.col("pos") <= limit).withColumn("lender", F.explode(F.array(F.lit(True), F.lit(False))))
+
+def lead_rank(leads: DataFrame, pool: int = POOL) -> DataFrame:
+    """Two rows per lead: its rank `rk` for lenders and for everyone else."""
+    both = bounded(leads, pool).withColumn("lender", F.explode(F.array(F.lit(True), F.lit(False))))
     order = [
         lead_priority(F.col("lender")), F.coalesce("stacked_types", F.lit(0)).desc(),
         F.col("score").desc_nulls_last(), F.col("event_date").desc_nulls_last(), F.col("pos"),
@@ -63,28 +66,34 @@ def _areas(prospects: DataFrame) -> DataFrame:
     )
 
 
-def match_tiers(prospects: DataFrame, leads: DataFrame, per_area: int = 3) -> DataFrame:
-    """Candidate leads (prospect_id, pos, tier, rk), enough for two picks per prospect.
+def match_tiers(prospects: DataFrame, leads: DataFrame, pool: int = POOL) -> DataFrame:
+    """Every lead of the pool for every prospect (prospect_id, pos, tier, rk), in its best tier.
 
-    Instead of every lead of an area, the few best of each zip, each city and overall are joined:
-    at most one lead can already be taken by a better tier when the next tier is consulted.
+    The result has pool rows per prospect; `match_top2` doesn't build it.
     """
-    ranked = lead_rank(leads).select(
+    return _tiers(prospects, leads, pool, None)
+
+
+def _tiers(prospects: DataFrame, leads: DataFrame, pool: int, best_of: int | None) -> DataFrame:
+    """The tiers, with `best_of` only so many leads of each zip, each city and overall."""
+    ranked = lead_rank(leads, pool).select(
         "lender", "rk", "pos", F.nullif("situs_zip", F.lit("")).alias("zip"),
         F.nullif(F.lower("situs_city"), F.lit("")).alias("city"),
     )
     wanted = _areas(prospects)
 
     def area(column: str, listed: str, tier: int) -> DataFrame:
-        best = first_rows(
-            ranked.where(F.col(column).isNotNull()), ["lender", column], [F.col("rk")], per_area
-        )
+        best = ranked.where(F.col(column).isNotNull())
+        if best_of:
+            best = first_rows(best, ["lender", column], [F.col("rk")], best_of)
         asked = wanted.select("prospect_id", "lender", F.explode(listed).alias(column))
         return asked.join(F.broadcast(best), ["lender", column]).select(
             "prospect_id", "pos", "rk", F.lit(tier).alias("tier_no")
         )
 
-    overall = ranked.where(F.col("rk") <= per_area).select("lender", "pos", "rk")
+    overall = ranked.select("lender", "pos", "rk")
+    if best_of:
+        overall = overall.where(F.col("rk") <= best_of)
     anyone = wanted.join(F.broadcast(overall), "lender").select(
         "prospect_id", "pos", "rk", F.lit(2).alias("tier_no")
     )
@@ -94,12 +103,14 @@ def match_tiers(prospects: DataFrame, leads: DataFrame, per_area: int = 3) -> Da
     ).withColumn("tier", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier_no") + 1))
 
 
-def match_top2(prospects: DataFrame, leads: DataFrame) -> DataFrame:
-    """The two best leads of every prospect by tier, then rank, without a limit on reuse."""
-    picked = first_rows(
-        match_tiers(prospects, leads), ["prospect_id"], [F.col("tier_no"), F.col("rk")], 2,
-        rank="rank",
-    )
+def match_top2(prospects: DataFrame, leads: DataFrame, pool: int = POOL) -> DataFrame:
+    """The two best leads of every prospect by tier, then rank, without a limit on reuse.
+
+    Three leads of each area are enough: at most one can already be taken by a better tier when the
+    next tier is consulted.
+    """
+    tiers = _tiers(prospects, leads, pool, 3)
+    picked = first_rows(tiers, ["prospect_id"], [F.col("tier_no"), F.col("rk")], 2, rank="rank")
     return picked.select("prospect_id", "rank", "tier", "pos")
 
 
@@ -165,10 +176,10 @@ def match_leads(
     )
 
 
-def match_rows(matches: DataFrame, leads: DataFrame, match_date) -> DataFrame:
+def match_rows(matches: DataFrame, leads: DataFrame, match_date, pool: int = POOL) -> DataFrame:
     """Matches as stored: lead columns, pitch line, 0/1 absentee flag."""
     types = F.coalesce("signal_types", "signal_type")
-    shaped = leads.where(F.col("pos") <= POOL).select(
+    shaped = bounded(leads, pool).select(
         "pos", "apn",
         X.build_pitch_line(
             types, "situs_address", "situs_city", "situs_zip", "years_owned", "absentee"

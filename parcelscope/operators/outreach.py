@@ -17,7 +17,7 @@ def select_prospects(prospects: DataFrame, segment: str | None = None, ids=None)
         prospects = prospects.where(F.col("segment") == segment)
     if ids:
         prospects = prospects.where(F.col("id").isin(list(ids)))
-    return prospects.orderBy(F.col("rank").asc_nulls_last(), "id")
+    return prospects.orderBy(F.col("rank").asc_nulls_first(), "id")
 
 
 def populate_prospect_geo(prospects: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def populate_prospect_geo(prospects: DataFrame) -> DataFrame:
 
 
 def assign_variants(prospects: DataFrame) -> DataFrame:
-    """Give every prospect a variant: round-robin by rank within its segment.
+    """Give every prospect a variant: round-robin by rank within its segment, missing ranks first.
 
     The sequence goes on from the number already assigned in the segment; a missing segment is a
     segment of its own.
@@ -75,7 +75,8 @@ def ensure_link_codes(prospects: DataFrame, salt: str, tries: int = 4) -> DataFr
     """A unique code for every prospect without one; existing codes stay.
 
     Each prospect proposes a few codes. A code goes to one proposer and never to one that exists,
-    so the codes are unique whatever the digest does.
+    so the codes are unique whatever the digest does. A prospect that gets none of its codes fails
+    the job; it is never left without.
     """
     seed = F.concat_ws("|", F.lit(salt), F.col("id"), F.col("try"))
     proposed = (
@@ -88,7 +89,8 @@ def ensure_link_codes(prospects: DataFrame, salt: str, tries: int = 4) -> DataFr
     given = owners.groupBy("owner.id").agg(F.min_by("code", "owner.try").alias("__code"))
     return (
         prospects.join(given, "id", "left")
-        .withColumn("link_code", F.coalesce("link_code", "__code"))
+        .withColumn("link_code", F.coalesce("link_code", "__code", F.raise_error(
+            F.concat(F.lit(f"no code in {tries} tries for prospect "), F.col("id").cast("string")))))
         .select(*prospects.columns)
     )
 
@@ -323,7 +325,8 @@ SHEET_KEYS = ["segment_rank", "segment_first", "flagged"]
 def send_sheet_keys(sheet: DataFrame) -> DataFrame:
     """Adds what the sheet is sorted by: its segment's best prospect, and flagged or not."""
     key = F.coalesce("segment", F.lit(""))
-    best = sheet.groupBy(key.alias("__k")).agg(F.min(F.struct("rank", "id")).alias("__best"))
+    place = F.coalesce("rank", F.lit(0)).alias("rank")  # a missing rank counts as 0
+    best = sheet.groupBy(key.alias("__k")).agg(F.min(F.struct(place, "id")).alias("__best"))
     return sheet.join(best, key == F.col("__k")).select(
         *sheet.columns, F.col("__best.rank").alias("segment_rank"),
         F.col("__best.id").alias("segment_first"),
@@ -335,7 +338,7 @@ def send_sheet_order(sheet: DataFrame) -> DataFrame:
     """Segments by their best rank, flagged inboxes last in a segment, then rank."""
     return (
         send_sheet_keys(sheet)
-        .orderBy(*SHEET_KEYS, F.col("rank").asc_nulls_last(), "id")
+        .orderBy(*SHEET_KEYS, F.coalesce("rank", F.lit(0)), "id")
         .drop(*SHEET_KEYS)
     )
 
@@ -344,9 +347,19 @@ def send_sheet_order(sheet: DataFrame) -> DataFrame:
 
 
 def _is_bot_click(meta: Column) -> Column:
-    """A click's recorded bot mark; malformed meta counts as a person."""
-    mark = F.get_json_object(meta, "$.bot")
-    return F.coalesce(~F.lower(mark).isin("false", "0", "", "null"), F.lit(False))
+    """A click's recorded bot mark: any value but false, 0, "" and null. Meta that is not JSON as a
+    whole counts as a person."""
+    parsed = F.try_parse_json(F.nullif(strip(meta), F.lit("")))
+    mark = F.try_variant_get(parsed, "$.bot", "string")
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.bot", "variant"))
+    no = (
+        F.when(kind == "BOOLEAN", mark == "false")
+        .when(kind == "STRING", mark == "")
+        .when(kind.isin("VOID") | mark.isNull(), True)
+        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), mark.try_cast("double") == 0)
+        .otherwise(False)
+    )
+    return F.coalesce(~no, F.lit(False))
 
 
 def engagement_events(events: DataFrame, pages: DataFrame) -> DataFrame:
@@ -365,22 +378,42 @@ def engagement_events(events: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def engagement_rollup(events: DataFrame, pages: DataFrame, prospects: DataFrame) -> DataFrame:
-    """One row per prospect with any click or page event."""
+    """One row per prospect with any click or page event.
+
+    Events are folded to (prospect, session, path) first, so sessions and pages are counted without
+    copying the events for each distinct count.
+    """
     click, page = F.col("kind") == "click", F.col("kind") == "page"
     of = lambda e: page & (F.col("event") == e)
     path = F.nullif("path", F.lit(""))
     on_report = of("engaged_time") & F.startswith(path, F.lit("/report"))
-    rolled = engagement_events(events, pages).groupBy("prospect_id").agg(
-        F.min(F.when(click, F.col("at"))).alias("first_click_at"),
-        F.max("at").alias("last_seen"),
-        F.count_if(click & ~F.col("bot")).alias("human_clicks"),
-        F.count_if(click & F.col("bot")).alias("bot_clicks"),
-        F.count_distinct("session_id").alias("sessions"),
-        F.coalesce(F.sum(F.when(on_report, F.col("ms"))), F.lit(0.0)).alias("engaged_ms"),
-        F.count_distinct(F.when(of("pageview"), path)).alias("pages_visited"),
-        F.count_if(of("row_expand")).alias("rows_expanded"),
-        F.count_if(of("export_click")).alias("export_clicks"),
-        F.count_if(of("cta_click")).alias("cta_clicks"),
+    sums = {
+        "human_clicks": F.count_if(click & ~F.col("bot")), "bot_clicks": F.count_if(click & F.col("bot")),
+        "engaged_ms": F.coalesce(F.sum(F.when(on_report, F.col("ms"))), F.lit(0.0)),
+        "rows_expanded": F.count_if(of("row_expand")), "export_clicks": F.count_if(of("export_click")),
+        "cta_clicks": F.count_if(of("cta_click")),
+    }
+    times = {"first_click_at": F.min(F.when(click, F.col("at"))), "last_seen": F.max("at")}
+    viewed = F.when(of("pageview"), path)
+
+    def again(more: dict) -> list[Column]:
+        return [
+            F.min("first_click_at").alias("first_click_at"), F.max("last_seen").alias("last_seen"),
+            *[F.sum(c).alias(c) for c in sums], *[v.alias(k) for k, v in more.items()],
+        ]
+
+    fine = engagement_events(events, pages).groupBy("prospect_id", "session_id", viewed.alias("viewed")).agg(
+        *[v.alias(k) for k, v in {**times, **sums}.items()]
+    )
+    by_page = fine.groupBy("prospect_id", "viewed").agg(
+        *again({})
+    ).groupBy("prospect_id").agg(*again({"pages_visited": F.count("viewed")}))
+    sessions = fine.where(F.col("session_id").isNotNull()).select("prospect_id", "session_id").distinct().groupBy(
+        "prospect_id").agg(F.count("*").alias("sessions"))
+    rolled = by_page.join(sessions, "prospect_id", "left").select(
+        "prospect_id", "first_click_at", "last_seen", "human_clicks", "bot_clicks",
+        F.coalesce("sessions", F.lit(0).cast("bigint")).alias("sessions"), "engaged_ms", "pages_visited",
+        "rows_expanded", "export_clicks", "cta_clicks",
     )
     who = prospects.select(
         F.col("id").alias("prospect_id"), F.nullif("company", F.lit("")).alias("company"),

@@ -195,6 +195,15 @@ def _enriched(signals, properties, scores, as_of, hours, filed, provenance=False
     )
 
 
+def report_all(
+    signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of, hours: int = 24,
+    filed_days: int | None = None,
+) -> DataFrame:
+    """All homeowner rows of the daily report, without its order and limit."""
+    return homeowners_only(_enriched(
+        signals, properties, scores, as_of, hours, lambda s: filed_window_days(s, as_of, filed_days)))
+
+
 def daily_report(
     signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of, hours: int = 24,
     limit: int = 50, homeowners: bool = True, filed_days: int | None = K.FILED_WINDOW_DAYS,
@@ -270,11 +279,22 @@ def report_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def report_numbers(signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of):
-    """One row: n24, n7, stacked, trustee sales after ten years of ownership (both over 7 days)."""
-    limit = 5000
-    day = web_report(signals, properties, scores, as_of, 24, limit).agg(F.count("*"))
-    week_rows = web_report(signals, properties, scores, as_of, 168, limit, filed_hours=14 * 24)
+def report_numbers(
+    signals: DataFrame, properties: DataFrame, scores: DataFrame, as_of, limit: int | None = None,
+):
+    """One row: n24, n7, stacked, trustee sales after ten years of ownership (both over 7 days).
+
+    All rows count. With a `limit` only the best rows of each report do, as a page that shows so
+    many rows would count them.
+    """
+    def rows(hours: int, filed_hours: int | None) -> DataFrame:
+        if limit is not None:
+            return web_report(signals, properties, scores, as_of, hours, limit, filed_hours=filed_hours)
+        return homeowners_only(_enriched(
+            signals, properties, scores, as_of, hours, lambda s: filed_window_hours(s, as_of, filed_hours)))
+
+    day = rows(24, None).agg(F.count("*"))
+    week_rows = rows(168, 14 * 24)
     trustee = X.has_signal_type("signal_types", "trustee_sale")
     week = week_rows.agg(
         F.count("*").alias("n7"),

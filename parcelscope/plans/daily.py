@@ -38,10 +38,12 @@ class Store:
         """The newest snapshot older than this day; empty on the first run."""
         try:
             days = self.spark.read.schema(schema + ", day date").parquet(f"{self.root}/{table}")
-        except AnalysisException:  # nothing stored yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing stored yet
         older = days.where(F.col("day") < F.lit(self.day).cast("date"))
-        newest = older.select("day").distinct().agg(F.max("day")).scalar()  # folder names only
+        newest = older.select("day").distinct().agg(F.max("day")).scalar()
         return older.where(F.col("day") == newest).drop("day")
 
 

@@ -52,13 +52,9 @@ def _(t: Tables):
     return H.lead_rank(_pool(t)).select("apn", "lender", "pos", "rk")
 
 
-@query("match_tiers", f"""
-  SELECT prospect_id, {_TIER} AS tier, min(rk) AS best_rk FROM ({_PAIRS})
-  WHERE tier_no < 2 GROUP BY ALL""")
+@query("match_tiers", f"SELECT prospect_id, pos, {_TIER} AS tier, rk FROM ({_PAIRS})")
 def _(t: Tables):
-    rows = H.match_tiers(t.prospects, _pool(t)).where(F.col("tier_no") < 2)
-    best = rows.groupBy("prospect_id", "tier").agg(F.min("rk").alias("best_rk"))
-    return best
+    return H.match_tiers(t.prospects, _pool(t)).select("prospect_id", "pos", "tier", "rk")
 
 
 @query("match_top2", _TOP2)
@@ -78,7 +74,32 @@ def _(t: Tables):
     )
 
 
-@query("match_leads")
+# One prospect after the other; `used` counts how often each lead (by key) has been given away.
+_LEAD_KEY = "coalesce(apn, concat_ws('|', coalesce(owner_name, ''), signal_type, coalesce(situs_address, '')))"
+_GIVEN = f"""
+  WITH RECURSIVE keyed AS (SELECT *, dense_rank() OVER (ORDER BY {_LEAD_KEY}) AS k FROM ({_PAIRS})),
+  asked AS (
+    SELECT row_number() OVER (ORDER BY p.rank NULLS LAST, p.id) AS n, p.id,
+      (SELECT list({{'t': tier_no, 'rk': rk, 'k': k, 'pos': pos}}) FROM keyed WHERE prospect_id = p.id) AS leads
+    FROM prospects p),
+  fold(n, id, picks, used) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, NULL::STRUCT(t INTEGER, u INTEGER, rk BIGINT, k BIGINT, pos INTEGER)[],
+      list_transform(range(1, 1 + (SELECT coalesce(max(k), 0) FROM keyed)), lambda i: 0)
+    UNION ALL
+    SELECT n, id, picks, list_transform(used, lambda u, i: u + list_count(list_filter(picks, lambda x: x.k = i)))
+    FROM (
+      SELECT n, id, used, CASE WHEN len(s) = 0 THEN [] ELSE
+        [s[1]] || list_filter(s, lambda x: x.k <> s[1].k)[1:1] END AS picks
+      FROM (
+        SELECT a.n, a.id, f.used, list_sort(list_transform(
+          list_filter(coalesce(a.leads, []), lambda x: f.used[x.k] < 3),
+          lambda x: {{'t': x.t::INTEGER, 'u': f.used[x.k]::INTEGER, 'rk': x.rk::BIGINT, 'k': x.k::BIGINT, 'pos': x.pos::INTEGER}})) AS s
+        FROM fold f JOIN asked a ON a.n = f.n + 1)))
+  SELECT id AS prospect_id, i::INT AS rank, (['zip', 'city', 'any'])[picks[i].t + 1] AS tier, picks[i].pos::INT AS pos
+  FROM fold, range(1, 3) r(i) WHERE n > 0 AND i <= len(picks)"""
+
+
+@query("match_leads", _GIVEN)
 def _(t: Tables):
     return H.match_leads(t.prospects, _pool(t))
 
@@ -261,7 +282,7 @@ def _(t: Tables):
 _ASSIGNED = f"""
   SELECT p.*, coalesce(p.subject_variant, ({lst(K.VARIANTS)})[((taken + rn - 1) % 4) + 1]) AS v FROM (
     SELECT *, count(subject_variant) OVER (PARTITION BY segment) AS taken,
-      row_number() OVER (PARTITION BY segment, subject_variant IS NULL ORDER BY rank NULLS LAST, id) AS rn
+      row_number() OVER (PARTITION BY segment, subject_variant IS NULL ORDER BY rank NULLS FIRST, id) AS rn
     FROM prospects) p"""
 
 
@@ -382,8 +403,8 @@ def _(t: Tables):
 _CANDS = f"""
   SELECT p.*, {_FLAG} AS inbox_flag,
     p.id IN (SELECT prospect_id FROM ({_TOP2}) WHERE tier <> 'any') AS near,
-    EXISTS (SELECT 1 FROM outreach o WHERE o.prospect_id = p.id AND o.campaign_id = 2 AND o.event = 'sent'
-            AND o.id % 97 = 1) AS already_sent
+    EXISTS (SELECT 1 FROM outreach o WHERE o.prospect_id = p.id AND o.id % 97 + 1 = 2 AND o.event = 'sent')
+      AS already_sent
   FROM prospects p"""
 _ELIGIBLE = f"""
   SELECT * FROM ({_CANDS}) WHERE status = 'new' AND email IS NOT NULL AND inbox_flag IS NULL
@@ -393,14 +414,15 @@ _BATCH = f"""
   ORDER BY tier, rank NULLS FIRST, id LIMIT 15"""
 
 
-def _some_sent(t: Tables):
-    return t.outreach_events.where((F.col("event") != "sent") | (F.col("id") % 97 == 1))
+def _campaigns(t: Tables):
+    """All events, dealt to 97 campaigns, so that each leaves prospects without a message."""
+    return t.outreach_events.withColumn("campaign_id", F.col("id") % 97 + 1)
 
 
 def _cands(t: Tables):
     top2, pool = _top2(t)
     rows = H.match_rows(top2, pool, "2024-01-30")
-    return O.with_candidate_columns(t.prospects, rows, _some_sent(t), 2)
+    return O.with_candidate_columns(t.prospects, rows, _campaigns(t), 2)
 
 
 @query("eligible_prospects", f"SELECT id, segment, near FROM ({_ELIGIBLE})")
@@ -418,7 +440,7 @@ def _short(company: str) -> str:
     return f"trim(regexp_replace({cut}, '(?i)[,\\s]+(LLC|L\\.L\\.C\\.|Inc|Incorporated|Corp|Corporation|Co|Company|Group)\\.?$', ''))"
 
 
-_N7 = f"""(SELECT least(count(*), 5000) FROM (
+_N7 = f"""(SELECT count(*) FROM (
     {report_sql(168, f"event_date >= ({AS_OF} - INTERVAL 336 HOUR)::DATE")}))::VARCHAR"""
 
 
@@ -444,7 +466,7 @@ def _(t: Tables):
     numbers = _numbers(t)
     campaigns = t.outreach_events.select(F.col("campaign_id").alias("id")).distinct()
     return O.next_batch(
-        t.prospects, H.match_rows(top2, pool, "2024-01-30"), _some_sent(t), campaigns, numbers, 2, 15
+        t.prospects, H.match_rows(top2, pool, "2024-01-30"), _campaigns(t), campaigns, numbers, 2, 15
     )
 
 
@@ -470,9 +492,9 @@ def _(t: Tables):
 
 @query("send_sheet_order", f"""
   SELECT p.id, p.rank, {_FLAG} IS NOT NULL AS flagged,
-    first_value(rank) OVER w AS segment_rank, first_value(id) OVER w AS segment_first
+    first_value(coalesce(rank, 0)) OVER w AS segment_rank, first_value(id) OVER w AS segment_first
   FROM prospects p WHERE status <> 'stop'
-  WINDOW w AS (PARTITION BY coalesce(segment, '') ORDER BY rank NULLS FIRST, id
+  WINDOW w AS (PARTITION BY coalesce(segment, '') ORDER BY coalesce(rank, 0), id
                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def _(t: Tables):
     sheet = t.prospects.where(F.col("status") != "stop").select(

@@ -274,7 +274,7 @@ _LABEL = f"""(SELECT upper(x[1]) || x[2:] FROM (SELECT array_to_string(list_tran
     CASE WHEN absentee THEN 'absentee' ELSE 'owner-occupied' END) AS pitch_line
   FROM ({report_sql(720)}) WHERE apn IS NOT NULL AND situs_address IS NOT NULL""")
 def _(t: Tables):
-    rows = R.resolved_leads_only(t.report(720, 1_000_000, filed_days=None))
+    rows = R.resolved_leads_only(R.report_all(t.signals, t.properties, t.scores, t.as_of, 720))
     return rows.select("apn", X.build_pitch_line(
         "signal_types", "situs_address", "situs_city", "situs_zip", "years_owned", "absentee"
     ).alias("pitch_line"))

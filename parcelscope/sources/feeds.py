@@ -16,7 +16,8 @@ FEATURE_PAGE = "features array<struct<attributes: map<string,string>>>"
 
 
 def explode_features(pages: DataFrame) -> DataFrame:
-    """One attribute map per feature of JSON pages (column `value`) with a `features` array."""
+    """One attribute map per feature of JSON pages (column `value`) with a `features` array. Pages that
+    are no such thing are in `bad_pages`."""
     parsed = pages.select(F.from_json("value", FEATURE_PAGE).alias("page"))
     return parsed.select(F.explode("page.features").alias("f")).select("f.attributes")
 
@@ -27,14 +28,44 @@ def explode_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(rows).alias("attributes"))
 
 
-def scan_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature-collection pages of a folder as one attribute map per feature."""
-    return explode_features(spark.read.text(path, wholetext=True))
+def bad_pages(pages: DataFrame, shape: str = "features") -> DataFrame:
+    """(value, reason) of pages that hold no data: not JSON as a whole, an error answer, or another
+    shape. `shape` is "features" (an object with such an array) or "rows" (an array)."""
+    text = F.nullif(T.strip("value"), F.lit(""))
+    parsed = F.try_parse_json(text)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.features" if shape == "features" else "$", "variant"))
+    reason = (
+        F.when(text.isNull(), "empty")
+        .when(parsed.isNull(), "not JSON")
+        .when(F.try_variant_get(parsed, "$.error", "variant").isNotNull(), "error answer")
+        .when(~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), "no " + shape)
+    )
+    return pages.select("value", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def good_pages(pages: DataFrame, shape: str = "features") -> DataFrame:
+    """Pages that hold data, each text once: a page fetched twice counts once."""
+    whole = pages.select("value").where(F.col("value").isNotNull()).dropDuplicates(["value"])
+    return whole.join(bad_pages(pages, shape).select("value").distinct(), "value", "left_anti")
+
+
+def scan_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(attribute map per feature, bad pages) of the feature-collection pages in a folder."""
+    pages = spark.read.text(path, wholetext=True)
+    return explode_features(good_pages(pages)), bad_pages(pages)
+
+
+def scan_socrata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(attribute map per row, bad pages) of the pages of row objects in a folder."""
+    pages = spark.read.text(path, wholetext=True)
+    return explode_rows(good_pages(pages, "rows")), bad_pages(pages, "rows")
 
 
-def scan_socrata(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of row objects of a folder as one attribute map per row."""
-    return explode_rows(spark.read.text(path, wholetext=True))
+def require_good(rows: DataFrame, bad: DataFrame, source: str) -> DataFrame:
+    """The rows, failing if any page of the source was bad; a truncated feed is not a quiet day."""
+    n = bad.agg(F.count("*")).scalar()
+    fail = F.raise_error(F.concat(F.lit(f"{source}: bad pages: "), n.cast("string")))
+    return rows.where(F.when(n == 0, F.lit(True)).otherwise(fail.cast("boolean")))
 
 
 def scan_html(spark: SparkSession, path: str, id_pattern: str = r"([^/]+?)(\.html?)?$") -> DataFrame:

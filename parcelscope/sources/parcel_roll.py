@@ -55,7 +55,7 @@ def _property_rows(c: DataFrame) -> DataFrame:
         T.blank_to_null("property_type").alias("building_type"),
         T.parse_legal_class("land_class").alias("legal_class"),
         T.year_built("construction_year").alias("year_built"),
-        T.numeric_or_null("living_area").cast("int").alias("living_sqft"),
+        T.numeric_or_null("living_area").try_cast("int").alias("living_sqft"),
         sale.alias("last_sale_date"),
         T.numeric_or_null("sale_price").alias("last_sale_price"),
         T.numeric_or_null("total_value").alias("assessed_value"),

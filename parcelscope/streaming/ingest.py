@@ -21,11 +21,13 @@ def read_snapshot(spark: SparkSession, store: str, before: int | None = None) ->
     """The newest snapshot, or the newest one older than a version."""
     try:
         versions = spark.read.schema(SIGNALS + ", version bigint").parquet(store)
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], SIGNALS)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SIGNALS)  # nothing stored yet
     if before is not None:
         versions = versions.where(F.col("version") < before)
-    # The version is a partition of the path, so this reads folder names, not the data.
+    # The version is a partition of the path: a scan of every version's files, without their columns.
     newest = versions.select("version").distinct().agg(F.max("version").alias("v")).first()["v"]
     if newest is None:
         return spark.createDataFrame([], SIGNALS)

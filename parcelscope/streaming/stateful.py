@@ -1,7 +1,9 @@
 """Event rules with state: each visitor's or prospect's state lives in the state store.
 
-State expires by event time: once the watermark has passed the time from which it can no longer
-change a verdict. (A processing-time timeout would also keep an available-now run from ending.)
+Rules that depend on the order of events wait until the watermark has passed a row, and judge it
+then, with all earlier rows known; so late rows within the watermark give what the batch rule gives.
+State expires by event time, from which on it can no longer change a verdict. (A processing-time
+timeout would also keep an available-now run from ending.)
 """
 
 from __future__ import annotations
@@ -16,71 +18,87 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MICROS = 1_000_000
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in this micro-batch, in event order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
+def _settled(rows: Iterator[pd.DataFrame], waiting: list, state: GroupState) -> tuple[list, list]:
+    """((us, id) that the watermark has passed, in order; those that still wait)."""
+    every = sorted([*waiting, *(pair for batch in rows for pair in zip(batch["us"].tolist(), batch["id"].tolist()))])
+    done = state.getCurrentWatermarkMs() * 1000
+    return [x for x in every if x[0] < done], [x for x in every if x[0] >= done]
 
 
-def _expire_at(state: GroupState, us: int) -> None:
-    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs() + 1))
+def _keep_until(state: GroupState, waiting: list, last: int) -> None:
+    """Come back when the first waiting row is settled, or else when the state has no use any more."""
+    us = waiting[0][0] if waiting else last
+    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
 def _rate_limit_step(n: int, secs: int) -> Callable:
-    """State: hit times of the last window; rejected hits count too."""
+    """State: rows that wait, and hit times of the last window; rejected hits count too."""
     width = secs * MICROS
 
     def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = _in_order(rows)
-        recent = list(state.get[0]) if state.exists else []
-        limited = []
-        for us in batch["us"]:
-            recent = [t for t in recent if t > us - width] + [int(us)]
-            limited.append(len(recent) > n)
+        times, ids, recent = state.get if state.exists else ([], [], [])
+        settled, waiting = _settled(() if state.hasTimedOut else rows, list(zip(times, ids)), state)
+        recent, out = list(recent), []
+        for us, event in settled:
+            recent = [t for t in recent if t > us - width] + [us]
+            out.append((key[0], event, len(recent) > n))
         # More than n + 1 times never change the verdict, so the state stays bounded.
-        state.update((recent[-(n + 1):],))
-        _expire_at(state, recent[-1] + width)
-        yield pd.DataFrame({"vid": key[0], "id": batch["id"], "limited": limited})
+        recent = recent[-(n + 1):]
+        if waiting or (recent and (recent[-1] + width) // 1000 >= state.getCurrentWatermarkMs()):
+            state.update(([x[0] for x in waiting], [x[1] for x in waiting], recent))
+            _keep_until(state, waiting, recent[-1] + width if recent else 0)
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=["vid", "id", "limited"])
 
     return step
 
 
 def _dedupe_step(hours: int) -> Callable:
-    """State: time of the last open kept."""
+    """State: rows that wait, and the time of the last open kept."""
     gap = hours * 3600 * MICROS
 
     def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        times, ids, last = state.get if state.exists else ([], [], None)
+        settled, waiting = _settled(() if state.hasTimedOut else rows, list(zip(times, ids)), state)
+        out = []
+        for us, event in settled:
+            if last is None or us - last >= gap:
+                last = us
+                out.append((key[0], key[1], event))
+        if waiting or (last is not None and (last + gap) // 1000 >= state.getCurrentWatermarkMs()):
+            state.update(([x[0] for x in waiting], [x[1] for x in waiting], last))
+            _keep_until(state, waiting, last + gap if last is not None else 0)
+        else:
             state.remove()
-            return
-        batch = _in_order(rows)
-        last = state.get[0] if state.exists else None
-        kept = []
-        for us in batch["us"]:
-            keep = last is None or us - last >= gap
-            last = int(us) if keep else last
-            kept.append(keep)
-        state.update((last,))
-        _expire_at(state, last + gap)
-        out = batch.loc[kept, ["id"]]
-        yield pd.DataFrame({"prospect_id": key[0], "campaign_id": key[1], "id": out["id"]})
+        yield pd.DataFrame(out, columns=["prospect_id", "campaign_id", "id"])
 
     return step
 
 
 def _status_step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the status so far. One row per micro-batch with events of the prospect."""
-    status = state.get[0] if state.exists else "new"
-    for event in _in_order(rows)["event"]:
-        if event == "stop":
-            status = "stop"
-        elif event == "replied" and status not in ("trial", "paid", "stop"):
-            status = "replied"
-        elif event in ("sent", "trial") and status == "new":
-            status = event
-    state.update((status,))
+    """State: the stored status, whether a stop and a reply were seen, and the earliest moving event.
+
+    These do not depend on the order of arrival. One row per micro-batch with events of the prospect.
+    """
+    start, stopped, replied, us, event_id, first = state.get if state.exists else (None, False, False, None, None, None)
+    for batch in rows:
+        for s, u, i, e in zip(batch["start"], batch["us"].tolist(), batch["id"].tolist(), batch["event"]):
+            start = start or s or "new"
+            stopped, replied = stopped or e == "stop", replied or e == "replied"
+            if e in ("sent", "replied", "trial") and (us is None or (u, i) < (us, event_id)):
+                us, event_id, first = u, i, e
+    state.update((start, stopped, replied, us, event_id, first))
+    if stopped or start == "stop":
+        status = "stop"
+    elif start in ("trial", "paid"):
+        status = start
+    elif start == "new" and first == "trial":
+        status = "trial"
+    elif replied:
+        status = "replied"
+    else:
+        status = first if start == "new" and first else start
     yield pd.DataFrame({"prospect_id": [key[0]], "status": [status]})
 
 
@@ -92,7 +110,8 @@ def rate_limit_stream(
         "vid", "id", "created_at", F.unix_micros("created_at").alias("us")
     )
     return rows.groupBy("vid").applyInPandasWithState(
-        _rate_limit_step(n, secs), "vid string, id bigint, limited boolean", "us array<bigint>",
+        _rate_limit_step(n, secs), "vid string, id bigint, limited boolean",
+        "us array<bigint>, id array<bigint>, recent array<bigint>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
@@ -103,17 +122,28 @@ def dedupe_opens_stream(events: DataFrame, hours: int = 1, late: str = "1 hour")
         "prospect_id", "campaign_id", "id", "created_at", F.unix_micros("created_at").alias("us")
     )
     return opened.groupBy("prospect_id", "campaign_id").applyInPandasWithState(
-        _dedupe_step(hours), "prospect_id bigint, campaign_id bigint, id bigint", "us bigint",
+        _dedupe_step(hours), "prospect_id bigint, campaign_id bigint, id bigint",
+        "us array<bigint>, id array<bigint>, last bigint",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def prospect_status_stream(events: DataFrame) -> DataFrame:
-    """(prospect_id, status) whenever a prospect has new events."""
+def prospect_status_stream(events: DataFrame, prospects: DataFrame | None = None) -> DataFrame:
+    """(prospect_id, status) whenever a prospect has new events. A prospect starts from its stored
+    status (`prospects`, a static table), as in the batch rule, else from "new".
+
+    There is one small state per prospect, kept for good: its status never loses its meaning.
+    """
     rows = events.where(F.col("prospect_id").isNotNull()).select(
         "prospect_id", "id", "event", F.unix_micros("created_at").alias("us")
     )
+    if prospects is None:
+        rows = rows.withColumn("start", F.lit(None).cast("string"))
+    else:
+        stored = prospects.select(F.col("id").alias("prospect_id"), F.col("status").alias("start"))
+        rows = rows.join(stored, "prospect_id", "left")
     return rows.groupBy("prospect_id").applyInPandasWithState(
-        _status_step, "prospect_id bigint, status string", "status string", "update",
+        _status_step, "prospect_id bigint, status string",
+        "start string, stopped boolean, replied boolean, us bigint, id bigint, first string", "update",
         GroupStateTimeout.NoTimeout,
     )

@@ -1,8 +1,11 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelscope.operators.merge import last_per_key
+from parcelscope.functions import text as T
 from parcelscope.sources import feeds, sinks
 from parcelscope.sources import parcel_roll as P
 
@@ -49,7 +52,8 @@ def test_parcel_roll(spark, tmp_path):
 def features(spark, tmp_path, *rows):
     (tmp_path / "page.json").write_text(json.dumps(
         {"fields": [], "features": [{"attributes": r} for r in rows], "exceededTransferLimit": True}))
-    return feeds.scan_features(spark, str(tmp_path))
+    rows, bad = feeds.scan_features(spark, str(tmp_path))
+    return feeds.require_good(rows, bad, "test")
 
 
 def test_tax_and_county_feeds(spark, tmp_path):
@@ -80,11 +84,33 @@ def test_case_feeds(spark, tmp_path):
     assert feeds.missing_ids(rows, "CaseNo", "Id", "OBJECTID").count() == 1
 
 
+def test_bad_pages_are_counted_and_stop_a_feed(spark, tmp_path):
+    good = json.dumps({"features": [{"attributes": {"OBJECTID": 1, "APN": "1-2"}}]})
+    pages = {"a": good, "a2": good, "b": '{"error": {"code": 500}}', "c": "<html>503</html>", "d": good[:-4], "e": " ", "f": "[1]"}
+    for name, text in pages.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows, bad = feeds.scan_features(spark, str(tmp_path))
+    assert [r["attributes"]["APN"] for r in rows.collect()] == ["1-2"]
+    assert sorted(r["reason"] for r in bad.collect()) == ["empty", "error answer", "no features", "not JSON", "not JSON"]
+    with pytest.raises(Exception, match="test: bad pages: 5"):
+        feeds.require_good(rows, bad, "test").collect()
+
+
+def test_junk_numbers_never_end_a_job(spark):
+    cells = ["12", "12.5", "-3", "1e3", "0", "10d", "12F", "NaN", "Infinity", "1e999", "3000000000", "", None, "x"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(T.numeric_or_null("c").alias("n")).collect()
+    assert [r["n"] for r in got] == [12, 12.5, -3, 1000, None, None, None, None, None, None, 3e9, None, None, None]
+    line = ["1-2"] + [""] * 38
+    line[29] = "3000000000"
+    good, _ = P.parse_parcel_lines(spark.createDataFrame([("|".join(line),)], "value string"))
+    assert good.first()["living_sqft"] is None
+
+
 def test_row_feed_drops_missing_ids(spark, tmp_path):
     rows = [{"permit_number": "P1", "opened_date": "2026-01-02T00:00:00", "parcel_number": "1-2"},
             {"record_id": "R2"}, {"status": "x"}, {"permit_number": "undefined"}]
     (tmp_path / "page.json").write_text(json.dumps(rows))
-    got = feeds.map_code_mesa(feeds.scan_socrata(spark, str(tmp_path))).orderBy("external_id").collect()
+    got = feeds.map_code_mesa(feeds.scan_socrata(spark, str(tmp_path))[0]).orderBy("external_id").collect()
     assert [(r["external_id"], r["apn"], str(r["event_date"])) for r in got] == [
         ("P1", "12", "2026-01-02"), ("R2", None, "None")]
 

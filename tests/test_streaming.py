@@ -23,9 +23,18 @@ def rows(seed=5, n=300, span=20_000):
     return out
 
 
-def stream_of(spark, tmp_path, data, files=2):
-    """Landed files read one per micro-batch, oldest first."""
+def stream_of(spark, tmp_path, data, files=2, settle=False):
+    """Landed files read one per micro-batch, oldest first; `settle`: rows that move the watermark on."""
     src = tmp_path / "src"
+    if settle:  # two more batches, far enough apart that the second one judges all before it
+        size = -(-len(data) // files)
+        later = [(-1 - k, "clock", None, None, "opened", "/", BASE + dt.timedelta(days=30 + k)) for k in range(2)]
+        data = [*data, *[None] * (size * files - len(data))]
+        data, files = [*data, later[0], *[None] * (size - 1), later[1]], files + 2
+        for i in range(files):
+            part = [r for r in data[i * size:(i + 1) * size] if r]
+            spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(src))
+        return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(src))
     size = -(-len(data) // files)
     for i in range(files):
         part = spark.createDataFrame(data[i * size:(i + 1) * size], EVENT)
@@ -42,28 +51,37 @@ def drain(df, tmp_path, name, mode="append"):
     return spark.table(name)
 
 
+def shuffled(data, seconds=1500):
+    """The rows in an order of arrival that is late by up to `seconds`."""
+    rnd = random.Random(9)
+    return sorted(data, key=lambda r: r[-1] + dt.timedelta(seconds=rnd.randrange(seconds)))
+
+
 def test_rate_limit_stream(spark, tmp_path):
-    data = rows()
-    got = drain(stateful.rate_limit_stream(stream_of(spark, tmp_path, data), n=3, secs=600), tmp_path, "limited")
+    data = shuffled(rows())
+    stream = stream_of(spark, tmp_path, data, 4, settle=True)
+    got = drain(stateful.rate_limit_stream(stream, n=3, secs=600), tmp_path, "limited").where("id >= 0")
     want = E.rate_limit(spark.createDataFrame(data, EVENT), n=3, secs=600)
     as_set = lambda d: {(r["vid"], r["id"], r["limited"]) for r in d.select("vid", "id", "limited").collect()}
     assert as_set(got) == as_set(want) and any(x[2] for x in as_set(want))
 
 
 def test_dedupe_opens_stream(spark, tmp_path):
-    data = rows()
-    got = drain(stateful.dedupe_opens_stream(stream_of(spark, tmp_path, data)), tmp_path, "opens")
+    data = shuffled(rows())
+    stream = stream_of(spark, tmp_path, data, 4, settle=True)
+    got = drain(stateful.dedupe_opens_stream(stream), tmp_path, "opens").where("id >= 0")
     want = E.dedupe_opens(spark.createDataFrame(data, EVENT))
     assert {r["id"] for r in got.collect()} == {r["id"] for r in want.collect()}
 
 
 def test_status_stream(spark, tmp_path):
-    data = rows()
-    got = drain(stateful.prospect_status_stream(stream_of(spark, tmp_path, data)), tmp_path, "status", "update")
+    data = shuffled(rows())
+    stored = spark.createDataFrame([(1, "new"), (2, "paid"), (3, None)], "id bigint, status string")
+    got = drain(stateful.prospect_status_stream(stream_of(spark, tmp_path, data, 4), stored), tmp_path, "status", "update")
     final = {}
     for r in got.collect():  # the memory sink keeps the batches in order
         final[r["prospect_id"]] = r["status"]
-    want = {r["prospect_id"]: r["status"] for r in E.prospect_status_fold(spark.createDataFrame(data, EVENT)).collect()}
+    want = {r["prospect_id"]: r["status"] for r in E.prospect_status_fold(spark.createDataFrame(data, EVENT), stored).collect()}
     assert final == want
 
 
