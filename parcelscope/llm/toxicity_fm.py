@@ -29,6 +29,7 @@ from .wordhash import _MASK, ALNUM, mixed, pieces, words_of
 
 BITS, PREFIXES = 22, (4, 5, 6)
 SAMPLE, TERMS, FACTORS = 16_000, 4096, 8
+SIGNIFICANT = 5.0  # standard errors by which a term's share must differ between the classes
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -77,11 +78,12 @@ def _raw(bias, w, v, row, term, n):
 
 def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS,
                 epochs: int = 30, batch: int = 512, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
-    """(bias, w, v) by Adagrad on the logistic loss, both classes with the same total weight."""
+    """(bias, w, v) by Adagrad on the logistic loss; the rarer class weighs more, half way to even."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(terms), rng.normal(0, 0.05, (terms, factors)), 0.0
     gw, gv, gb = np.full(terms, 1e-6), np.full((terms, factors), 1e-6), 1e-6
-    weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
+    share = np.where(label == 1, label.sum(), len(label) - label.sum()) / len(label)
+    weight = np.sqrt(0.5 / share)
     begin = np.searchsorted(row, np.arange(len(label) + 1))
     for _ in range(epochs):
         order = rng.permutation(len(label))
@@ -122,7 +124,7 @@ def _choose(sample: DataFrame, terms: int) -> np.ndarray:
         p0, p1 = seen[0, used] / n[0], seen[1, used] / n[1]
         p = (seen[0, used] + seen[1, used]) / max(1, docs.sum())
         z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-        best = used[np.lexsort((used, -z))[:terms]]
+        best = used[np.lexsort((used, -z))[:min(terms, int((z >= SIGNIFICANT).sum()))]]
         yield pa.RecordBatch.from_arrays([pa.array(best, pa.int64())], names=["bucket"])
 
     rows = sample.repartition(1).mapInArrow(run, "bucket long").collect()
@@ -148,6 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Machine(table, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
     best = _choose(rows, terms)
     table[best] = np.arange(len(best))
+    if not len(best):
+        p = shares[1] / (shares[0] + shares[1])
+        return Machine(table, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def found(batches):
