@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -14,7 +16,7 @@ from ..operators import report as R
 from ..operators import score as SC
 from ..sources import feeds, sinks
 from ..sources import parcel_roll as P
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..streaming import ingest
 from . import sample_tables as S
 from .oracle_tables import (
@@ -668,6 +670,60 @@ def _(t: Tables):
     return feeds.missing_ids(rows, "CaseNo", "Id", "OBJECTID").agg(F.count("*").alias("n"))
 
 
+# Landed pages of 500 events each: every seventh page is truncated, every seventh an error answer, and
+# every fourth one was fetched twice.
+_PAGE = "(event_id // 500)"
+_GOOD = f"{_PAGE} % 7 NOT IN (3, 5)"
+
+
+def _landed(t: Tables, whole: str) -> str:
+    """A folder with one file per page; `whole` is SQL for the page's JSON over (ids)."""
+    pages = t.raw("events").selectExpr("event_id div 500 as page", "event_id").groupBy("page").agg(
+        F.sort_array(F.collect_list("event_id")).alias("ids"))
+    text = f"""case page % 7 when 3 then substr({whole}, 1, length({whole}) - 2)
+      when 5 then '{{"error": {{"code": 500}}}}' else {whole} end as value"""
+    once = pages.selectExpr("page", text)
+    folder = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
+    once.unionByName(once.where("page % 4 = 0")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+_FEATURES = "to_json(struct(transform(ids, i -> struct(struct(i as OBJECTID, concat('A', i) as APN) as attributes)) as features))"
+_ROWS = "to_json(transform(ids, i -> struct(i as record_id, concat('A', i) as parcel_number)))"
+
+
+@query("scan_features", f"SELECT event_id::VARCHAR AS id, 'A' || event_id::VARCHAR AS apn FROM events WHERE {_GOOD}")
+def _(t: Tables):
+    rows, _ = feeds.scan_features(t.spark, _landed(t, _FEATURES))
+    return rows.select(F.col("attributes")["OBJECTID"].alias("id"), F.col("attributes")["APN"].alias("apn"))
+
+
+@query("scan_socrata", f"SELECT event_id::VARCHAR AS id, 'A' || event_id::VARCHAR AS apn FROM events WHERE {_GOOD}")
+def _(t: Tables):
+    rows, _ = feeds.scan_socrata(t.spark, _landed(t, _ROWS))
+    return rows.select(F.col("attributes")["record_id"].alias("id"), F.col("attributes")["parcel_number"].alias("apn"))
+
+
+@query("bad_pages", f"""
+  SELECT shape, reason, count(*) AS n FROM (
+    SELECT DISTINCT {_PAGE} AS page, CASE {_PAGE} % 7 WHEN 3 THEN 'not JSON' ELSE 'error answer' END AS reason
+    FROM events WHERE NOT {_GOOD}), (VALUES ('features'), ('rows')) v(shape), range(2) r(again)
+  WHERE again = 0 OR page % 4 = 0 GROUP BY ALL""")
+def _(t: Tables):
+    _, features = feeds.scan_features(t.spark, _landed(t, _FEATURES))
+    _, rows = feeds.scan_socrata(t.spark, _landed(t, _ROWS))
+    both = features.withColumn("shape", F.lit("features")).unionByName(rows.withColumn("shape", F.lit("rows")))
+    return both.groupBy("shape", "reason").agg(F.count("*").alias("n"))
+
+
+@query("scan_html", "SELECT page_id::VARCHAR AS page_id, md5(html || chr(10)) AS digest FROM pages")
+def _(t: Tables):
+    folder = f"{shared_folder(t.spark)}/pages-{uuid.uuid4().hex}"
+    t.raw("pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    got = feeds.scan_html(t.spark, folder, r"page_id=(\d+)/")
+    return got.select("page_id", F.md5("html").alias("digest"))
+
+
 def _html(t: Tables, text: str, where: str = "true"):
     return _events(t).where(where).selectExpr("e", f"{text} as html")
 
