@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,7 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with fixed names, whatever other columns there are; a null text is empty."""
+    """(id, text) with fixed names, whatever other columns there are; a null text is empty.
+
+    Texts are long, so they go to Python tasks in smaller batches than the default of 10,000 rows."""
+    conf = docs.sparkSession.conf
+    if int(conf.get(BATCH)) > TEXTS_PER_BATCH:
+        conf.set(BATCH, str(TEXTS_PER_BATCH))
     return docs.select(
         docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )

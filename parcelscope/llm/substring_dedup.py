@@ -7,6 +7,9 @@ its buckets in order of minimiser and document, sorts the windows of a batch by
 the words of equal hashes, so a window counts as seen only if its words were. The first document of
 a window keeps it; later ones lose every word that it covers.
 
+Super-k-mers travel in blocks: what a batch has for one partition is one compressed Arrow message,
+which takes under half the room that rows do. The receiving task unpacks them and Spark sorts them.
+
 Before the shuffle, equal super-k-mers of a batch are folded: all but the smallest document's are
 known to be repeats. A bucket that spans batches is carried as a dictionary of at most
 `carried` windows; windows that no longer fit are judged by a second pass, grouped by themselves.
@@ -25,31 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import text_of, written
-from .wordhash import NOT_SPACE, grams, pieces, sliding_min, words_of
+from .wordhash import NOT_SPACE, grams, mixed, packed, pieces, sliding_min, words_of
 
 SPAN, GRAM = 13, 4
 LAST = (1 << 63) - 1
 
 #: bucket; document (its rank, and its text's hash to tell rows with one id apart); first word;
 #: windows; their words, or null where the windows are already known to be repeats
-_SUPER = "bucket long, doc long, copy long, first int, n int, words binary"
+_SUPER = "bucket int, doc long, copy long, first int, n int, words binary"
 _RANGE = "doc long, copy long, first int, end int, words binary"
 
 
-def _packed(words):
-    """(bytes with one space between words, first byte of each word, byte after each word)."""
-    size = len(words.data) - 8
-    inside = np.zeros(size + 1, dtype=np.int8)
-    inside[words.start] += 1
-    np.add.at(inside, words.end, -1)
-    inside = np.cumsum(inside)[:size] > 0
-    keep = inside.copy()
-    after = words.end[words.end < size]
-    keep[after] = True
-    at = np.cumsum(keep) - 1
-    return np.where(inside, words.data[:size], 32)[keep].tobytes(), at[words.start], at[words.end - 1] + 1
-
-
 def _super_kmers(part: pa.RecordBatch) -> pa.RecordBatch:
     words = words_of(part.column("text"), NOT_SPACE)
     low = sliding_min(grams(words.hash, GRAM), SPAN - GRAM + 1)
@@ -62,7 +51,7 @@ def _super_kmers(part: pa.RecordBatch) -> pa.RecordBatch:
     head[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(head)
     n = np.diff(np.append(head, len(at)))
-    raw, begin, end = _packed(words) if len(head) else (b"", at, at)
+    raw, begin, end = packed(words) if len(head) else (b"", at, at)
     a, b = begin[at[head]], end[at[head] + n - 1 + SPAN - 1]
     packs = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
     doc = part.column("doc").to_numpy(zero_copy_only=False)[row[head]]
@@ -72,15 +61,39 @@ def _super_kmers(part: pa.RecordBatch) -> pa.RecordBatch:
     least = np.full(code.max() + 1 if len(code) else 0, LAST)
     np.minimum.at(least, code, doc)
     repeat = doc > least[code]
-    bucket = np.where(repeat, _spread(doc), low[head].view(np.int64))
+    bucket = (np.where(repeat, mixed(doc.astype(np.uint64)), low[head]) >> np.uint64(33)).astype(np.int32)
     return pa.RecordBatch.from_arrays([
         pa.array(bucket), pa.array(doc), pa.array(copy), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
         pc.if_else(pa.array(repeat), pa.scalar(None, pa.binary()), packs),
     ], names=["bucket", "doc", "copy", "first", "n", "words"])
 
 
-def _spread(doc: np.ndarray) -> np.ndarray:
-    return (doc.astype(np.uint64) * np.uint64(0x9E3779B185EBCA87)).view(np.int64)
+def _blocks(rows: pa.RecordBatch, partitions: int) -> pa.RecordBatch:
+    """(part, block): the rows of each partition, compressed."""
+    part = rows.column("bucket").to_numpy() % partitions
+    order = np.argsort(part, kind="stable")
+    rows, part = rows.take(pa.array(order)), part[order]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    out = []
+    for a, b in zip(begin.tolist(), [*begin.tolist()[1:], len(part)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(rows.slice(a, b - a))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(out, pa.binary())], names=["part", "block"])
+
+
+def _gathered(batches, rows: int):
+    """Batches joined to `rows` rows or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class _Judge:
@@ -163,12 +176,18 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
-                yield _super_kmers(part)
+            for part in pieces(batch, "text"):
+                yield _blocks(_super_kmers(part), partitions)
+                pa.default_memory_pool().release_unused()
+
+    def unpack(batches):
+        for batch in batches:
+            for block in batch.column("block"):
+                yield from pa.ipc.open_stream(block.as_buffer())
 
     def judge(batches):
         state = _Judge(carried)
-        for batch in batches:
+        for batch in _gathered(batches, 8000):
             known = batch.column("words").is_null()
             folded = batch.filter(known)
             if folded.num_rows:
@@ -181,7 +200,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if left.num_rows:
                 yield _ranges(left, *state(left))
 
-    dealt = rows.mapInArrow(cut, _SUPER).repartition("bucket").sortWithinPartitions("bucket", "doc")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.mapInArrow(cut, "part int, block binary").repartitionById(partitions, F.col("part"))
+    dealt = blocks.mapInArrow(unpack, _SUPER).sortWithinPartitions("bucket", "doc")
     judged = written(dealt.mapInArrow(judge, _RANGE), "repeated-ranges")
     left = judged.filter("words is not null")
     least = left.groupBy("words").agg(F.min("doc").alias("least"))
@@ -203,7 +224,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text"):
                 words = words_of(part.column("text"), NOT_SPACE)
                 raw, out = words.data.tobytes(), []
                 for i, spans in enumerate(part.column("ranges").to_pylist()):
