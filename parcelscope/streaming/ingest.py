@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,39 +17,80 @@ def read_records(spark: SparkSession, landing: str) -> DataFrame:
     return spark.readStream.schema(SIGNAL_RECORD + ", seq bigint").parquet(landing)
 
 
-def read_snapshot(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot, or the newest one older than a version."""
+# A store holds its rows in `data/bucket=B/version=V` and, for every batch, the version of each bucket in
+# `pointers/batch=N`. A batch rewrites only the buckets of its own keys.
+BUCKETS = 64
+POINTER = "bucket int, version bigint"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source", "external_id"), F.lit(buckets)).cast("int")
+
+
+def _pointers(spark: SparkSession, store: str, before: int | None = None) -> tuple[int | None, dict[int, int]]:
+    """(newest batch, version of each bucket): at most as many rows as there are buckets are collected."""
     try:
-        versions = spark.read.schema(SIGNALS + ", version bigint").parquet(store)
+        every = spark.read.schema(POINTER + ", batch bigint").parquet(f"{store}/pointers")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SIGNALS)  # nothing stored yet
+        return None, {}  # nothing stored yet
     if before is not None:
-        versions = versions.where(F.col("version") < before)
-    # The version is a partition of the path: a scan of every version's files, without their columns.
-    newest = versions.select("version").distinct().agg(F.max("version").alias("v")).first()["v"]
-    if newest is None:
+        every = every.where(F.col("batch") < before)
+    newest = every.agg(F.max("batch").alias("b")).first()["b"]
+    return newest, {r["bucket"]: r["version"] for r in every.where(F.col("batch") == newest).collect()} if newest is not None else {}
+
+
+def _read(spark: SparkSession, store: str, versions: dict[int, int]) -> DataFrame:
+    if not versions:
         return spark.createDataFrame([], SIGNALS)
-    return versions.where(F.col("version") == newest).drop("version")
+    return spark.read.schema(SIGNALS).parquet(
+        *[f"{store}/data/bucket={b}/version={v}" for b, v in sorted(versions.items())])
+
+
+def read_snapshot(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """The newest snapshot, or the newest one older than a batch."""
+    return _read(spark, store, _pointers(spark, store, before)[1])
 
 
-def merge_into_store(store: str, as_of):
-    """A foreachBatch function that merges a micro-batch into the next snapshot.
+def merge_into_store(store: str, as_of, buckets: int = BUCKETS):
+    """A foreachBatch function that merges a micro-batch into the store.
 
-    A repeated batch id rewrites its own folder from the snapshot before it, so a restarted query
-    does not apply a batch twice. One query writes to a store at a time.
+    Only the buckets with keys of the batch are read and written. A repeated batch id writes its own
+    version again, from the snapshot before it, so a restarted query does not apply a batch twice. One
+    query writes to a store at a time; readers see a batch when its pointers are written, last.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = read_snapshot(spark, store, before=batch_id)
+        _, versions = _pointers(spark, store, before=batch_id)
+        touched = {r["b"] for r in batch.select(_bucket(buckets).alias("b")).distinct().collect()}
+        current = _read(spark, store, {b: v for b, v in versions.items() if b in touched})
         merged, _ = merge_signals(current, batch, as_of)
-        merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        (merged.withColumns({"bucket": _bucket(buckets), "version": F.lit(batch_id).cast("bigint")})
+         .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket", "version").parquet(f"{store}/data"))
+        now = {**versions, **dict.fromkeys(touched, batch_id)}
+        spark.createDataFrame(sorted(now.items()), POINTER).coalesce(1).write.mode("overwrite").parquet(
+            f"{store}/pointers/batch={batch_id}")
 
     return write
 
 
+def remove_old_versions(spark: SparkSession, store: str, keep: int = 2) -> int:
+    """Delete the bucket versions that none of the newest `keep` batches points to; how many."""
+    every = spark.read.schema(POINTER + ", batch bigint").parquet(f"{store}/pointers")
+    batches = [r["batch"] for r in every.select("batch").distinct().orderBy(F.col("batch").desc()).limit(keep).collect()]
+    used = {(r["bucket"], r["version"]) for r in every.where(F.col("batch").isin(batches)).select(
+        "bucket", "version").distinct().collect()}
+    old = {(r["bucket"], r["version"]) for r in every.select("bucket", "version").distinct().collect()} - used
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for b, v in old:
+        folder = path(f"{store}/data/bucket={b}/version={v}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(old)
+
+
 def incremental_signals(
     spark: SparkSession, landing: str, store: str, checkpoint: str, as_of
 ) -> StreamingQuery:

@@ -125,6 +125,29 @@ def test_incremental_ingest_reads_each_file_once(spark, tmp_path):
     assert run("2026-01-07 00:00:00").keys() == second.keys()  # nothing new landed
 
 
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    from parcelscope.schemas import SIGNAL_RECORD
+
+    def batch(ids, status):
+        data = [("probate", "court_probate", str(i), None, None, dt.date(2026, 1, 1), status, "A B", None, "{}", i) for i in ids]
+        return spark.createDataFrame(data, SIGNAL_RECORD + ", seq bigint")
+
+    store = str(tmp_path / "store")
+    merge = ingest.merge_into_store(store, "2026-01-05 00:00:00", buckets=8)
+    merge(batch(range(40), "open"), 0)
+    merge(batch([3], "closed"), 1)
+    merge(batch([3], "closed"), 1)  # the same batch again
+    versions = ingest._pointers(spark, store)[1]
+    assert len(versions) == 8 and sorted(versions.values()) == [0] * 7 + [1]
+    got = {r["external_id"]: r["status"] for r in ingest.read_snapshot(spark, store).collect()}
+    assert len(got) == 40 and got["3"] == "closed" and got["4"] == "open"
+    assert ingest.read_snapshot(spark, store, before=1).where("status = 'closed'").count() == 0
+    merge(batch([3], "again"), 2)
+    merge(batch([3], "more"), 3)
+    assert ingest.remove_old_versions(spark, store) == 2  # the bucket's versions 0 and 1
+    assert ingest.read_snapshot(spark, store).count() == 40 and ingest.read_snapshot(spark, store, before=3).count() == 40
+
+
 @pytest.mark.parametrize("high,n", [("2026-01-01 00:00:00", 2), ("2026-01-03 00:00:00", 0)])
 def test_new_since(spark, high, n):
     df = spark.sql("select timestamp'2026-01-01 00:00:00' created_at, timestamp'2026-01-02 00:00:00' updated_at "
