@@ -12,10 +12,10 @@ OWNER_NOISE_WORDS = [
 
 # --- fixed values: cities recognised at the end of a street line ------------------------------
 CITIES = [
-    "ANTHEM", "AVONDALE", "BUCKEYE", "CAVE CREEK", "CHANDLER", "EL MIRAGE", "FOUNTAIN HILLS",
-    "GILBERT", "GLENDALE", "GOODYEAR", "GUADALUPE", "LAVEEN", "MESA", "PARADISE VALLEY", "PEORIA",
-    "PHOENIX", "QUEEN CREEK", "SCOTTSDALE", "SUN CITY", "SURPRISE", "TEMPE", "TOLLESON",
-    "YOUNGTOWN",
+    "PARADISE VALLEY", "FOUNTAIN HILLS", "CAVE CREEK", "QUEEN CREEK", "SUN CITY", "EL MIRAGE",
+    "GLENDALE", "TEMPE", "PHOENIX", "MESA", "SCOTTSDALE", "CHANDLER", "AVONDALE", "PEORIA",
+    "SURPRISE", "GILBERT", "BUCKEYE", "GOODYEAR", "TOLLESON", "LAVEEN", "YOUNGTOWN", "GUADALUPE",
+    "ANTHEM",
 ]
 
 # --- fixed values: street-line vocabulary -----------------------------------------------------

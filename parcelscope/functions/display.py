@@ -134,6 +134,7 @@ def fmt_money(c) -> Column:
     return F.when(amount >= 1_000_000, millions).when(amount.isNotNull(), thousands)
 
 
+# Fixed value: what marks a trust or an estate.
 _TRUST_OR_ESTATE = r"(?i)\b(TRUST|TRUSTEES?)\b|\bESTATE OF\b"
 
 
@@ -228,6 +229,7 @@ def plural_label(signal_type) -> Column:
     return F.coalesce(dim(K.PLURAL_LABELS, t), F.regexp_replace(t, "_", " "))
 
 
+# Where a company name is cut, and the legal suffixes after it.
 _COMPANY_CUT = r"( – | - | \(|,).*$"
 _COMPANY_SUFFIX = rf"(?i)[,\s]+({'|'.join(K.COMPANY_SUFFIXES)})\.?$"
 

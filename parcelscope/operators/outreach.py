@@ -22,6 +22,7 @@ def select_prospects(prospects: DataFrame, segment: str | None = None, ids=None)
 
 def populate_prospect_geo(prospects: DataFrame) -> DataFrame:
     """Zip and city from an explicit 'City, AZ 12345' in the notes; others keep theirs."""
+    # Fixed value: how a city, state and zip are written in notes.
     pattern = r",\s*([A-Za-z][A-Za-z .]+?),\s*([A-Z]{2})\s+(\d{5})\b"
     part = lambda i: F.regexp_extract("notes", pattern, i)
     found = F.coalesce(part(2) == "AZ", F.lit(False))
@@ -111,6 +112,7 @@ def trial_clicks_named(clicks: DataFrame, prospects: DataFrame) -> DataFrame:
 def access_requests_dedupe(requests: DataFrame) -> DataFrame:
     """First valid request of each e-mail; a filled trap field `company` marks a bot."""
     email = F.lower(strip(F.coalesce("email", F.lit(""))))
+    # The e-mail pattern and its longest length.
     valid = requests.withColumn("email", email).where(
         (F.coalesce("company", F.lit("")) == "")
         & F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$")
