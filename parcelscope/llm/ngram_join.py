@@ -16,11 +16,13 @@ symmetric difference of at most (a + b) / 9.
   too. What is still missing is taken from A's empty segments.
 
 Sets with equal shingles are one node from the start. Where a segment is shared, all pairs are not
-formed: first each node is compared with the smallest one that indexes the segment, and what links
-is joined into components. Only nodes that share a segment but are still in different components
-are compared pair by pair in a second round. A pair is also passed over if, by the triangle
-inequality for the Jaccard distance, its known distances to that smallest node differ by over 0.2.
-Links are decided on the texts' words, not on hashes.
+formed: its nodes are compared with one of them, the pivot, and what links is joined into components.
+Segments whose nodes are all in one component are done. For the others this is repeated with other
+pivots, as long as that joins much; a few rounds join large groups of near copies at linear cost.
+Only what then still shares a segment across components is compared pair by pair, so no link is
+missed. An exact bound passes pairs over unseen: a node has two sketches, the parities of its
+shingles in 512 buckets and in about as many as it has shingles; sets differ in as many shingles as
+their sketches in bits, or more. What is left is decided on the texts' words, not on hashes.
 
 Defined cases: null, empty and wordless texts have no set and are linked with nothing; repeated rows
 and ids keep their rows; a null id is no candidate for a component's id unless all ids are null.
@@ -31,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import text_of, written
@@ -39,6 +41,8 @@ from .wordhash import NOT_SPACE, grams, mixed, packed, pieces, words_of
 
 K = 5
 SMALL = 64  # bands below this size use one-deletion neighbourhoods
+ROUNDS = 8  # of pivots at most; what they leave is compared pair by pair
+FIXED = 8  # 64-bit words of the fixed sketch
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -150,26 +154,68 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return np.concatenate([p[1] for p in parts]).view(np.int64), node[r], size[r], np.concatenate([p[2] for p in parts])
 
 
+def _sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Parities of the shingles' counts in 2 ** k buckets, 64 at least, as 64-bit words."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    place = base[row] + (mixed(h ^ _K1) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view("<i8")
+    return np.split(words, (base // 64)[1:]) if len(size) else []
+
+
+def _fixed_sketches(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Parities of the shingles' counts in 64 * FIXED buckets, a row of words for each text."""
+    place = row * (64 * FIXED) + (mixed(h ^ _K2) % np.uint64(64 * FIXED)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * 64 * FIXED) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, FIXED)
+
+
+def _words(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(FIXED)]
+
+
+def _near(size_a: str, size_b: str, a: str, b: str) -> Column:
+    """Sizes and fixed sketches allow a link; plain arithmetic, for join conditions."""
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(_words(a), _words(b))), F.lit(0))
+    x, y = F.col(size_a), F.col(size_b)
+    return (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * bits <= x + y)
+
+
+def _may_link(a: str, b: str, size_a: str, size_b: str) -> Column:
+    """Whether two sketches differ in (size_a + size_b) / 9 bits at most, the longer one folded to the
+    shorter (sizes of a pair are within a factor of 1.25, so lengths within 2)."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda s: F.when(F.size(s) > n, F.zip_with(
+        F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(s))
+    bits = F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return 9 * F.aggregate(bits, F.lit(0), lambda x, y: x + y) <= F.col(size_a) + F.col(size_b)
+
+
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy, n_shingles, node, digest) of every row; without a set, node is null."""
+    """(id, copy, n_shingles, node, digest, sketch) of every row; without a set, node is null."""
     rows = text_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text"))
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                size, node, digest = _nodes(*shingles(part.column("text")), part.num_rows)
+                row, h = shingles(part.column("text"))
+                size, node, digest = _nodes(row, h, part.num_rows)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("copy"), pa.array(size, pa.int64()),
-                    pa.array(node, mask=size == 0), pa.array(digest, pa.binary())],
-                    names=["id", "copy", "n_shingles", "node", "digest"])
+                    pa.array(node, mask=size == 0), pa.array(digest, pa.binary()),
+                    pa.array(_sketches(row, h, size), pa.list_(pa.int64())),
+                    *map(pa.array, _fixed_sketches(row, h, part.num_rows).T.copy())],
+                    names=["id", "copy", "n_shingles", "node", "digest", "sketch", *_words("k")])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, n_shingles long, node long, digest binary")
+    return rows.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, n_shingles long, node long, digest binary, sketch array<long>, "
+                           + ", ".join(f"{k} long" for k in _words("k")))
 
 
 def _shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sig, node, size, indexed, pivot, pivot_size): signatures that different nodes share and one
-    indexes; the pivot is the smallest node that does."""
+    """(sig, node, size, indexed, pivot): signatures that different nodes share and one indexes; the
+    first pivot is the smallest node that does."""
     rows = text_of(docs, id_col, text_col).select("text")
 
     def run(batches):
@@ -185,8 +231,7 @@ def _shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pivot = F.min(F.when(F.col("indexed"), F.struct("size", "node"))).over(w)
     out = (sigs.withColumn("p", pivot).withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
            .filter("p is not null and lo != hi"))
-    return written(out.select("sig", "node", "size", "indexed", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")),
-                   "shared")
+    return written(out.select("sig", "node", "size", "indexed", F.col("p.node").alias("pivot")), "shared")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, per_star: int = 256) -> DataFrame:
@@ -260,44 +305,91 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, copy, n_shingles, label, component_id) of every row; label is null without a set."""
     members = written(_members(docs, id_col, text_col), "members")
-    clash = members.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b")
-    if not clash.isEmpty():
+    sets = members.filter("node is not null").groupBy("node").agg(
+        F.min("digest").alias("a"), F.max("digest").alias("b"), F.first("sketch").alias("sketch"),
+        *(F.first(k).alias(k) for k in _words("k")))
+    sets = written(sets, "sets")
+    if not sets.filter("a != b").isEmpty():
         raise RuntimeError("two different sets have the same first 64 bits of their digest")
     shared = _shared(docs, id_col, text_col)
-    near = "pivot != node and 4 * size <= 5 * pivot_size and 4 * pivot_size <= 5 * size"
-    first = shared.filter(near).select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    first = written(first, "pairs")
-    nodes = first.select(F.col("x").alias("node")).unionByName(first.select(F.col("y").alias("node"))).distinct()
-    texts = written(_texts(docs, members, nodes, id_col, text_col), "texts")
-    checked = _verify(first, texts)
-    edges = checked.filter("100 * both >= 80 * either")
-    labels = components(edges)
-
-    rest = written(_across(shared, labels, checked), "pairs")
-    if not rest.isEmpty():
-        more = rest.select(F.col("x").alias("node")).unionByName(rest.select(F.col("y").alias("node"))).distinct()
-        more = more.join(texts, "node", "left_anti")
-        if not more.isEmpty():
-            texts = written(texts.unionByName(_texts(docs, members, more, id_col, text_col)), "texts")
-        found = _verify(rest, texts).filter("100 * both >= 80 * either")
-        labels = components(edges.unionByName(found))
-    return _named(members, labels)
-
-
-def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs (x, y) that share a signature, lie in different components so far, and may be linked."""
-    known = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # (node, text) of the nodes that share a signature, and only of those
+    texts = written(_texts(docs, members, shared.select("node").distinct(), id_col, text_col), "texts")
+    # (sig, node, size, indexed, label, pivot, fixed sketch) of segments across components
+    active = written(shared.join(sets.select("node", *_words("k")), "node").withColumn("label", F.col("node")), "active")
+    labels = active.select("node", F.col("node").alias("label")).limit(0)
+    checked = None
+    for r in range(ROUNDS):
+        pairs = _with_pivots(active, sets)
+        if checked is not None:
+            pairs = pairs.join(checked, ["x", "y"], "left_anti")
+        done = _verify(written(pairs, "pairs"), texts)
+        links = done.filter("100 * both >= 80 * either").select("x", "y")
+        seen = done.select("x", "y")
+        checked = seen if checked is None else written(checked.unionByName(seen), "checked")
+        before, labels = labels, _joined(labels, links)
+        active = written(_relabelled(active, labels, r + 1), "active")
+        if active.isEmpty() or (r and 50 * _moved(before, labels) < active.select("node").distinct().count()):
+            break
+    rest = _across(active, sets).join(checked, ["x", "y"], "left_anti")
+    found = _verify(written(rest, "pairs"), texts).filter("100 * both >= 80 * either").select("x", "y")
+    return _named(members, _joined(labels, found))
+
+
+def _with_pivots(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of each node with the pivots of its segments, as far as the bounds allow."""
+    nodes = active.select("node", "size", "label", *_words("k")).dropDuplicates(["node"])
+    pivots = nodes.toDF("pivot", "psize", "plabel", *_words("p"))
+    met = active.filter("pivot != node").select("pivot", "node").distinct()
+    near = met.join(pivots, "pivot").join(nodes, "node").filter("label != plabel").filter(_near("size", "psize", "k", "p"))
+    return _ordered(near.select(F.col("pivot").alias("x"), F.col("node").alias("y"), F.col("psize").alias("a"),
+                                F.col("size").alias("b")), sets)
+
+
+def _ordered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y, a, b) whose long sketches allow a link, the smaller node first."""
+    whole = sets.select("node", "sketch")
+    ok = (pairs.distinct().join(whole.toDF("x", "sx"), "x").join(whole.toDF("y", "sy"), "y")
+          .filter(_may_link("sx", "sy", "a", "b")))
+    return ok.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: components of the old labels, then of their nodes."""
+    a = labels.toDF("x", "lx")
+    b = labels.toDF("y", "ly")
+    edges = links.join(a, "x", "left").join(b, "y", "left").select(
+        F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y")).filter("x != y").distinct()
+    merged = components(edges).toDF("old", "new")
+    nodes = labels.select("node", "label").unionByName(
+        links.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(labels, "node", "left_anti")
+        .withColumn("label", F.col("node")))
+    return written(nodes.join(merged, nodes["label"] == merged["old"], "left").select(
+        "node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def _relabelled(active: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """The segments that still have nodes of several components, each with a new pivot."""
     w = Window.partitionBy("sig")
-    known = (known.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
-             .filter("lo != hi").drop("lo", "hi"))
-    far = checked.select(F.col("x").alias("pivot"), F.col("y").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
-    known = written(known.join(far, ["pivot", "node"], "left")
-                    .withColumn("d", F.when(F.col("pivot") == F.col("node"), F.lit(0.0)).otherwise(F.col("d"))), "unsettled")
-    a = known.filter("indexed").select("sig", F.col("node").alias("x"), F.col("size").alias("a"), F.col("label").alias("lx"), F.col("d").alias("dx"))
-    b = known.select("sig", F.col("node").alias("y"), F.col("size").alias("b"), F.col("label").alias("ly"), F.col("d").alias("dy"), "pivot")
-    close = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True))
-    pairs = a.join(b, "sig").filter("lx != ly and a <= b and 4 * b <= 5 * a and x != pivot").filter(close)
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    now = active.drop("label", "pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pivot = F.min(F.when(F.col("indexed"), F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))).over(w)
+    return (now.withColumn("pivot", pivot["node"]).withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+            .filter("lo != hi").drop("lo", "hi"))
+
+
+def _moved(before: DataFrame, after: DataFrame) -> int:
+    """Nodes whose component is another one than before."""
+    old = before.withColumnRenamed("label", "old")
+    return after.join(old, "node", "left").filter("old is null or old != label").count()
+
+
+def _across(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) that share a signature which the smaller one indexes, lie in different components,
+    and may be linked."""
+    a = active.filter("indexed").select("sig", F.col("node").alias("x"), F.col("size").alias("a"), F.col("label").alias("lx"),
+                                        *(F.col(k).alias(p) for k, p in zip(_words("k"), _words("p"))))
+    b = active.select("sig", F.col("node").alias("y"), F.col("size").alias("b"), F.col("label").alias("ly"), *_words("k"))
+    pairs = a.join(b, "sig").filter("lx != ly and a <= b").filter(_near("a", "b", "p", "k"))
+    return _ordered(pairs.select("x", "y", "a", "b"), sets)
 
 
 def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
