@@ -7,9 +7,9 @@ highest, large groups first.
 
 Groups of at least 1/64 of a shard are few (at most 3 * 64 * shards, whatever the input) and are
 placed first, together. The others are dealt by hash to cells of about `cell` groups, and each cell
-is packed by a task of its own against the capacity that the large ones left. A cell's packs are
-then given to the shards that are behind in bytes, so that the cells' small differences cancel; that
-table has one row per cell and shard. Slots number a shard's rows without gaps, by counts of hash
+is packed by a task of its own against the capacity that the large ones left. A cell's packs, heavy
+ones first, then go to the shards that are furthest behind in bytes, so that the cells' differences
+cancel; that table has one row per cell and shard. Slots number a shard's rows without gaps, by counts of hash
 buckets and ranks within them.
 
 Defined cases: a null text is empty (size 1); a null id keeps its row; equal rows are placed
@@ -89,7 +89,7 @@ def shard_of_groups(groups: DataFrame, totals: np.ndarray, shards: int, cell: in
     dealt = light.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int"))
     packed = written(dealt.groupBy("cell").applyInPandas(pack, "cell int, key string, part int, bin int, size long"), "packed")
     loads = packed.groupBy("cell", "bin").agg(F.sum("size").alias("size"))
-    moved = _even_out(loads, load[:, 0] * totals[0], left[:, 0], shards)
+    moved = _even_out(loads, load[:, 0] * totals[0], left[:, 0])
     out = packed.join(moved, ["cell", "bin"]).select("key", "part", "shard")
     if not len(large):
         return out
@@ -98,20 +98,18 @@ def shard_of_groups(groups: DataFrame, totals: np.ndarray, shards: int, cell: in
     return out.unionByName(first)
 
 
-def _even_out(loads: DataFrame, placed: np.ndarray, left: np.ndarray, shards: int) -> DataFrame:
-    """(cell, bin, shard). A bin keeps its shard unless the large groups left all shards alike; then
-    the heaviest bin of a cell goes to the shard that is furthest behind. One row per cell and shard;
-    read cell by cell."""
-    spark = loads.sparkSession
-    total, out, cell, bins = placed.astype(float), [], None, {}
+def _even_out(loads: DataFrame, placed: np.ndarray, left: np.ndarray) -> DataFrame:
+    """(cell, bin, shard): the heavier a bin, the further its shard is behind in bytes, counting what the
+    large groups put there. One row per cell and shard; read cell by cell."""
+    total, seen, out, cell, bins = placed.astype(float), 0.0, [], None, {}
+    shards = len(left)
 
     def settle():
+        nonlocal seen
+        seen += sum(bins.values())
         order = sorted(range(shards), key=lambda b: (-bins.get(b, 0), b))
-        if np.ptp(left) < 0.02 / shards:
-            to = sorted(range(shards), key=lambda s: (total[s], s))
-        else:
-            to = order
-        for b, s in zip(order, to):
+        behind = sorted(range(shards), key=lambda s: (total[s] - placed[s] - left[s] * seen, s))
+        for b, s in zip(order, behind):
             total[s] += bins.get(b, 0)
             out.append((cell, b, s))
 
@@ -123,7 +121,7 @@ def _even_out(loads: DataFrame, placed: np.ndarray, left: np.ndarray, shards: in
         bins[r["bin"]] = r["size"]
     if bins:
         settle()
-    return spark.createDataFrame(out, "cell int, bin int, shard int")
+    return loads.sparkSession.createDataFrame(out, "cell int, bin int, shard int")
 
 
 def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cell: int = 4096) -> DataFrame:
@@ -136,6 +134,7 @@ def pack(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
     groups, totals = groups_of(rows, shards)
     shard = shard_of_groups(written(groups, "parts"), totals, shards, cell)
     by_key = shard.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "shard"))).alias("shards"))
+    by_key = written(by_key, "shards")  # read back, it is shuffled with the rows, and Spark can split a large group
     found = F.coalesce(F.col("shards")[F.lit(-1)], F.col("shards")[_part()])
     placed = written(rows.join(by_key, "key").select("id", "size", "text_crc32", found.alias("shard")), "placed")
     return numbered(placed).withColumnRenamed("id", id_col)
