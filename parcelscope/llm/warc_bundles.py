@@ -162,6 +162,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that the index rows name, each frame unpacked once. Filter the index to fetch a few."""
     places = F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places")
     frames = index.groupBy("bundle", "frame").agg(places)
+    frames = frames.repartition(max(1, index.select("bundle", "frame").distinct().count() // 8), "bundle", "frame")
 
     def run(batches):
         import zstandard
