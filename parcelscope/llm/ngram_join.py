@@ -368,12 +368,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _relabelled(active: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """The segments that still have nodes of several components, each with a new pivot."""
-    w = Window.partitionBy("sig")
+    """The segments that still have nodes of several components, each with a new pivot.
+
+    Segments are folded before the shuffle, and the fold is read back, so that Spark can split a
+    segment with very many nodes in the join."""
     now = active.drop("label", "pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pivot = F.min(F.when(F.col("indexed"), F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))).over(w)
-    return (now.withColumn("pivot", pivot["node"]).withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
-            .filter("lo != hi").drop("lo", "hi"))
+    now = written(now, "relabelled")
+    pivot = F.min(F.when(F.col("indexed"), F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node")))
+    folds = now.groupBy("sig").agg(pivot.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    folds = written(folds.filter("lo != hi").select("sig", F.col("p.node").alias("pivot")), "segments")
+    return now.join(folds, "sig")
 
 
 def _moved(before: DataFrame, after: DataFrame) -> int:
