@@ -61,7 +61,7 @@ def op3_substring_dedup(table):
 
 @query
 def op6_mixing(table):
-    mix = raking.mixed(table("documents"))
+    mix = raking.mixed(table("documents"), once=False)
     return mix.select(F.col("doc.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens",
                       F.round("weight", 9).alias("weight"), F.round("expected", 9).alias("expected"), "copies")
 
