@@ -65,8 +65,9 @@ _STOP = np.array([b in b".," for b in range(256)])
 
 def spaced(texts: pa.Array) -> pa.Array:
     """The texts with a space where an ASCII letter meets a full stop or comma (the tokenizer cuts
-    there too), and in lower case unless a special token may be written in them. It only makes
-    words repeat more often."""
+    there too), and in lower case unless a special token may be written in them; a capital before a
+    character beyond ASCII stays, as the tokenizer may compose the two before it lowers. It only
+    makes words repeat more often."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lower = not pc.any(pc.match_substring(texts, "<|")).as_py()
     n = len(texts)
@@ -75,7 +76,10 @@ def spaced(texts: pa.Array) -> pa.Array:
         return texts
     off = np.frombuffer(off, np.int64)[texts.offset:texts.offset + n + 1]
     data = np.frombuffer(buf, np.uint8)[off[0]:off[-1]]
-    data = LOWER[data] if lower else data
+    if lower:
+        stays, raw = np.flatnonzero(data[1:] >= 128), data
+        data = LOWER[raw]
+        data[stays] = raw[stays]
     off = off - off[0]
     letter, stop = _LETTER[data], _STOP[data]
     cut = np.flatnonzero((letter[:-1] & stop[1:]) | (stop[:-1] & letter[1:])) + 1

@@ -28,6 +28,16 @@ def test_words_encode_to_what_whole_texts_do(texts):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_capitals_before_combining_marks():
+    import pyarrow as pa
+
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "E\u0301", "O\u0328\u0304"]
+    texts = [*pairs, *(f"AB{p}CD x{p.lower()} {p}.{p}, END" for p in pairs), "ENDS IN T", "\u0308 AFTER"]
+    ids, n = T.Encoder(PATH, 2)(pa.array(texts, pa.string()))
+    want = [whole(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_random_texts(tmp_path):
     import pyarrow as pa
 
