@@ -10,8 +10,7 @@ What the page itself marks as boilerplate (navigation, footers, asides, forms, a
 hidden parts) is never a slot. If a page has an article or main element, only its inside counts;
 in other pages, slots that are mostly links are menus.
 
-A node is template only if at least `least` pages show it, all alike, while their texts differ
-(`least` different ones); so few pages, or many copies of one, never lose text. If all of a page is
+A node is template only if at least `least` pages of different text show it, all alike; so few pages, or many copies of one, never lose text. If all of a page is
 template it keeps its blocks. Statistics are sums over (host, node, text hash), combined before the
 shuffle, so that one large host is spread over tasks.
 
@@ -123,10 +122,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     node = seen.groupBy("host", "slot").agg(
         F.count("*").alias("texts"), F.sum("n").alias("pages"), F.sum("chars").alias("chars"),
         F.sum("linked").alias("linked"), F.sum("rooted").alias("rooted"))
-    texts = rows.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("different"))
-    constant = (F.col("texts") == 1) & (F.col("pages") >= least) & (F.col("different") >= least)
-    menu = (F.col("rooted") == 0) & (F.col("linked") > MENU * F.col("chars"))
-    drop = node.join(texts, "host").filter(constant | menu).groupBy("host").agg(F.collect_set("slot").alias("drop"))
+    node = written(node, "nodes")
+    alike = _sent(written(node.filter((F.col("texts") == 1) & (F.col("pages") >= least)).select("host", "slot"), "alike"))
+    shown = rows.select("host", "tree", "whole", F.explode("slots.node").alias("node")).join(to, ["host", "tree"])
+    shown = shown.select("host", F.get("to", F.col("node")).alias("slot"), "whole").join(alike, ["host", "slot"])
+    different = shown.distinct().groupBy("host", "slot").agg(F.count("*").alias("different"))
+    constant = different.filter(F.col("different") >= least).select("host", "slot")
+    menu = node.filter((F.col("rooted") == 0) & (F.col("linked") > MENU * F.col("chars"))).select("host", "slot")
+    drop = constant.union(menu).groupBy("host").agg(F.collect_set("slot").alias("drop"))
     drop = _sent(written(drop, "template"))
     out = rows.join(to, ["host", "tree"], "left").join(drop, "host", "left")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("drop", F.get("to", b["node"])), F.lit(False)))

@@ -70,6 +70,13 @@ def test_few_pages_and_copies_lose_nothing(spark):
     assert {t for _, t in extracted(spark, copies)} == {"One\nsame"}
 
 
+def test_copies_of_one_page_beside_others_lose_nothing(spark):
+    others = [(i, "http://h/", f"<article><h1>H{i}</h1><p>text {i}</article>", 0) for i in range(8)]
+    copies = [(100 + i, "http://h/", "<article><h1>Own</h1><p>words<ul><li>one<li>two</ul><h2>More</h2></article>", 0) for i in range(10)]
+    got = extracted(spark, others + copies)
+    assert got == sorted([(i, f"H{i}\ntext {i}") for i in range(8)] + [(100 + i, "Own\nwords\none\ntwo\nMore") for i in range(10)], key=repr)
+
+
 def test_lines_that_articles_share_stay(spark):
     pages = [(i, "http://h/", f"<article><h1>H{i}</h1><p>text {i}<p>The same line</p></article><footer>f</footer>", 0) for i in range(20)]
     assert extracted(spark, pages) == sorted(((i, f"H{i}\ntext {i}\nThe same line") for i in range(20)), key=repr)
