@@ -26,6 +26,7 @@ BAD_WORDS = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies related "
     "recommended widget login signup search pagination pager skip contentinfo complementary".split())
 ROOTS = frozenset("article main".split())
+UNMARKED = frozenset("html body h1".split())  # with ROOTS: no word of a class, id or role makes these boilerplate
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -42,32 +43,36 @@ class Node:
         self.label, self.children, self.index, self.bad, self.root, self.size = label, [], -1, bad, root, 1
 
 
-def _marks(attrs: str) -> tuple[str, bool, bool]:
-    """(first class or id without digits, is boilerplate, holds the article)."""
+def _marks(attrs: str) -> tuple[str, bool, bool, bool]:
+    """(first class or id without digits, is boilerplate by its words, is hidden, holds the article). A class
+    counts only if all its words are marks: no-sidebar and article-header are none."""
     if not attrs or ("=" not in attrs and "hidden" not in attrs):
-        return "", False, False
-    name, bad, root = "", False, False
+        return "", False, False, False
+    name, bad, hidden, root = "", False, False, False
     for m in _NAMED.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            bad = True
+            hidden = True
         elif key == "itemprop":
             root |= value == "articlebody"
         elif key in ("class", "id", "role"):
             words = _WORD.findall(value)
             name = name or "-".join(words[:3])
-            bad |= not BAD_WORDS.isdisjoint(words)
+            if not BAD_WORDS.isdisjoint(words):
+                bad |= any(BAD_WORDS.issuperset(w) for w in map(_WORD.findall, value.split()) if w)
             root |= key == "role" and value in ("main", "article")
-    return name, bad, root
+    return name, bad, hidden, root
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]], bool]:
     """(tree of block elements, blocks, whether an element holds the article). A block is (element, text,
-    characters of it inside links); boilerplate elements have none."""
+    characters of it inside links); boilerplate elements have none. An article or main element that is not
+    inside another is the page's own, whatever words the elements around it have. A page without one, all
+    of whose text is marked by words only, keeps that text."""
     top = Node("page")
-    # open elements: (tag, node it belongs to, boilerplate, inside the article, is a link)
-    stack = [("", top, False, False, False)]
-    blocks: list[tuple[Node, str, int, bool]] = []
+    # open elements: (tag, node it belongs to, boilerplate (1 by words, 2 by element), inside the article, is a link)
+    stack = [("", top, 0, False, False)]
+    blocks: list[tuple[Node, str, int, bool, int]] = []
     parts: list[str] = []
     linked = at = 0
     rooted = False
@@ -77,8 +82,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]], bool]:
         if parts:
             _, node, bad, inside, _ = stack[-1]
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text and not bad:
-                blocks.append((node, text, linked, inside))
+            if text and bad < 2:
+                blocks.append((node, text, linked, inside, bad))
             parts.clear()
         linked = 0
 
@@ -148,15 +153,20 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]], bool]:
                         break
                 elif stack[i][0] in STOPS[tag]:
                     break
-        name, bad, root = _marks(m[3])
+        name, words, hidden, root = _marks(m[3])
         _, above, was_bad, inside, link = stack[-1]
         root = root or tag in ROOTS
-        bad = was_bad or bad or tag in DROPPED or (tag == "header" and not inside)
+        if hidden or tag in DROPPED or (tag == "header" and not inside):
+            bad = 2
+        elif root and not inside and was_bad < 2:
+            bad = 0
+        else:
+            bad = max(was_bad, int(words and not root and tag not in UNMARKED))
         if tag in BLOCK:
             flush()
             node = above
             if len(stack) <= DEPTH:
-                node = Node(f"{tag}.{name}" if name else tag, bad, root)
+                node = Node(f"{tag}.{name}" if name else tag, bad > 0, root)
                 above.children.append(node)
             rooted |= root and not bad
             stack.append((tag, node, bad, inside or (root and not bad), link or tag == "a"))
@@ -165,7 +175,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]], bool]:
                 flush()
             stack.append((tag, above, bad, inside or (root and not bad), link or tag == "a"))
     flush()
-    chosen = [(n, t, k) for n, t, k, inside in blocks if inside or not rooted]
+    chosen = [(n, t, k) for n, t, k, inside, bad in blocks if not bad and (inside or not rooted)]
+    if not chosen and not rooted:
+        chosen = [(n, t, k) for n, t, k, _, _ in blocks]
     return top, chosen, rooted
 
 

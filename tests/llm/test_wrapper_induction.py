@@ -25,6 +25,17 @@ def test_blocks_of_a_page():
     assert text("<article>" + "<p>x" * 20_000 + "</article>").count("x") == 20_000
 
 
+def test_words_of_a_class_never_drop_the_article():
+    page = "<html class='{}'><body class='{}'><div id='{}'><article class='{}'><h1 class='{}'>T</h1><p>x</article></div></body></html>"
+    for word in ("no-sidebar", "has-sidebar comments-open", "post with-comments", "article-header", "header", "social", "comments"):
+        for k in range(5):
+            assert text(page.format(*(word if i == k else "c" for i in range(5)))) == "T\nx"
+    assert text("<div class=widget><div role=main>x<section class=comments><article>no</article></section></div></div>") == "x"
+    assert text("<article>x<nav><article>no</article></nav><p hidden>no</p><div class='cookie-banner'>no</div></article>") == "x"
+    assert text("<body class='no-sidebar'><p>x<div class='sidebar'>no</div>") == "x"
+    assert text("<div class='social'><p>all there is</div><nav>no</nav>") == "all there is"
+
+
 def test_simple_tree_matching():
     a, b = dom.read("r(a,b(c,d),e)"), dom.read("r(b(d),x,e)")
     n, pairs = dom.matching(a, b)
