@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles, wrapper_induction
+from . import decontaminate, ngram_join, partial_matching, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles, wrapper_induction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,3 +90,8 @@ def op5_ngram_join(table):
 def op9_html_extraction(table):
     found = wrapper_induction.extract(table("pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_lm_scoring(table):
+    return partial_matching.scored(table("documents"))
