@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, partial_matching, periodic_runs, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles, wrapper_induction
+from . import conversation_repair, decontaminate, ngram_join, partial_matching, periodic_runs, raking, rule_ledger, substring_dedup, token_files, toxicity_fm, vector_packing, warc_bundles, wrapper_induction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,3 +103,9 @@ def op13_periodic_runs(table):
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_conversation_repair(table):
+    found = conversation_repair.repair(conversation_repair.damaged(table("conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
