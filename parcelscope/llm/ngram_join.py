@@ -8,12 +8,13 @@ symmetric difference of at most (a + b) / 9.
   the band's scheme: shingles are hashed into m segments, with m above the largest difference that
   a pair of the scheme can have.
 * The smaller set A can differ from B in at most H = (a + 1.25 a) / 9 segments, so any H + 1 segments
-  of A hold one in which both agree. A indexes the segments that are cheapest: many shingles in a
-  segment mean few others share it. B looks all of its segments up.
-* If fewer than H + 1 segments of A have shingles, a segment can count twice: A then also indexes
-  what is left of it after each deletion of one shingle, and agrees with B if the segments differ by
-  one. In bands of small sets, where this happens, all sets look up their one-deletion neighbourhoods
-  too. What is still missing is taken from A's empty segments.
+  of A hold one in which both agree. B looks all of its segments up.
+* In bands of small sets a segment can count twice: A then also indexes what is left of it after each
+  deletion of one shingle, and agrees with B if the segments differ by one. All sets of such bands
+  look up their one-deletion neighbourhoods too.
+* Which segments A indexes is decided by cost, counted over all sets: how many others have the
+  segment. What nobody else has costs nothing and finds nothing, so a set with H + 1 such segments has
+  no partner and is done. The others add their cheapest segments until H + 1 is reached.
 
 Sets with equal shingles are one node from the start. Where a segment is shared, all pairs are not
 formed: its nodes are compared with one of them, the pivot, and what links is joined into components.
@@ -96,10 +97,12 @@ def _nodes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return np.diff(at), node, digest
 
 
-def _scheme(row, h, size, band, rank: bool):
-    """Signatures of the sets in the schemes `band` (one per set; -1: none): (row, signature, indexed).
+def _scheme(row, h, band, rank: bool):
+    """Signatures of the sets in the schemes `band` (one per set; -1: none): (row, signature, tag).
 
-    rank: the sets are of the band itself, so they index too."""
+    rank: the sets are of the band itself, so they may index too. The tag then has the units that all of
+    the set's segments are worth, the segment, whether it can count twice, and whether a shingle is left
+    out; without rank it is -1."""
     use = band >= 0
     m = np.where(use, segments(np.maximum(band, 0)), 0)
     base = np.cumsum(m) - m
@@ -113,34 +116,25 @@ def _scheme(row, h, size, band, rank: bool):
     content = low + (high << np.uint64(32))  # sum of the values modulo 2 ** 64, whatever their order
     z = np.bincount(place, minlength=total)
     owner = np.repeat(np.arange(len(m)), m)
-    salt = band[owner].astype(np.uint64) * _K1 + (np.arange(total) - base[owner]).astype(np.uint64) * _K2
-    exact = mixed(content ^ mixed(salt))
+    segment = np.arange(total) - base[owner]
+    salt = band[owner].astype(np.uint64) * _K1 + segment.astype(np.uint64) * _K2
     small = use & (BANDS[np.maximum(band, 0)] < SMALL)
-    indexed, twice = np.zeros(total, dtype=bool), np.zeros(total, dtype=bool)
-    if rank:
-        need = largest_difference(size) + 1
-        filled = np.bincount(owner, z > 0, len(m)).astype(np.int64)
-        # cheapest first: segments with many shingles, then with few, empty ones last
-        order = np.lexsort((-z, owner))
-        position = np.empty(total, dtype=np.int64)
-        position[order] = np.arange(total) - base[owner[order]]
-        short = np.maximum(need - filled, 0)
-        # a shortage is made up by counting the smallest filled segments twice, where that is looked up
-        again = np.where(small, np.minimum(short, filled), 0)
-        indexed = position < (np.minimum(need, filled) + short - again)[owner]
-        twice = (z > 0) & (position >= (filled - again)[owner]) & (position < filled[owner])
-    rows, sigs, flags = [owner], [exact], [indexed]
+    twice = small[owner] & (z > 0)  # such a segment can count twice
+    units = m + np.bincount(owner, twice, len(m)).astype(np.int64)
+    tag = units[owner] << 34 | segment << 2 | twice.astype(np.int64) << 1
+    rows, sigs, tags = [owner], [mixed(content ^ mixed(salt))], [tag]
     near = small[row]
     if near.any():  # what is left of each segment without one of its shingles
         p = place[near]
         rows.append(row[near])
         sigs.append(mixed((content[p] - value[near]) ^ mixed(salt[p])))
-        flags.append(twice[p])
-    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(flags)
+        tags.append(tag[p] | 1)
+    tags = np.concatenate(tags)
+    return np.concatenate(rows), np.concatenate(sigs), tags if rank else np.full(len(tags), -1)
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(signature, node, size, indexed) of all sets that can be linked to a different one."""
+    """(signature, node, size, tag) of all sets that can be linked to a different one."""
     row, h = shingles(texts)
     n = len(texts)
     size, node, _ = _nodes(row, h, n)
@@ -149,7 +143,7 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
     own = np.where(largest_difference(size) >= 1, band, -1)
     smaller = -(-size * 4 // 5) < first  # a partner may be in the band before
     before = np.where((band > 0) & smaller & (largest_difference(first - 1) >= 1), band - 1, -1)
-    parts = [_scheme(row, h, size, own, True), _scheme(row, h, size, before, False)]
+    parts = [_scheme(row, h, own, True), _scheme(row, h, before, False)]
     r = np.concatenate([p[0] for p in parts])
     return np.concatenate([p[1] for p in parts]).view(np.int64), node[r], size[r], np.concatenate([p[2] for p in parts])
 
@@ -214,24 +208,48 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sig, node, size, indexed, pivot): signatures that different nodes share and one indexes; the
-    first pivot is the smallest node that does."""
+    """(sig, node, size, tag, n): signatures that different nodes share, with the rows that have each."""
     rows = text_of(docs, id_col, text_col).select("text")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                sig, node, size, indexed = signatures(part.column("text"))
+                sig, node, size, tag = signatures(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig), pa.array(node), pa.array(size.astype(np.int32)), pa.array(indexed)],
-                    names=["sig", "node", "size", "indexed"])
+                    [pa.array(sig), pa.array(node), pa.array(size.astype(np.int32)), pa.array(tag)], names=["sig", "node", "size", "tag"])
 
-    sigs = rows.mapInArrow(run, "sig long, node long, size int, indexed boolean")
+    sigs = rows.mapInArrow(run, "sig long, node long, size int, tag long")
     w = Window.partitionBy("sig")
-    pivot = F.min(F.when(F.col("indexed"), F.struct("size", "node"))).over(w)
-    out = (sigs.withColumn("p", pivot).withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-           .filter("p is not null and lo != hi"))
-    return written(out.select("sig", "node", "size", "indexed", F.col("p.node").alias("pivot")), "shared")
+    out = sigs.withColumns({"n": F.count(F.lit(1)).over(w), "lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo != hi")
+    return written(out.select("sig", "node", "size", "tag", "n"), "shared")
+
+
+def _indexed(shared: DataFrame) -> DataFrame:
+    """(sig, node): what each set indexes. Segments that no other set shares cost nothing and find nothing;
+    where those are worth H + 1 units, the set indexes none at all. Else it takes the cheapest others."""
+    own = shared.filter("tag >= 0").selectExpr(
+        "sig", "node", "n", "tag >> 34 as units", f"(tag >> 2) & {0xFFFFFFFF} as segment",
+        "(tag & 2) > 0 as twice", "(tag & 1) > 0 as without", "cast((size + size * 5 div 4) div 9 + 1 as int) as need")
+    cost = own.groupBy("node", "segment").agg(
+        F.first("units").alias("units"), F.first("need").alias("need"), F.first("twice").alias("twice"),
+        F.coalesce(F.max(F.expr("if(without, null, n)")), F.lit(0)).alias("whole"), F.coalesce(F.sum(F.expr("if(without, n, null)")), F.lit(0)).alias("parts"))
+    once = F.expr("if(whole > 0, named_struct('cost', whole, 'unit', 1), null)")
+    again = F.expr("if(twice, named_struct('cost', whole + parts, 'unit', 2), null)")
+    priced = cost.select("node", "segment", "units", "need", F.explode(F.array_compact(F.array(once, again))).alias("o"))
+    w = Window.partitionBy("node")
+    ranked = priced.withColumns({"priced": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy("o.cost", "o.unit", "segment"))})
+    taken = ranked.filter("place <= need - (units - priced)").groupBy("node", "segment").agg(F.max("o.unit").alias("unit"))
+    return own.join(taken, ["node", "segment"]).filter("not without or unit = 2").select("sig", "node").distinct()
+
+
+def _allocated(shared: DataFrame) -> DataFrame:
+    """(sig, node, size, indexed, pivot): the signatures that a set indexes, with all sets that have them;
+    the first pivot is the smallest set that indexes it."""
+    indexed = written(_indexed(shared).withColumn("indexed", F.lit(True)), "indexed")
+    wanted = shared.select("sig", "node", "size").join(indexed.select("sig").distinct(), "sig", "left_semi").distinct()
+    rows = written(wanted.join(indexed, ["sig", "node"], "left").withColumn("indexed", F.coalesce("indexed", F.lit(False))), "allocated")
+    pivots = rows.filter("indexed").groupBy("sig").agg(F.min(F.struct("size", "node")).alias("p")).select("sig", F.col("p.node").alias("pivot"))
+    return written(rows.join(pivots, "sig"), "segments")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, per_star: int = 256) -> DataFrame:
@@ -311,7 +329,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = written(sets, "sets")
     if not sets.filter("a != b").isEmpty():
         raise RuntimeError("two different sets have the same first 64 bits of their digest")
-    shared = _shared(docs, id_col, text_col)
+    shared = _allocated(_shared(docs, id_col, text_col))
     # (node, text) of the nodes that share a signature, and only of those
     texts = written(_texts(docs, members, shared.select("node").distinct(), id_col, text_col), "texts")
     # (sig, node, size, indexed, label, pivot, fixed sketch) of segments across components

@@ -85,10 +85,13 @@ def test_repetitive_sets(spark):
     check(spark, [(i, " ".join(["a", "b", "c"][: 1 + i % 3] * (3 + i))) for i in range(40)] + [(99, "x y"), (98, "X Y"), (97, "y x")])
 
 
-def test_every_close_pair_shares_an_indexed_signature():
+def test_every_close_pair_shares_an_indexed_signature(spark):
     """The guarantee itself, on hashed sets around the largest difference, for all small sizes."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(1)
-    bad = 0
+    frames, pairs = [], []
     for size in [*range(4, 60), 80, 120, 200, 400]:
         for _ in range(12):
             a = rng.integers(0, 2**63, size, dtype=np.uint64)
@@ -104,22 +107,40 @@ def test_every_close_pair_shares_an_indexed_signature():
                     break
                 b = c
             small, large = sorted((np.sort(a), np.sort(np.array(b, dtype=np.uint64))), key=len)
-            out = []
-            for s in (small, large):
+            if len(small) == len(large) and (small == large).all():
+                continue
+            k = 2 * len(pairs)
+            pairs.append((k, k + 1, len(small) == len(large)))
+            for node, s in ((k, small), (k + 1, large)):
                 n = np.array([len(s)])
                 row = np.zeros(len(s), dtype=np.int64)
                 band = np.searchsorted(J.BANDS, n, side="right") - 1
                 first = J.BANDS[band]
                 own = np.where(J.largest_difference(n) >= 1, band, -1)
                 before = np.where((band > 0) & (-(-n * 4 // 5) < first) & (J.largest_difference(first - 1) >= 1), band - 1, -1)
-                out.append([J._scheme(row, s, n, own, True), J._scheme(row, s, n, before, False)])
-            index = {int(x) for part in out[0] for x, f in zip(part[1], part[2]) if f}
-            every = {int(x) for part in out[1] for x in part[1]}
-            if len(small) == len(large):
-                index |= {int(x) for part in out[1] for x, f in zip(part[1], part[2]) if f}
-                every |= {int(x) for part in out[0] for x in part[1]}
-            bad += not index & every
-    assert bad == 0
+                for part in (J._scheme(row, s, own, True), J._scheme(row, s, before, False)):
+                    frames.append(pd.DataFrame({"sig": part[1].view(np.int64), "node": node, "size": len(s), "tag": part[2]}))
+    sigs = spark.createDataFrame(pd.concat(frames, ignore_index=True)).selectExpr("sig", "node", "cast(size as int) size", "tag").repartition(4)
+    many = sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
+    shared = J.written(sigs.join(many, "sig").select("sig", "node", "size", "tag", "n"), "shared")
+    indexed = {(r["sig"], r["node"]) for r in J._indexed(shared).collect()}
+    has = {}
+    for r in shared.collect():
+        has.setdefault(r["node"], set()).add(r["sig"])
+    for x, y, even in pairs:
+        meet = has.get(x, set()) & has.get(y, set())
+        assert any((s, x) in indexed or even and (s, y) in indexed for s in meet), (x, y)
+    assert len(indexed) < shared.count() / 4
+
+
+def test_sets_with_enough_segments_of_their_own_index_nothing(spark):
+    """Documents that only share a passage: no segment is looked at, however many they are."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    table = [(i, " ".join(f"w{i}x{j}" for j in range(200)) + " " + passage) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    shared = J._shared(df, "doc_id", "text")
+    assert shared.count() > 0 and J._allocated(shared).count() == 0
+    assert {r["component_id"] for r in J.linked(df).collect()} == set(range(60))
 
 
 def test_sketches_bound_the_difference():
