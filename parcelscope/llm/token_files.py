@@ -23,7 +23,6 @@ ids keep all their rows, ordered by their ids' bytes; an empty table makes no fi
 
 from __future__ import annotations
 
-import itertools
 import os
 import uuid
 from functools import lru_cache
@@ -39,7 +38,7 @@ from .store import open_store, shared_folder, text_of, written
 from .wordhash import LOWER, pieces
 
 MAGIC = b"RVB1"
-KNOWN_WORDS = 200_000  # bound of a task's memory of encoded words
+KNOWN_WORDS = 200_000  # words after which a worker's memory of encoded words begins anew; the one before is kept too
 
 
 @lru_cache(maxsize=2)
@@ -90,7 +89,7 @@ def spaced(texts: pa.Array) -> pa.Array:
 
 class Encoder:
     def __init__(self, path: str, end_id: int):
-        self.tokenizer, self.end_id, self.known = tokenizer(path), end_id, {}
+        self.tokenizer, self.end_id, self.young, self.old = tokenizer(path), end_id, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a unit, if marked
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -104,8 +103,8 @@ class Encoder:
         rows = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
         coded = words.filter(full).dictionary_encode()
         ids_of = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-        flat = np.fromiter(itertools.chain.from_iterable(ids_of), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        flat = np.frombuffer(b"".join(ids_of), "<u4")
         begin = np.cumsum(sizes) - sizes
         code = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[code]
@@ -114,29 +113,37 @@ class Encoder:
         ends = stop[rows]
         return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
 
-    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known = self.known = {}
-            new = words
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers. Words met lately are not encoded again."""
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young and w not in old]
         plain = [w for w in new if w.isalpha()]
-        known.update(self._plain(plain))
-        rest = [w for w in new if w not in known]
+        young.update(self._plain(plain))
+        rest = [w for w in new if w not in young]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = e.ids
-        return [known[w] for w in words]
-
-    def _plain(self, words: list[str]) -> dict[str, list[int]]:
+            young[w] = np.array(e.ids, "<u4").tobytes()
+        young.update((w, old[w]) for w in words if w not in young)
+        out = [young[w] for w in words]
+        if len(young) > KNOWN_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only, encoded as one text; nothing if they are not one unit each."""
         if not words:
             return {}
-        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ends = np.flatnonzero(self.closes[np.array(ids, dtype=np.int64)]) + 1
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return {}
-        ends = ends.tolist()
-        return {w: ids[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which Spark keeps for many tasks."""
+    return Encoder(path, end_id)
 
 
 def id_bytes(path: str, end_id: int) -> int:
@@ -151,7 +158,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     rows = text_of(docs, id_col, text_col)
 
     def run(batches):
-        encode = Encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 ids, n = encode(part.column("text"))
