@@ -265,3 +265,9 @@ def register(spark: SparkSession, prefix: str = "") -> list[str]:
         text = own.sub(lambda m: f"{prefix}{m[1]}(", body) if prefix else body
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {result} RETURN {text}")
     return [prefix + n for n in NAMES]
+
+
+def ensure(spark: SparkSession) -> None:
+    """Register the functions unless the session has them."""
+    if not spark.catalog.functionExists(NAMES[-1]):
+        register(spark)

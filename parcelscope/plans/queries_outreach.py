@@ -457,6 +457,15 @@ def _subject(variant: str, n7: str) -> str:
       WHEN 'D' THEN 'before it hits propstream' END"""
 
 
+@query("subject_for", f"""
+  SELECT id, variant, {_subject('variant', "(id * 7)::VARCHAR")} AS subject
+  FROM prospects, (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), (NULL)) v(variant)""")
+def _(t: Tables):
+    variants = F.array(*[F.lit(v).cast("string") for v in (*K.VARIANTS, "E", None)])
+    rows = t.prospects.select("id", "company", F.explode(variants).alias("variant"))
+    return rows.select("id", "variant", X.subject_for("variant", "company", F.col("id") * 7).alias("subject"))
+
+
 @query("next_batch", f"""
   SELECT id AS prospect_id, (SELECT max(event_id % 2 + 1) FROM events) AS campaign_id, subject_variant AS variant,
     email AS "to", contact_name AS to_name, {_subject('subject_variant', _N7)} AS subject

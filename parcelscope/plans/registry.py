@@ -12,6 +12,7 @@ from . import sample_tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SQL: dict[str, str] = {}  # as written, without the tables it refers to
 
 
 class Tables:
@@ -60,7 +61,7 @@ def query(name: str, sql: str | None = None):
         if sql is not None:
             from .oracle_tables import with_tables
 
-            ORACLE[name] = with_tables(sql)
+            SQL[name], ORACLE[name] = sql, with_tables(sql)
         return fn
 
     return wrap
