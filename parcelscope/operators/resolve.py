@@ -1,10 +1,11 @@
 """Signals to parcels: by parcel number, by owner-name key, by street address.
 
-Name resolution never pairs the signals and the parcels of a hot key. Parcels are folded twice: per
-key and middle initial, and per key map (all keys of a parcel with their initials). Names whose keys
-never meet in one parcel add up the folds of their keys, so a key that holds a third of all parcels
-costs such a name one row. Names whose keys do meet (a couple, say) read the folds of the key maps,
-in which every parcel occurs once. Up to 20 candidates are shown; no decision depends on them.
+Name resolution never pairs the signals and the parcels of a hot key. Parcels are folded per key and
+middle initial, and per key map (all keys of a parcel with their initials). A name adds up the folds of
+its keys, so a key that a third of all parcels have costs a name as many rows as the key has initials.
+Parcels with two of a name's keys (a couple's, say) are then counted too often; they are found by the
+pair of keys, and their folds are taken off again. Up to 20 candidates are shown; no decision depends
+on them.
 """
 
 from __future__ import annotations
@@ -70,12 +71,16 @@ def _folded() -> list[Column]:
     ]
 
 
+def _code() -> Column:
+    return F.xxhash64("apn").cast("decimal(20,0)")
+
+
 def _key_maps(index: DataFrame) -> DataFrame:
     """Parcels folded by their key map: `keys` is an array of (key, initial)."""
     per_parcel = index.groupBy("apn", "home").agg(
         F.sort_array(F.collect_list(F.struct("key", "initial"))).alias("keys")
     )
-    return per_parcel.withColumn("map", F.to_json("keys"))
+    return per_parcel.withColumn("map", F.to_json("keys")).withColumn("code", _code())
 
 
 def _tagged_index(index: DataFrame, properties: DataFrame) -> DataFrame:
@@ -99,88 +104,114 @@ def name_lookups(signals: DataFrame, sources=K.NAME_SOURCES) -> DataFrame:
 def decide_names(names: DataFrame, index: DataFrame, properties: DataFrame) -> DataFrame:
     """One decision per distinct owner name: see DECISION for the columns.
 
-    The names and the tagged index are read several times below, so both are written once.
+    Names with the same keys and initials are one form and decided once. The forms and the tagged index
+    are read several times below, so both are written once.
     """
-    names = cut_lineage(names, "names")
-    idx = cut_lineage(_tagged_index(index, properties), "name-index")
+    names = names.withColumn("form", F.to_json(F.struct("keys", "mids")))
+    forms = cut_lineage(names.select("form", "keys", "mids").distinct(), "forms")
+    idx = cut_lineage(_tagged_index(index, properties).withColumn("code", _code()), "name-index")
     maps = cut_lineage(_key_maps(idx), "key-maps")
-    meeting = _meeting(names, maps)
-    apart = names.join(meeting, "owner_name", "left_anti")
-    together = names.join(meeting, "owner_name", "left_semi")
-    counts = _add_keys(apart, idx).unionByName(_add_maps(together, maps))
-    shown = _shown_by_keys(apart, idx).unionByName(_shown_by_maps(together, maps))
-    zero = F.lit(0).cast("bigint")
-    both = names.select("owner_name").join(counts, "owner_name", "left").join(shown, "owner_name", "left")
-    return _classify(both.withColumns({c: F.coalesce(c, zero) for c in ("n", "n_home", "m", "m_home")}))
-
-
-def _meeting(names: DataFrame, maps: DataFrame) -> DataFrame:
-    """Owner names with two keys that some parcel has together."""
-    pairs = maps.where(F.size("keys") > 1).select(F.explode("keys.key").alias("a"), "keys").select(
-        "a", F.explode("keys.key").alias("b")
-    ).where("a < b").distinct()
-    several = names.where(F.size("keys") > 1).select("owner_name", F.explode("keys").alias("a"), "keys").select(
-        "owner_name", "a", F.explode("keys").alias("b")
-    ).where("a < b")
-    return several.join(pairs, ["a", "b"]).select("owner_name").distinct()
-
-
-def _totals() -> list[Column]:
-    """Sums of folds, all and those that agree (`ok`) on a middle initial."""
-    ok = lambda c: F.when(F.col("ok"), F.col(c))
-    return [
-        F.sum("c").alias("n"), F.sum("c_home").alias("n_home"),
-        F.coalesce(F.sum(ok("c")), F.lit(0)).alias("m"),
-        F.coalesce(F.sum(ok("c_home")), F.lit(0)).alias("m_home"),
-        F.min("first").alias("first"), F.min("first_home").alias("first_home"),
-        F.min(ok("first")).alias("m_first"), F.min(ok("first_home")).alias("m_first_home"),
-    ]
+    totals = cut_lineage(_totals(forms, idx, maps), "totals")
+    both = totals.join(_only_agreeing(totals, forms, idx), "form", "left").join(_shown(forms, idx, maps), "form", "left")
+    return names.select("owner_name", "form").join(_classify(both), "form").drop("form")
+
+
+def _agrees(initial: Column) -> Column:
+    return F.coalesce(F.array_contains("mids", initial), F.lit(False))
+
+
+def _sums(c: str, c_home: str, s: str, s_home: str, times: Column, ok: Column) -> list[Column]:
+    """Sums of a fold: how many parcels and homes, and of those that agree also the sum of their codes."""
+    return [F.sum(F.col(c) * times).alias("n"), F.sum(F.col(c_home) * times).alias("n_home"),
+            F.sum(F.col(c) * ok).alias("m"), F.sum(F.col(c_home) * ok).alias("m_home"),
+            F.sum(F.col(s) * ok).alias("s"), F.sum(F.col(s_home) * ok).alias("s_home")]
+
+
+_COUNTS = ("n", "n_home", "m", "m_home", "s", "s_home")
+
+
+def _totals(forms: DataFrame, idx: DataFrame, maps: DataFrame) -> DataFrame:
+    """Parcels that a form reaches, by inclusion and exclusion: the folds of its keys are added up, and
+    what is counted too often is taken off, for the key maps that hold two of its keys or more."""
+    per_key = idx.groupBy("key", "initial").agg(*_folded(), *_codes())
+    looked = forms.select("form", "mids", F.explode("keys").alias("key")).join(per_key, "key")
+    one, ok = F.lit(1), _agrees(F.col("initial")).cast("int")
+    added = looked.groupBy("form").agg(*_sums("c", "c_home", "sum_code", "sum_home_code", one, ok),
+                                       F.min("first").alias("first"), F.min("first_home").alias("first_home"))
+    per_map = maps.where(F.size("keys") > 1).groupBy("map").agg(*_folded(), *_codes(), F.first("keys").alias("held"))
+    met = _meeting(forms, per_map).withColumn("hits", _hits("keys", "held"))
+    agreeing = F.size(F.filter("hits", lambda h: _agrees(h["initial"])))
+    too_many = agreeing - _last_agrees("hits").cast("int")
+    excess = met.groupBy("form").agg(*_sums("c", "c_home", "sum_code", "sum_home_code", F.size("hits") - 1, too_many))
+    excess = excess.toDF("form", *[f"{c}_off" for c in _COUNTS])
+    net = forms.select("form").join(added, "form", "left").join(excess, "form", "left")
+    zero = F.lit(0)
+    return net.select("form", "first", "first_home", *[
+        (F.coalesce(F.col(c), zero) - F.coalesce(F.col(f"{c}_off"), zero)).alias(c) for c in _COUNTS])
+
 
+def _codes() -> list[Column]:
+    """Sums of the parcels' codes: a sum over one parcel tells which it is."""
+    home = F.when(F.col("home"), F.col("code")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return [F.sum("code").alias("sum_code"), F.sum(home).alias("sum_home_code")]
 
-def _agrees(initial: str) -> Column:
-    return F.coalesce(F.array_contains("mids", F.col(initial)), F.lit(False))
 
+def _hits(keys: str, held: str) -> Column:
+    """Entries of a parcel whose key the form has, in the form's order of keys."""
+    found = F.filter(held, lambda e: F.array_contains(keys, e["key"]))
+    placed = F.transform(found, lambda e: F.struct(F.array_position(keys, e["key"]).alias("pos"), e["initial"].alias("initial")))
+    return F.array_sort(placed)
 
-def _add_keys(names: DataFrame, idx: DataFrame) -> DataFrame:
-    """Totals of names that reach every parcel through one key; a key has as many rows as initials."""
-    per_key = idx.groupBy("key", "initial").agg(*_folded())
-    looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
-    return looked.join(per_key, "key").withColumn("ok", _agrees("initial")).groupBy("owner_name").agg(*_totals())
 
+def _last_agrees(hits: str) -> Column:
+    """A parcel's last key in the form's order decides whether it agrees on the initial."""
+    return _agrees(F.element_at(hits, -1)["initial"])
 
-def _reached(names: DataFrame, maps: DataFrame) -> DataFrame:
-    """(owner_name, map, ok): key maps that a name reaches; its last key there gives the initial."""
-    keys = maps.select("map", "keys").dropDuplicates(["map"]).select("map", F.explode("keys").alias("k")).select(
-        "map", F.col("k.key").alias("key"), F.col("k.initial").alias("initial"))
-    looked = names.select("owner_name", "mids", F.posexplode("keys").alias("pos", "key"))
-    return looked.join(keys, "key").withColumn("ok", _agrees("initial")).groupBy("owner_name", "map").agg(
-        F.max_by("ok", "pos").alias("ok"))
 
+def _meeting(forms: DataFrame, per_map: DataFrame) -> DataFrame:
+    """Forms beside the key maps that hold two of their keys, found by the pair and not by one hot key."""
+    pairs = per_map.select("map", F.explode("held.key").alias("a"), "held").select(
+        "map", "a", F.explode("held.key").alias("b")).where("a < b")
+    several = forms.where(F.size("keys") > 1).select("form", F.explode("keys").alias("a"), "keys").select(
+        "form", "a", F.explode("keys").alias("b")).where("a < b")
+    met = several.join(pairs, ["a", "b"]).select("form", "map").distinct()
+    return met.join(per_map, "map").join(forms, "form")
 
-def _add_maps(names: DataFrame, maps: DataFrame) -> DataFrame:
-    """Totals of names whose keys meet: every parcel is in one key map, so nothing counts twice."""
-    per_map = maps.groupBy("map").agg(*_folded())
-    return _reached(names, maps).join(per_map, "map").groupBy("owner_name").agg(*_totals())
 
+def _only_agreeing(totals: DataFrame, forms: DataFrame, idx: DataFrame) -> DataFrame:
+    """(form, m_first, m_first_home) where one parcel, or one home, agrees: looked up by key and code."""
+    one = F.when(F.col("m") == 1, F.struct(F.lit("m_first").alias("what"), F.col("s").alias("code")))
+    home = F.when(F.col("m_home") == 1, F.struct(F.lit("m_first_home").alias("what"), F.col("s_home").alias("code")))
+    asked = totals.select("form", F.explode(F.array_compact(F.array(one, home))).alias("q")).join(forms, "form").select(
+        "form", "q.what", F.col("q.code").cast("decimal(20,0)").alias("code"), F.explode("keys").alias("key"))
+    found = asked.join(idx.select("key", "code", "apn"), ["key", "code"])
+    pick = lambda what: F.min(F.when(F.col("what") == what, F.col("apn"))).alias(what)
+    return found.groupBy("form").agg(pick("m_first"), pick("m_first_home"))
 
-def _first_shown(every: DataFrame) -> DataFrame:
-    """(owner_name, apns, m_apns) from (owner_name, apn, ok): the first few of all, and of those that agree."""
-    name = ["owner_name"]
-    return _bounded_sample(every, name, "apn", "apns").join(
-        _bounded_sample(every.where("ok"), name, "apn", "m_apns"), "owner_name", "left")
 
+def _shown(forms: DataFrame, idx: DataFrame, maps: DataFrame, spare: int = CANDIDATES_SHOWN) -> DataFrame:
+    """(form, apns, m_apns): the first few of all candidates, and of those that agree.
 
-def _shown_by_keys(names: DataFrame, idx: DataFrame) -> DataFrame:
-    few = _bounded_sample(idx, ["key", "initial"], "apn", "apns")
-    looked = names.select("owner_name", "mids", F.explode("keys").alias("key"))
-    every = looked.join(few, "key").select("owner_name", _agrees("initial").alias("ok"), F.explode("apns").alias("apn"))
-    return _first_shown(every)
+    A key and initial hands out its first few parcels, and `spare` more, as some of them may be decided by
+    another key of the form. Forms for which that was not enough look at all parcels of their keys."""
+    n = CANDIDATES_SHOWN + spare
+    few = first_rows(idx.select("key", "initial", "apn"), ["key", "initial"], [F.col("apn")], n)
+    few = few.select("key", "initial", "apn").join(maps.select("apn", F.col("keys").alias("held")), "apn")
 
+    def beside(some: DataFrame, parcels: DataFrame) -> DataFrame:
+        looked = some.select("form", "mids", "keys", F.explode("keys").alias("key"))
+        rows = looked.join(parcels, "key").withColumn("hits", _hits("keys", "held"))
+        return rows.select("form", "key", "initial", "apn", _agrees(F.col("initial")).alias("key_ok"), _last_agrees("hits").alias("ok"))
 
-def _shown_by_maps(names: DataFrame, maps: DataFrame) -> DataFrame:
-    few = _bounded_sample(maps, ["map"], "apn", "apns")
-    every = _reached(names, maps).join(few, "map").select("owner_name", "ok", F.explode("apns").alias("apn"))
-    return _first_shown(every)
+    rows = cut_lineage(beside(forms, few), "shown")
+    short = rows.where("key_ok").groupBy("form", "key", "initial").agg(F.count("*").alias("c"), F.count_if("ok").alias("left"))
+    short = cut_lineage(short.where((F.col("c") >= n) & (F.col("left") < CANDIDATES_SHOWN)).select("form").distinct(), "short")
+    if not short.isEmpty():
+        every = idx.select("key", "initial", "apn").join(maps.select("apn", F.col("keys").alias("held")), "apn")
+        rows = rows.join(short, "form", "left_anti").unionByName(beside(forms.join(short, "form", "left_semi"), every))
+    rows = rows.select("form", "apn", "ok").distinct()
+    return _bounded_sample(rows, ["form"], "apn", "apns").join(
+        _bounded_sample(rows.where("ok"), ["form"], "apn", "m_apns"), "form", "left")
 
 
 def _classify(c: DataFrame) -> DataFrame:
@@ -206,7 +237,7 @@ def _classify(c: DataFrame) -> DataFrame:
     )
     shown = F.when(narrowed, F.col("m_apns")).otherwise(F.col("apns"))
     return c.select(
-        "owner_name", apn.alias("apn"), confidence.alias("confidence"),
+        "form", apn.alias("apn"), confidence.alias("confidence"),
         F.lit("keys").alias("method"),
         F.when(narrowed, m).otherwise(n).alias("n_candidates"),
         F.coalesce(shown, F.array().cast("array<string>")).alias("candidates"),
