@@ -38,7 +38,8 @@ from .store import open_store, shared_folder, text_of, written
 from .wordhash import LOWER, pieces
 
 MAGIC = b"RVB1"
-KNOWN_WORDS = 200_000  # words after which a worker's memory of encoded words begins anew; the one before is kept too
+AT_ONCE = 16_384  # words that the tokenizer gets in one call; it takes some hundred bytes for each id
+KNOWN_WORDS = 100_000  # words after which a worker's memory of encoded words begins anew; the one before is kept too
 
 
 @lru_cache(maxsize=2)
@@ -118,10 +119,13 @@ class Encoder:
         young, old = self.young, self.old
         new = [w for w in words if w not in young and w not in old]
         plain = [w for w in new if w.isalpha()]
-        young.update(self._plain(plain))
+        for i in range(0, len(plain), AT_ONCE):
+            young.update(self._plain(plain[i:i + AT_ONCE]))
         rest = [w for w in new if w not in young]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            young[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i:i + AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                young[w] = np.array(e.ids, "<u4").tobytes()
         young.update((w, old[w]) for w in words if w not in young)
         out = [young[w] for w in words]
         if len(young) > KNOWN_WORDS:
