@@ -62,26 +62,29 @@ def rate_limit(
     )
 
 
-def click_after_send_asof(events: DataFrame, secs: int = 5) -> DataFrame:
-    """Clicks with `sent_at` (a send at most secs before, else NULL) and `too_soon`."""
-    width = secs * MICROS
+def click_after_send_asof(events: DataFrame, secs: int = 5, bucket_secs: int = 3600) -> DataFrame:
+    """Clicks with `sent_at`, the prospect's latest send up to the click however old it is (NULL: none),
+    and `too_soon`: less than `secs` after it.
+
+    A prospect's time line is cut into buckets, which lie in different tasks. In a bucket the last send
+    before a click is found in order of time. What earlier buckets leave behind is a running maximum over
+    one row per bucket, so a prospect with very many events is one short row sequence there.
+    """
+    width = bucket_secs * MICROS
     click = F.col("event") == "clicked"
-    both = events.where(F.col("event").isin("sent", "clicked") & F.col("prospect_id").isNotNull())
-    spread = _with_previous_bucket(both, F.unix_micros("created_at"), width).where(
-        ~click | (F.col("__ctx") == 0)
-    )
-    upto = Window.partitionBy("prospect_id", "__bucket").orderBy("__us", click.cast("int")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    sent_us = F.last(F.when(~click, F.col("__us")), ignorenulls=True).over(upto)
-    soon = F.coalesce(F.col("__us") - F.col("__sent") < width, F.lit(False))
-    return (
-        spread.withColumn("__sent", sent_us)
-        .where(click)
-        .withColumn("too_soon", soon)
-        .withColumn("sent_at", F.when(F.col("too_soon"), F.timestamp_micros("__sent")))
-        .drop("__us", "__ctx", "__bucket", "__sent")
-    )
+    both = events.where(F.col("event").isin("sent", "clicked") & F.col("prospect_id").isNotNull()).withColumn(
+        "__us", F.unix_micros("created_at")).withColumn("__bucket", F.floor(F.col("__us") / width))
+    key = ["prospect_id", "__bucket"]
+    sent_us = F.when(~click, F.col("__us"))
+    before = Window.partitionBy("prospect_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*key).agg(F.max(sent_us).alias("__last"), F.count_if(click).alias("__clicks")).select(
+        *key, F.max("__last").over(before).alias("__carried"), "__clicks").where("__clicks > 0").drop("__clicks")
+    upto = Window.partitionBy(*key).orderBy("__us", click.cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clicks = both.withColumn("__own", F.max(sent_us).over(upto)).where(click)
+    sent = F.coalesce("__own", "__carried")
+    return clicks.join(carried, key).withColumns(
+        {"sent_at": F.timestamp_micros(sent), "too_soon": F.coalesce(F.col("__us") - sent < secs * MICROS, F.lit(False))}
+    ).drop("__us", "__bucket", "__own", "__carried")
 
 
 OPEN_KEY = ["prospect_id", "campaign_id"]

@@ -617,13 +617,14 @@ def _(t: Tables):
 
 
 @query("click_after_send_asof", """
-  SELECT c.id, c.prospect_id, c.created_at,
-    (SELECT max(s.created_at) FROM outreach s WHERE s.event = 'sent' AND s.prospect_id = c.prospect_id
-      AND s.created_at <= c.created_at AND s.created_at > c.created_at - INTERVAL 12 HOUR) AS sent_at
-  FROM outreach c WHERE c.event = 'clicked' AND c.prospect_id IS NOT NULL""")
+  SELECT id, prospect_id, created_at, sent_at, coalesce(created_at - sent_at < INTERVAL 12 HOUR, false) AS too_soon FROM (
+    SELECT c.id, c.prospect_id, c.created_at,
+      (SELECT max(s.created_at) FROM outreach s WHERE s.event = 'sent' AND s.prospect_id = c.prospect_id
+        AND s.created_at <= c.created_at) AS sent_at
+    FROM outreach c WHERE c.event = 'clicked' AND c.prospect_id IS NOT NULL)""")
 def _(t: Tables):
     return E.click_after_send_asof(t.outreach_events, secs=43200).select(
-        "id", "prospect_id", "created_at", "sent_at"
+        "id", "prospect_id", "created_at", "sent_at", "too_soon"
     )
 
 

@@ -172,3 +172,18 @@ def test_access_requests(spark):
     df = spark.createDataFrame(rows, "id bigint, email string, segment string, source string, company string")
     got = {r["id"]: (r["email"], r["segment"], len(r["source"])) for r in O.access_requests_dedupe(df).collect()}
     assert got == {1: ("a@b.co", "lender", 64), 5: ("e@f.gh", None, 1)}
+
+
+def test_latest_send_however_old(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([1, 1, 1, 1, 2, 3, None]), 9, None, rnd.choice(["sent", "clicked", "clicked", "opened"]), None,
+             at(rnd.choice([0, 1, 3600, 7200, 90_000, 400_000]) + rnd.randrange(4))) for i in range(500)]
+    df = spark.createDataFrame(rows, EVENT).repartition(7)
+    for bucket in (1, 3600, 100_000):
+        got = {r["id"]: (r["sent_at"], r["too_soon"]) for r in E.click_after_send_asof(df, 2, bucket).collect()}
+        want = {}
+        for r in rows:
+            if r[4] == "clicked" and r[1] is not None:
+                sent = max((s[-1] for s in rows if s[4] == "sent" and s[1] == r[1] and s[-1] <= r[-1]), default=None)
+                want[r[0]] = (sent, sent is not None and (r[-1] - sent).total_seconds() < 2)
+        assert got == want
