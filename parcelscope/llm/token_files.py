@@ -23,8 +23,10 @@ ids keep all their rows, ordered by their ids' bytes; an empty table makes no fi
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +41,7 @@ from .wordhash import LOWER, pieces
 
 MAGIC = b"RVB1"
 AT_ONCE = 16_384  # words that the tokenizer gets in one call; it takes some hundred bytes for each id
-KNOWN_WORDS = 100_000  # words after which a worker's memory of encoded words begins anew; the one before is kept too
+KNOWN_WORDS = 400_000  # a worker's memory of encoded words; beyond it begins anew with the words at hand
 
 
 @lru_cache(maxsize=2)
@@ -88,9 +90,38 @@ def spaced(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data))
 
 
+@dataclass
+class _Units:
+    """Ids of words: those of word i are pool[begin[i]:begin[i] + size[i]]."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    pool: np.ndarray
+
+    @staticmethod
+    def none() -> _Units:
+        return _Units(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    @staticmethod
+    def joined(parts: list[_Units]) -> _Units:
+        parts = [_Units.none(), *parts]
+        shift = np.cumsum([0, *(len(p.pool) for p in parts[:-1])])
+        return _Units(np.concatenate([p.begin + k for p, k in zip(parts, shift)]), np.concatenate([p.size for p in parts]),
+                      np.concatenate([p.pool for p in parts]))
+
+    def take(self, at: np.ndarray) -> _Units:
+        return _Units(self.begin[at], self.size[at], self.pool)
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, where each word's begin, and the end)."""
+        stop = np.concatenate([[0], np.cumsum(self.size)])
+        return self.pool[np.repeat(self.begin - stop[:-1], self.size) + np.arange(stop[-1])], stop
+
+
 class Encoder:
     def __init__(self, path: str, end_id: int):
-        self.tokenizer, self.end_id, self.young, self.old = tokenizer(path), end_id, {}, {}
+        self.tokenizer, self.end_id = tokenizer(path), end_id
+        self.words, self.units = pa.array([], pa.large_string()), _Units.none()
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a unit, if marked
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -103,45 +134,49 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         rows = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
         coded = words.filter(full).dictionary_encode()
-        ids_of = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
-        flat = np.frombuffer(b"".join(ids_of), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[code]
-        stop = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[code] - stop[:-1], n) + np.arange(stop[-1])]
+        ids, stop = self._units(coded.dictionary).take(coded.indices.to_numpy(zero_copy_only=False)).spelled()
         ends = stop[rows]
         return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit integers. Words met lately are not encoded again."""
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        plain = [w for w in new if w.isalpha()]
-        for i in range(0, len(plain), AT_ONCE):
-            young.update(self._plain(plain[i:i + AT_ONCE]))
-        rest = [w for w in new if w not in young]
-        for i in range(0, len(rest), AT_ONCE):
-            some = rest[i:i + AT_ONCE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        young.update((w, old[w]) for w in words if w not in young)
-        out = [young[w] for w in words]
-        if len(young) > KNOWN_WORDS:
-            self.young, self.old = {}, young
-        return out
-
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters only, encoded as one text; nothing if they are not one unit each."""
-        if not words:
-            return {}
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _units(self, words: pa.Array) -> _Units:
+        """The ids of different words. Those met lately are not encoded again."""
+        place = pc.index_in(words, value_set=self.words)
+        unknown = place.is_null()
+        new = words.filter(unknown)
+        at = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        at[unknown.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        every = _Units.joined([self.units, self._encoded(new)])
+        units = every.take(at)
+        if len(self.words) + len(new) <= KNOWN_WORDS:
+            self.words, self.units = pa.concat_arrays([self.words, new]), every
+        else:
+            ids, stop = units.spelled()
+            self.words, self.units = words, _Units(stop[:-1], units.size, ids)
+        return units
+
+    def _encoded(self, words: pa.Array) -> _Units:
+        alpha = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        parts, order = [], np.concatenate([np.flatnonzero(alpha), np.flatnonzero(~alpha)])
+        for kind, of in ((alpha, self._plain), (~alpha, self._each)):
+            some = words.filter(pa.array(kind)).to_pylist()
+            parts += [of(some[i:i + AT_ONCE]) for i in range(0, len(some), AT_ONCE)]
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return _Units.joined(parts).take(back)
+
+    def _each(self, words: list[str]) -> _Units:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return _Units(np.cumsum(size) - size, size, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())))
+
+    def _plain(self, words: list[str]) -> _Units:
+        """Words of letters only are encoded as one text, unless they turn out not to be one unit each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
-            return {}
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+            return self._each(words)
+        begin = np.append(0, ends[:-1])
+        return _Units(begin, ends - begin, ids)
 
 
 @lru_cache(maxsize=1)
