@@ -17,7 +17,6 @@ from ..operators import score as SC
 from ..sources import feeds, sinks
 from ..sources import parcel_roll as P
 from ..session import cut_lineage, shared_folder
-from ..streaming import ingest
 from . import sample_tables as S
 from .oracle_tables import (
     AS_OF, FILED_14D, REPORT_ORDER, TODAY, case_of, entity_owner, house, lst, norm_address,
@@ -481,13 +480,6 @@ def _(t: Tables):
                        X.source_urls_joined("signals").alias("urls"))
 
 
-@query("incremental_signals", """
-  SELECT source, external_id, created_at FROM signals WHERE created_at > TIMESTAMP '2024-01-28 12:00:00'""")
-def _(t: Tables):
-    return ingest.new_since(t.signals, "2024-01-28 12:00:00").select(
-        "source", "external_id", "created_at")
-
-
 @query("email_domain", """
   SELECT id, CASE WHEN email IS NULL THEN 'unknown' ELSE lower(string_split(email, '@')[-1]) END AS domain
   FROM prospects""")

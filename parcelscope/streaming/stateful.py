@@ -1,79 +1,133 @@
-"""Event rules with state: each visitor's or prospect's state lives in the state store.
+"""Event rules with state: each visitor's or prospect's state lives in the state store (RocksDB).
 
 Rules that depend on the order of events wait until the watermark has passed a row, and judge it
 then, with all earlier rows known; so late rows within the watermark give what the batch rule gives.
-State expires by event time, from which on it can no longer change a verdict. (A processing-time
-timeout would also keep an available-now run from ending.)
+A timer at the first waiting row wakes its key, and another one clears what can no longer change a verdict.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MICROS = 1_000_000
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _settled(rows: Iterator[pd.DataFrame], waiting: list, state: GroupState) -> tuple[list, list]:
-    """((us, id) that the watermark has passed, in order; those that still wait)."""
-    every = sorted([*waiting, *(pair for batch in rows for pair in zip(batch["us"].tolist(), batch["id"].tolist()))])
-    done = state.getCurrentWatermarkMs() * 1000
-    return [x for x in every if x[0] < done], [x for x in every if x[0] >= done]
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, as the processors here need; the session's
+    own setting is put back."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before is not None else spark.conf.unset(STORE)
 
 
-def _keep_until(state: GroupState, waiting: list, last: int) -> None:
-    """Come back when the first waiting row is settled, or else when the state has no use any more."""
-    us = waiting[0][0] if waiting else last
-    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as columns of plain Python values, which become Arrow arrays of one piece."""
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(columns)})
 
 
-def _rate_limit_step(n: int, secs: int) -> Callable:
-    """State: rows that wait, and hit times of the last window; rejected hits count too."""
-    width = secs * MICROS
+class _InOrder(StatefulProcessor):
+    """Holds the rows (us, id) of a key until the watermark has passed them, then judges them in order."""
 
-    def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, recent = state.get if state.exists else ([], [], [])
-        settled, waiting = _settled(() if state.hasTimedOut else rows, list(zip(times, ids)), state)
-        recent, out = list(recent), []
+    columns: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, id bigint")
+
+    def judged(self, key: tuple, settled: list[tuple[int, int]], watermark_us: int) -> list[tuple]:
+        """Output of the settled rows; may set a timer for what it keeps."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [pair for batch in rows for pair in zip(batch["us"].tolist(), batch["id"].tolist())]
+        self.waiting.appendList(new)
+        # the watermark may be beyond some of them already; the timer then fires in the next batch
+        self.handle.registerTimer(min(us for us, _ in new) // 1000 + 1)
+        yield _frame([], self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        every = sorted(self.waiting.get())
+        settled, rest = [x for x in every if x[0] < watermark], [x for x in every if x[0] >= watermark]
+        if settled:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        out = self.judged(key, settled, watermark)
+        yield _frame(out, self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class RateLimit(_InOrder):
+    """Hit times of the last window in a list; rejected hits count too. A timer clears the list when the
+    window has passed without a hit."""
+
+    columns = ["vid", "id", "limited"]
+
+    def __init__(self, n: int, secs: int):
+        self.n, self.width = n, secs * MICROS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", "us bigint")
+
+    def judged(self, key, settled, watermark_us):
+        recent, out = [us for us, in self.recent.get()] if self.recent.exists() else [], []
         for us, event in settled:
-            recent = [t for t in recent if t > us - width] + [us]
-            out.append((key[0], event, len(recent) > n))
-        # More than n + 1 times never change the verdict, so the state stays bounded.
-        recent = recent[-(n + 1):]
-        if waiting or (recent and (recent[-1] + width) // 1000 >= state.getCurrentWatermarkMs()):
-            state.update(([x[0] for x in waiting], [x[1] for x in waiting], recent))
-            _keep_until(state, waiting, recent[-1] + width if recent else 0)
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["vid", "id", "limited"])
-
-    return step
-
-
-def _dedupe_step(hours: int) -> Callable:
-    """State: rows that wait, and the time of the last open kept."""
-    gap = hours * 3600 * MICROS
-
-    def step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, last = state.get if state.exists else ([], [], None)
-        settled, waiting = _settled(() if state.hasTimedOut else rows, list(zip(times, ids)), state)
-        out = []
+            recent = [t for t in recent if t > us - self.width] + [us]
+            out.append((key[0], event, len(recent) > self.n))
+            # more than n + 1 times never change the verdict, so the state stays bounded
+            recent = recent[-(self.n + 1):]
+        if recent and recent[-1] + self.width >= watermark_us:
+            self.recent.put([(us,) for us in recent])
+            self.handle.registerTimer((recent[-1] + self.width) // 1000 + 1)
+        elif self.recent.exists():
+            self.recent.clear()
+        return out
+
+
+class DedupeOpens(_InOrder):
+    """The time of the last open that was kept, as a value. A timer clears it once the gap has passed.
+
+    (A time to live would do the same by the clock on the wall; but with one, Spark never ends a run that is to
+    stop when nothing is left, and a replay of old files would keep all state.)"""
+
+    columns = ["prospect_id", "campaign_id", "id"]
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "us bigint")
+
+    def judged(self, key, settled, watermark_us):
+        last, out = self.last.get()[0] if self.last.exists() else None, []
         for us, event in settled:
-            if last is None or us - last >= gap:
+            if last is None or us - last >= self.gap:
                 last = us
-                out.append((key[0], key[1], event))
-        if waiting or (last is not None and (last + gap) // 1000 >= state.getCurrentWatermarkMs()):
-            state.update(([x[0] for x in waiting], [x[1] for x in waiting], last))
-            _keep_until(state, waiting, last + gap if last is not None else 0)
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["prospect_id", "campaign_id", "id"])
-
-    return step
+                out.append((None if key[2] else key[0], key[1], event))
+        if last is not None and last + self.gap >= watermark_us:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        elif self.last.exists():
+            self.last.clear()
+        return out
 
 
 def _status_step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
@@ -105,27 +159,23 @@ def _status_step(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
 def rate_limit_stream(
     events: DataFrame, n: int = 120, secs: int = 60, late: str = "1 hour"
 ) -> DataFrame:
-    """(vid, id, limited) of a stream of page events."""
+    """(vid, id, limited) of a stream of page events. Start its query inside `rocksdb`."""
     rows = events.withWatermark("created_at", late).select(
         "vid", "id", "created_at", F.unix_micros("created_at").alias("us")
     )
-    return rows.groupBy("vid").applyInPandasWithState(
-        _rate_limit_step(n, secs), "vid string, id bigint, limited boolean",
-        "us array<bigint>, id array<bigint>, recent array<bigint>",
-        "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    return rows.groupBy("vid").transformWithStateInPandas(
+        RateLimit(n, secs), "vid string, id bigint, limited boolean", "append", "EventTime")
 
 
 def dedupe_opens_stream(events: DataFrame, hours: int = 1, late: str = "1 hour") -> DataFrame:
-    """(prospect_id, campaign_id, id) of the opens that are kept."""
+    """(prospect_id, campaign_id, id) of the opens that are kept. Start its query inside `rocksdb`."""
     opened = events.withWatermark("created_at", late).where(F.col("event") == "opened").select(
-        "prospect_id", "campaign_id", "id", "created_at", F.unix_micros("created_at").alias("us")
-    )
-    return opened.groupBy("prospect_id", "campaign_id").applyInPandasWithState(
-        _dedupe_step(hours), "prospect_id bigint, campaign_id bigint, id bigint",
-        "us array<bigint>, id array<bigint>, last bigint",
-        "append", GroupStateTimeout.EventTimeTimeout,
+        F.coalesce("prospect_id", F.lit(0).cast("bigint")).alias("prospect_id"), "campaign_id", F.col("prospect_id").isNull().alias("unknown"),
+        "id", "created_at", F.unix_micros("created_at").alias("us")
     )
+    # pandas has no null among integers, and a group without a prospect is a group
+    return opened.groupBy("prospect_id", "campaign_id", "unknown").transformWithStateInPandas(
+        DedupeOpens(hours * 3600 * MICROS), "prospect_id bigint, campaign_id bigint, id bigint", "append", "EventTime")
 
 
 def prospect_status_stream(events: DataFrame, prospects: DataFrame | None = None) -> DataFrame:
