@@ -143,33 +143,37 @@ def _fold(cap: int):
 
 
 def match_leads(
-    prospects: DataFrame, leads: DataFrame, cap: int = 3, pool: int = POOL
+    prospects: DataFrame, leads: DataFrame, cap: int = 3, pool: int = POOL, mode: str = "exact"
 ) -> DataFrame:
     """Two leads per prospect in rank order; each lead at most `cap` times, unused ones first.
 
+    mode "by_region" keeps regions apart: a lead's region is its city, a prospect's the first city that it
+    lists (in lower case; those without one share a region), and a prospect gets leads of its region only.
+    The pools are disjoint, so each region is a fold of its own, in a task of its own.
+
     Every choice depends on the choices before it, so this is a fold. It stays small: each prospect
     takes two leads while two are left, so the uses (cap * pool) are gone after cap * pool / 2 + cap
-    prospects, and every later prospect gets none. Only those prospects enter the fold.
+    prospects, and every later prospect gets none. Only those prospects enter the fold, in each region.
     """
+    if mode not in ("exact", "by_region"):
+        raise ValueError(f"unknown mode {mode}")
     reach = cap * pool // 2 + cap
-    first = (
-        prospects.select("id", "rank", "segment", "zips", "cities")
-        .orderBy(F.col("rank").asc_nulls_last(), "id")
-        .limit(reach)
-        .select(
-            "id", "rank", (F.coalesce("segment", F.lit("")) == "lender").alias("lender"),
-            T.csv_list("zips").alias("zips"), T.csv_list("cities", lower=True).alias("cities"),
-            F.lit(0).alias("one"),
-        )
-    )
-    bounded = lead_rank(leads, pool).select(
+    regional = mode == "by_region"
+    region = lambda city: F.coalesce(city, F.lit("")) if regional else F.lit("")
+    asked = prospects.select(
+        "id", "rank", (F.coalesce("segment", F.lit("")) == "lender").alias("lender"),
+        T.csv_list("zips").alias("zips"), T.csv_list("cities", lower=True).alias("cities"),
+    ).withColumn("region", region(F.get("cities", F.lit(0))))
+    order = [F.col("rank").asc_nulls_last(), F.col("id")]
+    first = first_rows(asked, ["region"], order, reach) if regional else asked.orderBy(*order).limit(reach)
+    offered = lead_rank(leads, pool).select(
         "pos", "rk", "lender",
         X.lead_key("apn", "owner_name", "signal_type", "situs_address").alias("lead_key"),
         F.nullif("situs_zip", F.lit("")).alias("zip"),
-        F.nullif(F.lower("situs_city"), F.lit("")).alias("city"), F.lit(0).alias("one"),
-    )
+        F.nullif(F.lower("situs_city"), F.lit("")).alias("city"),
+    ).withColumn("region", region(F.col("city")))
     return (
-        first.groupBy("one").cogroup(bounded.groupBy("one"))
+        first.groupBy("region").cogroup(offered.groupBy("region"))
         .applyInPandas(
             _fold(cap), "prospect_id bigint, rank int, tier string, pos int"
         )

@@ -104,6 +104,39 @@ def _(t: Tables):
     return H.match_leads(t.prospects, _pool(t))
 
 
+# The same by region: the fold goes on in each region by itself.
+_REGION = "CASE WHEN len(cl) > 0 THEN cl[1] ELSE '' END"
+_GIVEN_BY_REGION = f"""
+  WITH RECURSIVE keyed AS (
+    SELECT k.*, dense_rank() OVER (ORDER BY {_LEAD_KEY}) AS k FROM (
+      SELECT r.*, {_REGION} AS region FROM ({_PAIRS.replace("r.*,", "r.*, cl,")}) r) k
+    WHERE region = coalesce(nullif(lower(situs_city), ''), '')),
+  asked AS (
+    SELECT row_number() OVER (PARTITION BY region ORDER BY rank NULLS LAST, id) AS n, region, id,
+      (SELECT list({{'t': tier_no, 'rk': rk, 'k': k, 'pos': pos}}) FROM keyed WHERE prospect_id = p.id) AS leads
+    FROM (SELECT *, {_REGION} AS region FROM (SELECT *, {_LISTS} FROM prospects)) p),
+  fold(region, n, id, picks, used) AS (
+    SELECT DISTINCT region, 0::BIGINT, NULL::BIGINT, NULL::STRUCT(t INTEGER, u INTEGER, rk BIGINT, k BIGINT, pos INTEGER)[],
+      list_transform(range(1, 1 + (SELECT coalesce(max(k), 0) FROM keyed)), lambda i: 0) FROM asked
+    UNION ALL
+    SELECT region, n, id, picks, list_transform(used, lambda u, i: u + list_count(list_filter(picks, lambda x: x.k = i)))
+    FROM (
+      SELECT region, n, id, used, CASE WHEN len(s) = 0 THEN [] ELSE
+        [s[1]] || list_filter(s, lambda x: x.k <> s[1].k)[1:1] END AS picks
+      FROM (
+        SELECT a.region, a.n, a.id, f.used, list_sort(list_transform(
+          list_filter(coalesce(a.leads, []), lambda x: f.used[x.k] < 3),
+          lambda x: {{'t': x.t::INTEGER, 'u': f.used[x.k]::INTEGER, 'rk': x.rk::BIGINT, 'k': x.k::BIGINT, 'pos': x.pos::INTEGER}})) AS s
+        FROM fold f JOIN asked a ON a.n = f.n + 1 AND a.region = f.region)))
+  SELECT id AS prospect_id, i::INT AS rank, (['zip', 'city', 'any'])[picks[i].t + 1] AS tier, picks[i].pos::INT AS pos
+  FROM fold, range(1, 3) r(i) WHERE n > 0 AND i <= len(picks)"""
+
+
+@query("match_leads_by_region", _GIVEN_BY_REGION)
+def _(t: Tables):
+    return H.match_leads(t.prospects, _pool(t), mode="by_region")
+
+
 @query("prospect_match_shape", f"""
   SELECT p.id, p.rank, p.company, p.contact_name, p.email, p.segment, coalesce(m.leads, '') AS leads
   FROM prospects p LEFT JOIN (

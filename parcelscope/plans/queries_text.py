@@ -24,7 +24,7 @@ from .oracle_tables import (
 )
 from .queries_outreach import _MEDIANS, _TOP2, _medians, _top2
 from .queries_report import _COUNTS, _counts
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 
 
 @query("normalize_apn", """
@@ -821,19 +821,58 @@ _WEEK = f"""SELECT *, row_number() OVER (ORDER BY {REPORT_ORDER}) AS rn FROM ({r
 _WEB_WEEK = _WEEK.replace(FILED_14D, f"event_date >= ({AS_OF} - INTERVAL 336 HOUR)::DATE")
 
 
-@query("sink_report_csv", f"""
-  SELECT rn::INT AS rank, score, CASE WHEN is_hot THEN 'yes' ELSE 'no' END AS hot, situs_address AS address, owner_name AS owner,
-    CASE WHEN absentee THEN 'yes' WHEN absentee = false THEN 'no' END AS absentee, signal_types, event_date AS filed,
-    date_diff('day', {TODAY}, est_auction_date)::INT AS days_to_auction, apn, created_at::DATE AS first_seen,
-    (SELECT coalesce(max(external_id) FILTER (rk = 1), '') FROM (
-       SELECT s.external_id, row_number() OVER (ORDER BY event_date DESC NULLS LAST, created_at DESC, source, external_id) AS rk
-       FROM signals s WHERE s.apn = w.apn AND s.signal_type IN ('probate', 'divorce'))) AS court_case_number
-  FROM ({_WEB_WEEK}) w WHERE apn IS NOT NULL""")
-def _(t: Tables):
+_RECORDER, _COURT = (lst(x)[1:-1] for x in (K.RECORDER_TYPES, K.COURT_TYPES))
+_PROVENANCE = f"""
+  SELECT apn, coalesce(arg_max(external_id, rn) FILTER (signal_type IN ({_RECORDER})), '') AS doc,
+    coalesce(arg_max(external_id, rn) FILTER (signal_type IN ({_COURT})), '') AS court,
+    coalesce(string_agg(source_url, '|' ORDER BY rn DESC) FILTER (first_url), '') AS urls
+  FROM (SELECT *, source_url IS NOT NULL AND row_number() OVER (PARTITION BY apn, source_url ORDER BY rn DESC) = 1 AS first_url
+    FROM (SELECT *, -row_number() OVER (PARTITION BY apn
+      ORDER BY event_date DESC NULLS LAST, created_at DESC, source, external_id) AS rn FROM ({_ENTRIES})) WHERE rn >= -6)
+  GROUP BY apn"""
+_HOME = "absentee = false"
+_EXPORT = f"""
+  SELECT rn::INT AS rank, score, CASE WHEN is_hot THEN 'yes' ELSE 'no' END AS hot, situs_address AS address, situs_city AS city,
+    situs_zip AS zip, owner_name AS owner, CASE WHEN absentee THEN 'yes' WHEN {_HOME} THEN 'no' END AS absentee, mailing_address,
+    signal_types, event_date AS filed, est_auction_date, date_diff('day', {TODAY}, est_auction_date)::INT AS days_to_auction,
+    assessed_value, last_sale_price, years_owned, apn,
+    CASE WHEN whole THEN '' ELSE coalesce(w[2], '') END AS owner_first, CASE WHEN whole THEN coalesce(owner_name, '') ELSE w[1] END AS owner_last,
+    CASE WHEN {_HOME} THEN coalesce(situs_address, '') ELSE coalesce(m[1], '') END AS mailing_street,
+    CASE WHEN {_HOME} THEN coalesce(situs_city, '') ELSE coalesce(m[2], '') END AS mailing_city,
+    CASE WHEN {_HOME} THEN 'AZ' ELSE coalesce(m[3], '') END AS mailing_state,
+    CASE WHEN {_HOME} THEN coalesce(situs_zip, '') ELSE coalesce(m[4], '') END AS mailing_zip,
+    CASE WHEN apn IS NOT NULL THEN coalesce(doc, '') WHEN signal_type IN ({_RECORDER}) THEN external_id ELSE '' END AS recorder_doc_number,
+    CASE WHEN apn IS NOT NULL THEN coalesce(court, '') WHEN signal_type IN ({_COURT}) THEN external_id ELSE '' END AS court_case_number,
+    CASE WHEN apn IS NOT NULL THEN coalesce(urls, '') ELSE coalesce(source_url, '') END AS source_urls,
+    created_at::DATE AS first_seen
+  FROM (SELECT r.*, v.doc, v.court, v.urls, {words_of("split_part(coalesce(owner_name, ''), '/', 1)")} AS w,
+      coalesce(is_entity, false) OR coalesce(owner_name, '') = ''
+        OR regexp_matches(owner_name, '(?i)\\b(TRUST|TRUSTEES?)\\b|\\bESTATE OF\\b') AS whole,
+      list_transform(string_split(coalesce(mailing_address, ''), ','), lambda x: trim(x)) AS m
+    FROM ({_WEB_WEEK}) r LEFT JOIN ({_PROVENANCE}) v USING (apn))"""
+_VENDOR = ", ".join([f'{c} AS "{h}"' for h, c in sinks.MAPPED_HEADER.items()] + sinks.MAPPED_EXTRAS)
+
+
+def _exported(t: Tables, fmt: str):
+    """The web report of the week as a file, read back."""
     web = R.web_report(t.signals, t.properties, t.scores, t.as_of, 168, 50, filed_hours=336)
-    return sinks.report_export(web, t.as_of).where(F.col("apn").isNotNull()).select(
-        "rank", "score", "hot", "address", "owner", "absentee", "signal_types", "filed",
-        "days_to_auction", "apn", "first_seen", "court_case_number")
+    path = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    sinks.sink_report_csv(web, path, t.as_of, fmt)
+    return sinks.read_report_csv(t.spark, path, sinks.report_export(web, t.as_of, fmt).schema)
+
+
+@query("sink_report_csv", _EXPORT)
+def _(t: Tables):
+    return _exported(t, "csv")
+
+
+for _format in ("batchleads", "propstream"):
+    query(f"sink_report_{_format}", f"SELECT {_VENDOR} FROM (SELECT *, 'AZ' AS state FROM ({_EXPORT}))")(
+        lambda t, fmt=_format: _exported(t, fmt))
+
+
+_FRESHEST = f"""(SELECT list(replace(signal_type, '_', ' ') || ' ' || strftime(freshest, '%b ') || day(freshest) ORDER BY n DESC, signal_type)
+    FROM ({_COUNTS}) WHERE n > 0 AND freshest IS NOT NULL)"""
 
 
 @query("sink_report_markdown", f"""
@@ -843,6 +882,11 @@ def _(t: Tables):
     || ' in the last 72h, homeowners only.' FROM ({_COUNTS})
   UNION ALL SELECT 5, 0, 'plus ' || sum(older_n)::BIGINT || ' older filing' || CASE WHEN sum(older_n) = 1 THEN '' ELSE 's' END
     || ' newly detected (backfill), hidden below.' FROM ({_COUNTS}) HAVING sum(older_n) > 0
+  UNION ALL SELECT 0, 0, '# Daily Motivated Report for ' || ({TODAY})::VARCHAR UNION ALL SELECT 1, 0, '' UNION ALL SELECT 6, 0, ''
+  UNION ALL SELECT 4, 0, 'Freshest filings: ' || CASE WHEN len(f) = 1 THEN f[1] WHEN len(f) = 2 THEN f[1] || ' and ' || f[2]
+    ELSE f[1] || ', ' || f[2] || ' and ' || f[3] END || '.' FROM (SELECT {_FRESHEST} AS f) WHERE len(f) > 0
+  UNION ALL SELECT 7, 0, '| # | Score | Filed | Auction | Owner | Address | City | Mailing | Abs | Value ($k) | Owned (yrs) | Signals |'
+  UNION ALL SELECT 8, 0, '|---|-------|-------|---------|-------|---------|------|---------|-----|------------|-------------|---------|'
   UNION ALL SELECT 9, rn::INT, '| ' || concat_ws(' | ', rn::VARCHAR, coalesce(score::VARCHAR, '-') || CASE WHEN is_hot THEN ' 🔥' ELSE '' END,
     event_date::VARCHAR, CASE WHEN est_auction_date IS NULL THEN '-' ELSE est_auction_date::VARCHAR || ' est · ' ||
       CASE WHEN est_auction_date = {TODAY} THEN 'today' WHEN est_auction_date > {TODAY}
@@ -854,11 +898,22 @@ def _(t: Tables):
     CASE WHEN absentee THEN 'Y' ELSE 'N' END, coalesce('$' || floor(assessed_value / 1000 + 0.5)::BIGINT || 'k', '-'),
     coalesce(years_owned::VARCHAR, '-'), signal_types) || ' |' FROM ({_WEEK})""")
 def _(t: Tables):
-    lines = sinks.report_markdown(t.report(168, 50), _counts(t), t.as_of, 72)
-    return lines.where(F.col("section").isin(2, 3, 5, 9))
+    return sinks.report_markdown(t.report(168, 50), _counts(t), t.as_of, 72)
+
+
+@query("sink_matches_json", SQL["prospect_match_shape"])
+def _(t: Tables):
+    top2, pool = _top2(t)
+    shaped = H.prospect_match_shape(H.match_rows(top2, pool, "2024-01-30"), t.prospects)
+    path = f"{shared_folder(t.spark)}/matches-{uuid.uuid4().hex}"
+    sinks.sink_matches_json(shaped, path)
+    read = t.spark.read.schema(shaped.schema).json(path)
+    pairs = F.transform("leads", lambda x: F.concat_ws(":", x["apn"], x["match_tier"]))
+    return read.select("id", "rank", "company", "contact_name", "email", "segment",
+                       F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias("leads"))
 
 
-@query("sink_matches_json", f"""
+@query("sink_matches_markdown", f"""
   SELECT p.id, p.rank, coalesce(m.tiers, '') AS tiers FROM prospects p LEFT JOIN (
     SELECT prospect_id, string_agg(tier, ',' ORDER BY rank) AS tiers FROM ({_TOP2}) GROUP BY 1) m ON m.prospect_id = p.id""")
 def _(t: Tables):
@@ -874,7 +929,9 @@ def _(t: Tables):
 
 
 @query("sink_source_health", f"""
-  SELECT source, '| ' || source || ' | ' || CASE WHEN status = 'ok' THEN rows_found::VARCHAR ELSE '—' END || ' | ' ||
+  SELECT section, '' AS source, line FROM (VALUES (0, '## Source health'), (1, ''), (2, '| Source | Found today | 14-run median | Status |'),
+    (3, '|--------|-------------|---------------|--------|')) v(section, line)
+  UNION ALL SELECT 4, source, '| ' || source || ' | ' || CASE WHEN status = 'ok' THEN rows_found::VARCHAR ELSE '—' END || ' | ' ||
     CASE WHEN status = 'ok' THEN coalesce(regexp_replace(median::VARCHAR, '\\.0$', ''), '—') ELSE '—' END || ' | ' ||
     CASE WHEN status = 'ok' AND median > 0 AND (rows_found = 0 OR (median >= 50 AND rows_found < median * 0.1)) THEN 'warn' ELSE status END || ' |' AS line
   FROM runs LEFT JOIN ({_MEDIANS}) USING (source) WHERE started_at::DATE = DATE '2024-01-29'""")
@@ -882,4 +939,4 @@ def _(t: Tables):
     today = t.scrape_runs.where(F.to_date("started_at") == "2024-01-29").select(
         "source", "status", F.col("rows_found").alias("found"))
     drops = N.volume_drop(today, _medians(t))
-    return sinks.health_lines(today, drops).where(F.col("section") == 4).select("source", "line")
+    return sinks.health_lines(today, drops)

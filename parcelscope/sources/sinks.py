@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -76,11 +76,20 @@ def report_export(report: DataFrame, as_of, fmt: str = "csv") -> DataFrame:
 
 
 def sink_report_csv(report: DataFrame, path: str, as_of, fmt: str = "csv") -> None:
+    """A missing value is an empty cell, an empty text is a quoted one, so both can be told apart."""
     report_export(report, as_of, fmt).coalesce(1).write.mode("overwrite").csv(
-        path, header=True, quote='"', escape='"', emptyValue="", nullValue=""
+        path, header=True, quote='"', escape='"', emptyValue='""', nullValue="", dateFormat="yyyy-MM-dd",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 
+def read_report_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """An export as it was written, cells with quotes, commas and line breaks included. An empty cell that
+    isn't quoted is read as the mark below, which stands for a missing value."""
+    return spark.read.schema(schema).csv(
+        path, header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\u2400", dateFormat="yyyy-MM-dd", mode="FAILFAST")
+
+
 def _cell(c, missing: str = "-") -> Column:
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit(missing))
 

@@ -178,3 +178,12 @@ def test_export_layouts(spark, tmp_path):
     written = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
     assert written[0].split(",")[:3] == ["rank", "score", "hot"]
     assert '"9 ELM, TEMPE, AZ, 85283"' in written[1]
+
+
+def test_export_round_trip_keeps_quotes_breaks_and_nulls(spark, tmp_path):
+    rows = [(1, 'say "hi", then\nleave', None, ""), (2, "", "a,b", None), (3, None, '"', "x\r\ny"), (4, "\\", "'", " pad ")]
+    schema = "rank int, a string, b string, c string"
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    assert sorted(map(tuple, sinks.read_report_csv(spark, path, df.schema).collect())) == rows
