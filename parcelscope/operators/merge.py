@@ -94,6 +94,21 @@ def merge_metrics(existing: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def row_hash(columns: list[str], ignore: tuple[str, ...] = ("updated_at",)) -> Column:
+    """A 64-bit hash of a row without the ignored columns; nulls count by their place."""
+    kept = sorted(c for c in columns if c not in ignore)
+    return F.xxhash64(*[c for name in kept for c in (F.col(name).isNull(), F.col(name))])
+
+
+def change_set(existing: DataFrame, merged: DataFrame, keys: list[str], ignore: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Rows of `merged` that `existing` hasn't, or has with other values in a column that isn't ignored.
+
+    Only keys and hashes of the old side take part in the join."""
+    old = existing.select(*keys, row_hash(existing.columns, ignore).alias("__old"))
+    return merged.withColumn("__new", row_hash(merged.columns, ignore)).join(old, keys, "left").where(
+        F.col("__old").isNull() | (F.col("__old") != F.col("__new"))).drop("__old", "__new")
+
+
 def skip_already_stored(ids: DataFrame, signals: DataFrame, source: str) -> DataFrame:
     """Ids (column external_id) that the source has not stored yet."""
     stored = signals.where(F.col("source") == source).select("external_id")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import merge as M
 from ..operators import resolve as V
+from ..session import shared_folder
+from ..streaming import ingest
 from .oracle_tables import (
     AS_OF, TODAY, entity_key, is_entity_name, name_norm, norm_address, norm_owner, words_of,
 )
@@ -191,6 +195,48 @@ def _(t: Tables):
     return merged.select("apn", "owner_name", "owner_name_norm", "situs_norm", "updated_at")
 
 
+def _changes(t: Tables, schema: str, merge, batches: list):
+    """(snapshot, buckets that the last batch wrote) of a store that takes the batches one by one."""
+    store = f"{shared_folder(t.spark)}/table-{uuid.uuid4().hex}"
+    write = ingest.merge_changes_into_store(store, schema, ("apn",), merge, buckets=8)
+    for number, batch in enumerate(batches):
+        write(batch, number)
+    versions = ingest.bucket_versions(t.spark, store).values()
+    return ingest.read_snapshot(t.spark, store, schema=schema), sum(v == len(batches) - 1 for v in versions)
+
+
+_PARCEL = "apn string, situs_address string, owner_name string, situs_norm string, owner_name_norm string, owner_name_sorted string, updated_at timestamp"
+
+
+@query("merge_properties_changes", f"""
+  SELECT apn, CASE WHEN hit THEN 'NEW OWNER ' || apn ELSE owner_name END AS owner_name,
+    CASE WHEN hit THEN {AS_OF} ELSE TIMESTAMP '2024-01-01' END AS updated_at, 0 AS rewritten
+  FROM (SELECT *, apn::BIGINT % 500 = 1 AS hit FROM properties)""")
+def _(t: Tables):
+    """The roll comes whole each time, with a few new owners; then the same roll once more."""
+    parcels = t.properties.select("apn", "situs_address", "owner_name").withColumn("seq", F.lit(1))
+    hit = F.col("apn").cast("bigint") % 500 == 1
+    renamed = parcels.withColumn("owner_name", F.when(hit, F.concat(F.lit("NEW OWNER "), "apn")).otherwise(F.col("owner_name")))
+    first = parcels.withColumn("day", F.lit("2024-01-01 00:00:00"))
+    second = renamed.withColumn("day", F.lit(str(t.as_of)))
+    merge = lambda old, batch: M.merge_properties(old, batch.drop("day"), batch.first()["day"])
+    third = renamed.withColumn("day", F.lit("2024-02-10 00:00:00"))
+    rows, rewritten = _changes(t, _PARCEL, merge, [first, second, third])
+    return rows.select("apn", "owner_name", "updated_at", F.lit(rewritten).alias("rewritten"))
+
+
+@query("merge_scores_changes", f"""
+  SELECT apn, score, CASE WHEN apn::BIGINT % 7 = 0 THEN {AS_OF} ELSE TIMESTAMP '2024-01-01' END AS updated_at, 0 AS rewritten FROM scores""")
+def _(t: Tables):
+    scored = t.scores.select("apn", "score")
+    old = scored.withColumn("score", F.when(F.col("apn").cast("bigint") % 7 == 0, F.col("score") + 1).otherwise(F.col("score")))
+    days = ("2024-01-01 00:00:00", str(t.as_of), "2024-02-10 00:00:00")
+    batches = [b.withColumn("day", F.lit(d)) for b, d in zip((old, scored, scored), days)]
+    merge = lambda stored, batch: M.merge_scores(stored, batch.drop("day"), batch.first()["day"])
+    rows, rewritten = _changes(t, "apn string, score int, updated_at timestamp", merge, batches)
+    return rows.select("apn", "score", "updated_at", F.lit(rewritten).alias("rewritten"))
+
+
 @query("merge_scores", f"""
   SELECT apn, CASE WHEN s.apn IS NOT NULL THEN s.score ELSE 1 END AS score,
     CASE WHEN s.apn IS NOT NULL THEN {AS_OF} ELSE TIMESTAMP '2024-01-01' END AS updated_at

@@ -159,9 +159,17 @@ _ROLL = f"""
   FROM customer WHERE {_K} % 50 > 2"""
 
 
+def _roll_folder(t: Tables) -> str:
+    """The lines as text files, and one file beside them that is none of the roll's."""
+    folder = f"{shared_folder(t.spark)}/roll-{uuid.uuid4().hex}"
+    roll_lines(t).repartition(3).write.text(folder)
+    t.spark.range(1).selectExpr("'not|a|roll' as value").write.mode("append").option("compression", "gzip").text(folder)
+    return folder
+
+
 @query("scan_parcel_master", _ROLL)
 def _(t: Tables):
-    return P.parse_parcel_lines(roll_lines(t))[0]
+    return P.scan_parcel_master(t.spark, _roll_folder(t), "part-*.txt")[0]
 
 
 _ROLL_COLUMNS = {
@@ -179,7 +187,21 @@ for _name, _column in _ROLL_COLUMNS.items():
   SELECT 'too few cells' AS reason, count(*) AS n FROM customer WHERE {_K} % 50 = 0
   UNION ALL SELECT 'no parcel', count(*) FROM customer WHERE {_K} % 50 = 1""")
 def _(t: Tables):
-    return P.quarantine_rows(P.parse_parcel_lines(roll_lines(t))[1])
+    folder = _roll_folder(t)
+    _, _, seen = P.land_parcel_lines(P.roll_files(t.spark, folder, "part-*.txt"), f"{folder}-landed")
+    return t.spark.createDataFrame([(r, seen[r]) for r in P.REASONS], "reason string, n bigint")
+
+
+@query("land_parcel_lines", f"""
+  SELECT 'parcels' AS kind, count(*) AS n, count(DISTINCT {_K}) AS different FROM customer WHERE {_K} % 50 > 2
+  UNION ALL SELECT 'too few cells', count(*), 1 FROM customer WHERE {_K} % 50 = 0
+  UNION ALL SELECT 'no parcel', count(*), count(*) FROM customer WHERE {_K} % 50 = 1""")
+def _(t: Tables):
+    folder = _roll_folder(t)
+    good, bad, seen = P.land_parcel_lines(P.roll_files(t.spark, folder, "part-*.txt"), f"{folder}-landed")
+    counts = t.spark.createDataFrame(list(seen.items()), "kind string, n bigint")
+    rows = good.select(F.lit("parcels").alias("kind"), F.col("apn").alias("v")).unionByName(bad.select(F.col("reason").alias("kind"), F.col("value").alias("v")))
+    return counts.join(rows.groupBy("kind").agg(F.count_distinct("v").alias("different")), "kind")
 
 
 _MAIL = "split_part(mailing_address, ', ', {})"

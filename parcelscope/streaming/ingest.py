@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dates as D
-from ..operators.merge import merge_signals
+from ..operators.merge import change_set, merge_signals
 from ..schemas import SIGNAL_RECORD, SIGNALS
 
 
@@ -23,8 +25,8 @@ BUCKETS = 64
 POINTER = "bucket int, version bigint"
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("source", "external_id"), F.lit(buckets)).cast("int")
+def _bucket(buckets: int, keys: tuple[str, ...] = ("source", "external_id")) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def _pointers(spark: SparkSession, store: str, before: int | None = None) -> tuple[int | None, dict[int, int]]:
@@ -41,16 +43,21 @@ def _pointers(spark: SparkSession, store: str, before: int | None = None) -> tup
     return newest, {r["bucket"]: r["version"] for r in every.where(F.col("batch") == newest).collect()} if newest is not None else {}
 
 
-def _read(spark: SparkSession, store: str, versions: dict[int, int]) -> DataFrame:
+def _read(spark: SparkSession, store: str, versions: dict[int, int], schema: str = SIGNALS) -> DataFrame:
     if not versions:
-        return spark.createDataFrame([], SIGNALS)
-    return spark.read.schema(SIGNALS).parquet(
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(
         *[f"{store}/data/bucket={b}/version={v}" for b, v in sorted(versions.items())])
 
 
-def read_snapshot(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+def read_snapshot(spark: SparkSession, store: str, before: int | None = None, schema: str = SIGNALS) -> DataFrame:
     """The newest snapshot, or the newest one older than a batch."""
-    return _read(spark, store, _pointers(spark, store, before)[1])
+    return _read(spark, store, _pointers(spark, store, before)[1], schema)
+
+
+def bucket_versions(spark: SparkSession, store: str) -> dict[int, int]:
+    """The batch that last wrote each bucket."""
+    return _pointers(spark, store)[1]
 
 
 def merge_into_store(store: str, as_of, buckets: int = BUCKETS):
@@ -77,6 +84,41 @@ def merge_into_store(store: str, as_of, buckets: int = BUCKETS):
     return write
 
 
+def merge_changes_into_store(
+    store: str, schema: str, keys: tuple[str, ...], merge: Callable[[DataFrame, DataFrame], DataFrame],
+    ignore: tuple[str, ...] = ("updated_at",), buckets: int = BUCKETS,
+):
+    """A foreachBatch function for tables that are delivered whole, though little of them changes.
+
+    `merge` makes a new snapshot of the stored rows and a batch. Of it only rows that differ in a column
+    that isn't ignored count as changed (found by row hash); buckets without such a row are not written, and
+    a row that didn't change keeps its old values, `updated_at` among them. A batch that brings nothing
+    new writes one small pointer file. What was said of batches above holds here too.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        _, versions = _pointers(spark, store, before=batch_id)
+        touched = {r["b"] for r in batch.select(_bucket(buckets, keys).alias("b")).distinct().collect()}
+        current = _read(spark, store, {b: v for b, v in versions.items() if b in touched}, schema)
+        changed = change_set(current, merge(current, batch).select(*current.columns), list(keys), ignore)
+        changes = f"{store}/changes/batch={batch_id}"
+        changed.write.mode("overwrite").parquet(changes)
+        changed = spark.read.schema(current.schema).parquet(changes)
+        differing = {r["b"] for r in changed.select(_bucket(buckets, keys).alias("b")).distinct().collect()}
+        if differing:
+            kept = _read(spark, store, {b: v for b, v in versions.items() if b in differing}, schema)
+            rows = kept.join(changed.select(*keys), list(keys), "left_anti").select(*current.columns).unionByName(changed)
+            (rows.withColumns({"bucket": _bucket(buckets, keys), "version": F.lit(batch_id).cast("bigint")})
+             .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket", "version").parquet(f"{store}/data"))
+        now = {**versions, **dict.fromkeys(differing, batch_id)}
+        spark.createDataFrame(sorted(now.items()), POINTER).coalesce(1).write.mode("overwrite").parquet(
+            f"{store}/pointers/batch={batch_id}")
+
+    return write
+
+
 def remove_old_versions(spark: SparkSession, store: str, keep: int = 2) -> int:
     """Delete the bucket versions that none of the newest `keep` batches points to; how many."""
     every = spark.read.schema(POINTER + ", batch bigint").parquet(f"{store}/pointers")
