@@ -467,14 +467,22 @@ def _ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
 
-def _scored(chunk: _Chunk, grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(chunk.data))
+def _ranked(chunk: _Chunk) -> tuple[np.ndarray, list[tuple]]:
+    """(different grams in order, (first position, order, heads, their grams) of each slice)."""
+    slices = []
     for a, codes in chunk.slices():
         order, head = _ranks(codes)
-        value = codes[order[head]]
+        slices.append((a, order.astype(np.int32), head, codes[order[head]]))
+    grams = np.unique(np.concatenate([s[3] for s in slices]))
+    return grams[grams != NO_GRAM], slices
+
+
+def _scored(chunk: _Chunk, grams: np.ndarray, slices: list[tuple], logs: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(chunk.data))
+    for a, order, head, value in slices:
         place, known = _find(grams, value)
-        each = np.where(known, logs[place], 0.0)  # unknown: NO_GRAM
-        at[a + order] = np.repeat(each, np.diff(np.append(head, len(codes))))
+        each = np.where(known, logs[place], 0.0) if len(grams) else np.zeros(len(value))  # unknown: NO_GRAM
+        at[a + order] = np.repeat(each, np.diff(np.append(head, len(order))))
     return np.add.reduceat(at, chunk.begin[:-1])
 
 
@@ -485,7 +493,7 @@ def score(chunks: DataFrame, answers: DataFrame, model: Model, id_type: str) ->
         answers.select("chunk", "part", F.col("logs").alias("block"), "word_counts"))
 
     def finish(chunk: _Chunk, found: dict) -> pa.RecordBatch:
-        grams, _ = chunk.grams()
+        grams, slices = _ranked(chunk)
         logs, part = np.zeros(len(grams)), _part_of(grams, parts)
         words, token, owner = chunk.words()
         counts, word_part = np.zeros(len(words), np.int64), _word_parts(words, parts)
@@ -496,7 +504,7 @@ def score(chunks: DataFrame, answers: DataFrame, model: Model, id_type: str) ->
             counts[by_word[w[p]:w[p + 1]]] = _unpack(b, np.int64)
         n = len(chunk.ids)
         base = np.log10((counts + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-        total = _scored(chunk, grams, logs)
+        total = _scored(chunk, grams, slices, logs)
         size = np.diff(chunk.begin) - ORDER
         return pa.RecordBatch.from_arrays([
             chunk.ids, pa.array(chunk.held), pa.array(np.bincount(owner, minlength=n)),
