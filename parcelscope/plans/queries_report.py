@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import display as X
+from ..operators import layout
 from ..operators import leads as L
 from ..operators import report as R
 from ..operators import score as S
 from .oracle_tables import (
     AS_OF, FILED_14D, PHX_TODAY, REPORT_ORDER, TODAY, case_of, report_sql,
 )
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 
 
 def r6(name: str):
@@ -50,6 +51,22 @@ def _(t: Tables):
     )
 
 
+def _laid_out(t: Tables, buckets: int = 8):
+    """Signals with a parcel number, the others, properties and scores, the keyed ones bucketed by it."""
+    signals, rest = layout.by_parcel(t.signals, "signals", buckets)
+    return signals, rest, layout.bucketed(t.properties, "properties", buckets=buckets), layout.bucketed(t.scores, "scores", buckets=buckets)
+
+
+@query("score_join_bucketed", SQL["score_join"])
+def _(t: Tables):
+    signals, _, properties, _ = _laid_out(t)
+    joined = S.score_join(S.type_signals_rollup(S.latest_per_type(signals)), properties)
+    return joined.select(
+        "apn", F.size("type_signals").cast("bigint").alias("n"), "absentee", "last_sale_date",
+        r6("assessed_value"),
+    )
+
+
 @query("score_type_terms", """
   SELECT apn, signal_type, latest_date, base, age_days, round(decayed, 6) AS decayed, live, bonus
   FROM type_terms""")
@@ -233,6 +250,13 @@ def _(t: Tables):
     return R.apn_semi_reduce(t.signals, apns).select("source", "external_id", "apn")
 
 
+@query("apn_semi_reduce_bucketed", SQL["apn_semi_reduce"])
+def _(t: Tables):
+    signals, *_ = _laid_out(t)
+    apns = R.distinct_apns(R.arrival_window(signals, t.as_of, 24))
+    return R.apn_semi_reduce(signals, apns).select("source", "external_id", "apn")
+
+
 @query("apn_stats", "SELECT apn, stacked_types, signal_types, trustee_date FROM parcel_types")
 def _(t: Tables):
     return R.apn_stats(t.signals)
@@ -304,6 +328,15 @@ def _(t: Tables):
     ))
 
 
+@query("report_enrich_bucketed", SQL["report_enrich"])
+def _(t: Tables):
+    signals, rest, properties, scores = _laid_out(t)
+    return _shown(R.report_enrich(
+        R.dedupe_resolved(R.arrival_window(signals, t.as_of, 720)), R.dedupe_unresolved(R.arrival_window(rest, t.as_of, 720)),
+        signals, properties, scores, t.as_of,
+    ))
+
+
 @query("homeowners_only", f"""
   SELECT apn, owner_name, is_entity FROM ({report_sql(720, 'true', False)})
   WHERE owner_name IS NOT NULL AND NOT is_entity""")
