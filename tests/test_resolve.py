@@ -163,3 +163,21 @@ def test_resolve_signals_writes_decisions(spark):
     # Names without a parcel are tried again; resolved addresses are not.
     again = V.resolve_by_address(done.withColumn("apn", F.lit(None).cast("string")), parcels)
     assert again.count() == 0
+
+
+def test_a_key_of_a_third_of_parcels_and_names(spark):
+    # Every couple has its own key map, and all maps hold one key. A name meets the map with both of its
+    # keys only, so what is joined grows with the names and not with names times maps.
+    firsts = [f"{a}{b}{c}" for a in "ABCDEFG" for b in "AEIOU" for c in "KLMNPR"]
+    couples = [parcel(i, f"SMITH JOHN {'ABC'[i % 3]}/{f}", i % 4 != 0) for i, f in enumerate(firsts)]
+    others = [parcel(1000 + i, f"JONES {f}") for i, f in enumerate(firsts * 2)]
+    names = [f"SMITH JOHN B & SMITH {f}" for f in firsts] + [f"JONES {f}" for f in firsts] + ["SMITH JOHN", "JOHN SMITH C"]
+    check(spark, [*couples, *others], names)
+    properties = spark.createDataFrame([*couples, *others], PARCEL)
+    idx = V._tagged_index(V.build_name_index(properties), properties).withColumn("code", V._code())
+    per_map = V._key_maps(idx).where(F.size("keys") > 1).groupBy("map").agg(F.first("keys").alias("held"))
+    sig = signals(spark, [("court_divorce", str(i), None, n, None) for i, n in enumerate(names)])
+    forms = V.name_lookups(sig).withColumn("form", F.to_json(F.struct("keys", "mids"))).select("form", "keys", "mids").distinct()
+    assert per_map.count() > 200 and V._meeting(forms, per_map).count() <= 2 * forms.count()
+    per_key = idx.groupBy("key", "initial").count()
+    assert forms.select(F.explode("keys").alias("key")).join(per_key, "key").count() <= 8 * forms.count()
