@@ -30,8 +30,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
 
-def record_id(page_id) -> str:
-    return uuid.uuid5(_SPACE, f"page:{page_id}").urn
+def record_id(page_id, digest: str) -> str:
+    """Of a page and its payload: rows that share an id, or have none, are records of their own unless they are equal."""
+    return uuid.uuid5(_SPACE, f"page:{page_id}:{digest}").urn
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -39,13 +40,13 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
     http = HTTP % len(payload)
     body = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-            f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {date}"]
+            f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"X-Refers-To-Page-Id: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response",
              f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -141,7 +142,7 @@ def write_bundles(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00
             for i in range(batch.num_rows):
                 page, url, payload, digest, refers = (c[k][i].as_py() for k in c)
                 bundle = bundle or _Bundle(folder, part)
-                places.append((record_id(page), page, *bundle.add(record(page, url, payload or b"", digest, refers, date))))
+                places.append((record_id(page, digest), page, *bundle.add(record(page, url, payload or b"", digest, refers, date))))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
                     bundle, seq = None, seq + 1

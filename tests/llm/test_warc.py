@@ -31,6 +31,16 @@ def test_round_trip(spark):
     assert rows(warc_bundles.inventory(index, folder), *COLS) == brute()
 
 
+def test_ids_with_several_payloads(spark):
+    a, b, c = "a" * 1500, "b" * 1700, "c" * 1200
+    pages = [(5, "u", a, 0), (5, "u", b, 0), (3, "u", a, 0), (4, "u", b, 0), (None, "u", c, 0), (None, "u", a, 0), (2, "u", c, 0), (None, "u", "s", 0)]
+    index, folder = warc_bundles.archive(spark.createDataFrame(pages, SCHEMA).repartition(3))
+    sha = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b, c, "s")}
+    want = [(5, 1500, sha[a], "response", None), (5, 1700, sha[b], "response", None), (3, 1500, sha[a], "revisit", 5), (4, 1700, sha[b], "revisit", 5),
+            (None, 1200, sha[c], "revisit", 2), (None, 1500, sha[a], "revisit", 5), (2, 1200, sha[c], "response", None), (None, 1, sha["s"], "response", None)]
+    assert rows(warc_bundles.inventory(index, folder), *COLS) == sorted(want, key=repr)
+
+
 def test_one_record_costs_one_frame(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 40_000, 0) for i in range(12)], SCHEMA).coalesce(1)
     index, folder = warc_bundles.archive(pages)
