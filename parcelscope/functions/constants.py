@@ -1,7 +1,8 @@
 """Fixed values the results depend on: word lists, weights, patterns, labels.
 
 Everything in this module is data. The lists are kept in plain reading order and
-must not be edited without changing the results of the jobs that use them.
+must not be edited without changing the results of the jobs that use them. Patterns
+are lists of their alternatives, because Spark expressions and SQL are both built from them.
 """
 
 # --- fixed values: owner-name normalisation -------------------------------------------------
@@ -157,7 +158,7 @@ ROLE_LOCAL_PARTS = [
 ]
 BOT_PATTERNS = [
     "barracuda", "proofpoint", "mimecast", "microsoft.?defender", "safelinks", "googleimageproxy",
-    "headless", "bot", "crawler", "spider", "preview",
+    "headless", "bot|crawler|spider|preview",
 ]
 COMPANY_SUFFIXES = [
     "LLC", r"L\.L\.C\.", "Inc", "Incorporated", "Corp", "Corporation", "Co", "Company", "Group",
