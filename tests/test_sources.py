@@ -187,3 +187,10 @@ def test_export_round_trip_keeps_quotes_breaks_and_nulls(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     df.coalesce(1).write.csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     assert sorted(map(tuple, sinks.read_report_csv(spark, path, df.schema).collect())) == rows
+
+
+def test_title_is_raw_text(spark):
+    titles = ["a &amp; b", "&quot;x&quot; &amp;lt;", " <b>c</b> ", "\n d\t", "\u00a0e\u3000", ""]
+    pages = spark.createDataFrame([(i, f"<title>{t}</title>") for i, t in enumerate(titles)] + [(9, None)], "i int, html string")
+    got = [r["t"] for r in pages.select("i", feeds.title_text(F.col("html")).alias("t")).orderBy("i").collect()]
+    assert got == ["a & b", "&quot;x&quot; &lt;", "<b>c</b>", "\n d\t", "e", "", None]
