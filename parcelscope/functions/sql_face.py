@@ -203,8 +203,14 @@ FUNCTIONS: list[tuple[str, str, str, str]] = [
      "pitch_place(title_case(format_situs_address(nullif(situs_address, ''))), title_case(nullif(situs_city, '')), situs_zip), "
      "concat('owned ', years, ' yrs'), CASE WHEN absentee THEN 'absentee' ELSE 'owner-occupied' END)"),
     ("money_k", "x DOUBLE", "STRING", "coalesce(concat('$', cast(floor(x / 1000 + 0.5D) AS BIGINT), 'k'), '-')"),
+    ("beyond_middle", "x DOUBLE, high DOUBLE, below BIGINT", "DOUBLE", "(high * 20 - (2 * below + 1)) + (x - high) * 20"),
+    ("to_tenths", "below BIGINT, beyond DOUBLE", "BIGINT", "below + CASE WHEN beyond > 0 OR (beyond = 0 AND below % 2 = 1) THEN 1 ELSE 0 END"),
+    ("with_point", "tenths BIGINT", "STRING", "concat(cast(tenths div 10 AS STRING), '.', cast(tenths % 10 AS STRING))"),
+    ("one_decimal", "x DOUBLE", "STRING",
+     "CASE WHEN x < 1e14D THEN with_point(to_tenths(floor(x * 10), beyond_middle(x, x * 134217729D - (x * 134217729D - x), floor(x * 10)))) "
+     "ELSE format_string('%.1f', x) END"),
     ("fmt_money", "x DOUBLE", "STRING",
-     "CASE WHEN x >= 1000000 THEN concat('$', format_string('%.1f', x / 1000000), 'm') "
+     "CASE WHEN x >= 1000000 THEN concat('$', one_decimal(x / 1000000), 'm') "
      "WHEN x IS NOT NULL THEN concat('$', cast(floor(x / 1000 + 0.5D) AS BIGINT), 'k') END"),
     ("split_owner_words", "raw STRING, w ARRAY<STRING>, is_entity BOOLEAN", "STRUCT<first: STRING, last: STRING>",
      f"CASE WHEN coalesce(is_entity, false) OR raw RLIKE {_r(_TRUST)} OR size(w) = 0 THEN named_struct('first', '', 'last', raw) "

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parcelscope.functions import dates as D
 from parcelscope.functions import display as X
 from parcelscope.functions import names as N
+from parcelscope.functions import sql_face
 from parcelscope.functions import text as T
 
 
@@ -178,3 +179,12 @@ def test_delivery_errors(spark):
         [("EAUTH", 550), (None, 535), (None, 550), ("X", 421), (None, None)], "c string, r int")
     got = [r[0] for r in df.select(X.classify_delivery_error("c", "r")).collect()]
     assert got == ["abort", "abort", "bounce", "abort", "abort"]
+
+
+def test_millions_are_rounded_as_printf_does(spark):
+    """Exact binary values, halves to the even digit: 1.15 is below 1.15, and 2.25 is a half."""
+    amounts = [50_000 * i for i in range(20, 400)] + [1_149_999, 1_150_001, 123_456_750_000, 9_999_950_000, 9 * 10 ** 19]
+    sql_face.register(spark)
+    df = spark.createDataFrame([(float(a),) for a in amounts], "x double")
+    got = df.select("x", X.fmt_money("x").alias("a"), F.expr("fmt_money(x)").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(f"${r['x'] / 1e6:.1f}m",) * 2 for r in got]
