@@ -393,7 +393,7 @@ def _(t: Tables):
   FROM (SELECT * FROM ({report_sql(168, f"event_date >= ({AS_OF} - INTERVAL 336 HOUR)::DATE")})
         ORDER BY {REPORT_ORDER} LIMIT 5000)""")
 def _(t: Tables):
-    return R.report_numbers(t.signals, t.properties, t.scores, t.as_of)
+    return R.report_numbers(t.signals, t.properties, t.scores, t.as_of, limit=5000)
 
 
 @query("hot_stacks", f"""SELECT {_OUT}, round(assessed_value, 6) AS assessed_value,

@@ -186,3 +186,19 @@ def test_day_status(spark):
     assert (done["n_done"], done["complete"]) == (1, False)
     assert N.sources_complete_today(r, ["c"], "2026-01-12 03:00:00").first()["complete"]
     assert N.todays_run(r, "b", "2026-01-12 03:00:00").count() == 0
+
+
+def test_registered_numbers_count_the_rows_of_a_page(spark, monkeypatch):
+    """The page shows the best 5,000 rows of each report, and its SQL counts those."""
+    from parcelscope.plans.registry import QUERIES, Tables
+
+    parcels = [(f"P{i}", "SMITH JOHN", "1 OAK ST") for i in range(5003)]
+    s, p, c = frames(spark, [signal(i, a[0]) for i, a in enumerate(parcels)], parcels, [])
+    for name, table in (("signals", s), ("properties", p), ("scores", c)):
+        monkeypatch.setattr(Tables, name, table, raising=False)
+    monkeypatch.setattr(Tables, "__init__", lambda self, spark, _: self.__dict__.update(spark=spark, as_of=AS_OF))
+    import parcelscope.plans.catalog  # noqa: F401  registers the queries
+    row = QUERIES["report_numbers"](spark, "")
+    assert (row.first()["n24"], row.first()["n7"]) == (5000, 5000)
+    assert R.report_numbers(s, p, c, AS_OF, limit=7).first()["n7"] == 7
+    assert R.report_numbers(s, p, c, AS_OF).first()["n7"] == 5003
