@@ -194,3 +194,17 @@ def test_title_is_raw_text(spark):
     pages = spark.createDataFrame([(i, f"<title>{t}</title>") for i, t in enumerate(titles)] + [(9, None)], "i int, html string")
     got = [r["t"] for r in pages.select("i", feeds.title_text(F.col("html")).alias("t")).orderBy("i").collect()]
     assert got == ["a & b", "&quot;x&quot; &lt;", "<b>c</b>", "\n d\t", "e", "", None]
+
+
+def test_pages_in_bundles_are_the_pages_of_files(spark, tmp_path):
+    pages = [("1", "<p>a</p>\n\n<p>\u2028\u00e9\U0001f525\r\n</p> "), ("2", ""), ("3", '{"page_id": "9"}\\n\x01'), ("4", None)]
+    df = spark.createDataFrame([p for p in pages for _ in range(2)], "page_id string, html string").repartition(3)
+    feeds.land_pages(df, str(tmp_path / "bundles"))
+    read = feeds.scan_bundles(spark, str(tmp_path / "bundles"))
+    assert sorted(map(tuple, read.distinct().collect())) == sorted(pages) and read.count() == 8
+    filled = [p for p in pages if p[1]]  # Spark reads no row of an empty file
+    for name, html in filled:
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{name}.html").write_bytes(html.encode())
+    assert sorted(map(tuple, feeds.scan_html(spark, str(tmp_path / "files")).collect())) == sorted(filled)
+    assert len(list((tmp_path / "bundles").glob("part-*"))) <= 3  # not a file for each page
