@@ -185,3 +185,24 @@ def test_ordered_rules_across_a_restart(spark, tmp_path, rule):
         want = {(r["prospect_id"], r["campaign_id"], r["id"]) for r in E.dedupe_opens(df).collect()}
     assert got == want
     assert held[-1] <= 1 < max(held)  # what is left is the clock's own
+
+
+def test_calls_grow_with_shards_not_with_keys(spark, tmp_path):
+    """Thousands of keys, some without a prospect or a campaign, are a few states; results are the batch rule's."""
+    rnd = random.Random(4)
+    data = [(i, f"v{i % 1500}", rnd.choice([None, i % 1500]), rnd.choice([None, 1]), "opened", "/", BASE + dt.timedelta(seconds=3 * i))
+            for i in range(6000)]
+    clock = [(-1 - k, "clock", None, None, "opened", "/", BASE + dt.timedelta(days=30 + k)) for k in range(2)]
+    src = str(tmp_path / "src")
+    for part in (data[:3000], data[3000:], clock[:1], clock[1:]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(src)
+    df = spark.createDataFrame(data, EVENT)
+    with stateful.rocksdb(spark):
+        q = (stateful.dedupe_opens_stream(stream, shards=4).writeStream.format("memory").queryName("sharded")
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        assert q.awaitTermination(240) and q.exception() is None
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 2 * 4
+    got = spark.table("sharded").where("id >= 0").collect()
+    want = E.dedupe_opens(df).select("prospect_id", "campaign_id", "id").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(r["prospect_id"] is None for r in got)
