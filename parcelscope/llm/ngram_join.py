@@ -23,7 +23,9 @@ pivots, as long as that joins much; a few rounds join large groups of near copie
 Only what then still shares a segment across components is compared pair by pair, so no link is
 missed. An exact bound passes pairs over unseen: a node has two sketches, the parities of its
 shingles in 512 buckets and in about as many as it has shingles; sets differ in as many shingles as
-their sketches in bits, or more. What is left is decided on the texts' words, not on hashes.
+their sketches in bits, or more. In the last step the shingles that no other set there has are counted
+as what they are, differences, and the first sketch is of the others only. What is left is decided on
+the texts' words, not on hashes.
 
 Defined cases: null, empty and wordless texts have no set and are linked with nothing; repeated rows
 and ids keep their rows; a null id is no candidate for a component's id unless all ids are null.
@@ -44,6 +46,7 @@ K = 5
 SMALL = 64  # bands below this size use one-deletion neighbourhoods
 ROUNDS = 8  # of pivots at most; what they leave is compared pair by pair
 FIXED = 8  # 64-bit words of the fixed sketch
+MEETINGS = 12  # signatures of a set that decide at which of many a pair is made
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,11 +172,12 @@ def _words(prefix: str) -> list[str]:
     return [f"{prefix}{i}" for i in range(FIXED)]
 
 
-def _near(size_a: str, size_b: str, a: str, b: str) -> Column:
-    """Sizes and fixed sketches allow a link; plain arithmetic, for join conditions."""
+def _near(size_a: str, size_b: str, a: str, b: str, apart: Column | int = 0) -> Column:
+    """Sizes and fixed sketches allow a link; plain arithmetic, for join conditions. `apart` are known
+    differences that the sketches leave out."""
     bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(_words(a), _words(b))), F.lit(0))
     x, y = F.col(size_a), F.col(size_b)
-    return (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * bits <= x + y)
+    return (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * apart <= x + y) & (9 * (bits + apart) <= x + y)
 
 
 def _may_link(a: str, b: str, size_a: str, size_b: str) -> Column:
@@ -348,7 +352,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         active = written(_relabelled(active, labels, r + 1), "active")
         if active.isEmpty() or (r and 50 * _moved(before, labels) < active.select("node").distinct().count()):
             break
-    rest = _across(active, sets).join(checked, ["x", "y"], "left_anti")
+    rest = _across(_apart(active, texts), sets).join(checked, ["x", "y"], "left_anti")
     found = _verify(written(rest, "pairs"), texts).filter("100 * both >= 80 * either").select("x", "y")
     return _named(members, _joined(labels, found))
 
@@ -404,13 +408,44 @@ def _moved(before: DataFrame, after: DataFrame) -> int:
     return after.join(old, "node", "left").filter("old is null or old != label").count()
 
 
+def _apart(active: DataFrame, texts: DataFrame) -> DataFrame:
+    """The active rows with `own`, how many shingles of the node no other active node has; these are taken
+    out of the fixed sketch. A node with more of them than a link allows is left out.
+
+    Own shingles all count as differences, and without them the sketch has fewer that fall together, so
+    the two tell near copies of one text apart that the sketch alone lets through."""
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                row, h = shingles(part.column("text"))
+                place = (mixed(h ^ _K2) % np.uint64(64 * FIXED)).astype(np.int16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(part.column("node").to_numpy()[row]), pa.array(place)], names=["h", "node", "place"])
+
+    held = texts.join(active.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(
+        run, "h long, node long, place short")
+    single = held.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("place").alias("place")).filter("n = 1")
+    bits = [F.bit_xor(F.expr(f"if(place div 64 = {i}, shiftleft(1L, place % 64), 0L)")).alias(f"u{i}") for i in range(FIXED)]
+    own = written(single.groupBy("node").agg(F.count("*").alias("own"), *bits), "own")
+    rows = active.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter("4 * own <= size")
+    rest = [F.col(k).bitwiseXOR(F.coalesce(u, F.lit(0))).alias(k) for k, u in zip(_words("k"), _words("u"))]
+    rows = written(rows.select("sig", "node", "size", "indexed", "label", "own", *rest), "apart")
+    few = lambda c: F.slice(F.array_sort(F.collect_list(c)), 1, MEETINGS)
+    least = written(rows.groupBy("node").agg(few(F.when(F.col("indexed"), F.col("sig"))).alias("asks"), few("sig").alias("has")), "least")
+    return rows.join(least, "node")
+
+
 def _across(active: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) that share a signature which the smaller one indexes, lie in different components,
-    and may be linked."""
+    and may be linked.
+
+    A pair that shares many signatures is made at one: the first that is among the least few of both. These
+    are shared indeed, so it is made there; a pair without such a one is made at each that it shares."""
     a = active.filter("indexed").select("sig", F.col("node").alias("x"), F.col("size").alias("a"), F.col("label").alias("lx"),
-                                        *(F.col(k).alias(p) for k, p in zip(_words("k"), _words("p"))))
-    b = active.select("sig", F.col("node").alias("y"), F.col("size").alias("b"), F.col("label").alias("ly"), *_words("k"))
-    pairs = a.join(b, "sig").filter("lx != ly and a <= b").filter(_near("a", "b", "p", "k"))
+                                        F.col("own").alias("ox"), "asks", *(F.col(k).alias(p) for k, p in zip(_words("k"), _words("p"))))
+    b = active.select("sig", F.col("node").alias("y"), F.col("size").alias("b"), F.col("label").alias("ly"), F.col("own").alias("oy"), "has", *_words("k"))
+    pairs = a.join(b, "sig").filter("lx != ly and a <= b").filter(_near("a", "b", "p", "k", F.col("ox") + F.col("oy")))
+    pairs = pairs.filter(F.coalesce(F.array_min(F.array_intersect("asks", "has")), F.col("sig")) == F.col("sig"))
     return _ordered(pairs.select("x", "y", "a", "b"), sets)
 
 
