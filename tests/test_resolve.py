@@ -181,3 +181,18 @@ def test_a_key_of_a_third_of_parcels_and_names(spark):
     assert per_map.count() > 200 and V._meeting(forms, per_map).count() <= 2 * forms.count()
     per_key = idx.groupBy("key", "initial").count()
     assert forms.select(F.explode("keys").alias("key")).join(per_key, "key").count() <= 8 * forms.count()
+
+
+def test_names_are_read_once(spark):
+    """The decisions join written names; nothing in their plan goes back to the signals."""
+    parcels = spark.createDataFrame([("1", "SMITH JOHN A", "5 W OAK AVE", True)], PARCEL)
+    sig = signals(spark, [("court_divorce", "n", None, "John A Smith", None)])
+    decided = V.decide_names(V.name_lookups(sig), V.build_name_index(parcels), parcels)
+    assert "LogicalRDD" not in decided._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_stages_are_compiled(spark, tmp_path):
+    from parcelscope.plans.registry import Tables
+
+    Tables(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
