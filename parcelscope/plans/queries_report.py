@@ -51,8 +51,9 @@ def _(t: Tables):
     )
 
 
-def _laid_out(t: Tables, buckets: int = 8):
+def _laid_out(t: Tables):
     """Signals with a parcel number, the others, properties and scores, the keyed ones bucketed by it."""
+    buckets = layout.buckets_for(t.raw("events").count())
     signals, rest = layout.by_parcel(t.signals, "signals", buckets)
     return signals, rest, layout.bucketed(t.properties, "properties", buckets=buckets), layout.bucketed(t.scores, "scores", buckets=buckets)
 
@@ -332,7 +333,7 @@ def _(t: Tables):
 def _(t: Tables):
     signals, rest, properties, scores = _laid_out(t)
     return _shown(R.report_enrich(
-        R.dedupe_resolved(R.arrival_window(signals, t.as_of, 720)), R.dedupe_unresolved(R.arrival_window(rest, t.as_of, 720)),
+        R.dedupe_resolved_in_buckets(R.arrival_window(signals, t.as_of, 720)), R.dedupe_unresolved(R.arrival_window(rest, t.as_of, 720)),
         signals, properties, scores, t.as_of,
     ))
 

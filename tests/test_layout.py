@@ -75,3 +75,23 @@ def test_report_joins_have_no_exchange(spark, tables):
     both(job(signals, signals, properties, scores, signals), job(keyed, rest, parcels, marks, keyed))
     none = rest.where(F.lit(False))
     assert "Exchange hashpartitioning" not in plan(job(keyed, none, parcels, marks, keyed))
+
+
+def test_report_sorts_no_history(spark, tables):
+    """Signals are folded before they meet the report's rows, and buckets grow in number with the rows."""
+    _, _, keyed, rest, parcels = tables
+    scores = spark.createDataFrame([(str(i), i % 90, i % 90 > 60) for i in range(250)], "apn string, score int, hot boolean")
+    marks = L.bucketed(scores, "scores", buckets=4)
+    fresh = R.arrival_window(keyed, AS_OF, 720)
+    both(R.dedupe_resolved(fresh), R.dedupe_resolved_in_buckets(fresh))
+    assert "Exchange" not in plan(R.dedupe_resolved_in_buckets(fresh))
+    gaps = [(a, d, c, e) for a in "12" for d in (None, dt.date(2024, 1, 3), dt.date(2024, 1, 4)) for c in (None, dt.datetime(2024, 1, 5)) for e in "xy"]
+    rows = spark.createDataFrame([(*r[:3], "s", r[3]) for r in gaps], "apn string, event_date date, created_at timestamp, source string, external_id string")
+    for some in (rows, rows.where("event_date is null"), rows.where("created_at is null")):
+        both(R.dedupe_resolved(some), R.dedupe_resolved_in_buckets(some))
+    text = plan(R.report_enrich(R.dedupe_resolved_in_buckets(fresh), R.dedupe_unresolved(R.arrival_window(rest, AS_OF, 720)),
+                                keyed, parcels, marks, AS_OF))
+    assert "LeftSemi" not in text
+    assert L.buckets_for(100_000) == 8 and L.buckets_for(36_000_000) == 144
+    files = {f.rsplit("/", 1)[-1].split("_")[-1].split(".")[0] for f in keyed.inputFiles()}
+    assert len(files) == len(keyed.inputFiles()) <= 4
