@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import report as R
 from ..schemas import SIGNAL_RECORD
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..streaming import ingest, stateful
 from . import queries_outreach, queries_report, queries_resolve  # noqa: F401  their SQL is shared
 from .oracle_tables import AS_OF, TODAY
@@ -144,7 +144,7 @@ def _(t: Tables):
     wave's batch once more, as after a failure between the merge and its checkpoint."""
     columns = [c.strip().split(" ")[0] for c in SIGNAL_RECORD.split(",")]
     first = queries_resolve._stored(t).withColumn("seq", F.col("external_id").cast("bigint")).select(*columns, "seq")
-    second = queries_resolve._batch(t).select(*columns, "seq")
+    second = cut_lineage(queries_resolve._batch(t).select(*columns, "seq"), "wave")  # landed, and merged again
     landing, store = _folder(t, "landing"), _folder(t, "store")
     for wave, as_of in ((first, _FIRST), (second, t.as_of)):
         wave.write.mode("append").parquet(landing)

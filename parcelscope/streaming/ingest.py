@@ -45,7 +45,8 @@ def _pointers(spark: SparkSession, store: str, before: int | None = None) -> tup
 
 def _read(spark: SparkSession, store: str, versions: dict[int, int], schema: str = SIGNALS) -> DataFrame:
     if not versions:
-        return spark.createDataFrame([], schema)
+        # Known to be empty when planned, so that nothing is sorted or joined for it (rows from Python are not).
+        return spark.range(1).select(F.from_json(F.lit(None).cast("string"), schema).alias("r")).select("r.*").limit(0)
     return spark.read.schema(schema).parquet(
         *[f"{store}/data/bucket={b}/version={v}" for b, v in sorted(versions.items())])
 

@@ -206,3 +206,9 @@ def test_calls_grow_with_shards_not_with_keys(spark, tmp_path):
     got = spark.table("sharded").where("id >= 0").collect()
     want = E.dedupe_opens(df).select("prospect_id", "campaign_id", "id").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and any(r["prospect_id"] is None for r in got)
+
+
+def test_an_empty_store_is_known_to_be_empty(spark, tmp_path):
+    empty = ingest.read_snapshot(spark, str(tmp_path / "none"))
+    assert empty.schema == spark.createDataFrame([], ingest.SIGNALS).schema and empty.count() == 0
+    assert empty._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation <empty>")
